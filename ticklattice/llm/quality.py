@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +15,9 @@ from ticklattice.llm._util import held_out, map_text
 
 #: Hashed features of a text: byte trigrams reduced to kinds of character, and byte bigrams.
 SHAPES, PAIRS = 2048, 2048
+#: Steps in which the shares of repeated words and lines are told apart.
+STEPS = 8
+SIZE = SHAPES + PAIRS + 2 * STEPS
 _KIND = np.zeros(256, np.uint32)
 _KIND[:] = np.arange(256)
 _KIND[ord("a") : ord("z") + 1] = 1
@@ -23,10 +27,16 @@ _KIND[128:] = 4
 
 
 def features(text: str) -> np.ndarray:
-    """Hashed counts of the whole text: SHAPES then PAIRS, each as log(1 + count) of unit length (a text of fewer than
-    three bytes has none)."""
-    out = np.zeros(SHAPES + PAIRS, np.float32)
-    raw = np.frombuffer(text.encode(), np.uint8)
+    """Features of the whole text: hashed counts, SHAPES then PAIRS, each as log(1 + count) of unit length (a text of fewer
+    than three bytes has none), then the steps of the shares of words that repeat the one before and of repeated lines."""
+    out = np.zeros(SIZE, np.float32)
+    data = text.encode()
+    words, lines = data.split(), data.split(b"\n")
+    again = sum(map(eq, words, words[1:])) / max(len(words), 1)
+    twice = 1 - len(set(lines)) / len(lines)
+    for at, x in ((SHAPES + PAIRS, again), (SHAPES + PAIRS + STEPS, twice)):
+        out[at + min(STEPS - 1, int(x * STEPS * 2))] = 0.5
+    raw = np.frombuffer(data, np.uint8)
     if len(raw) < 3:
         return out
     a = _KIND[raw]
@@ -97,7 +107,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
     ).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     rows = rows[:sample]
-    x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, SHAPES + PAIRS), np.float32)
+    x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, SIZE), np.float32)
     y = np.array([r.label for r in rows], np.float64)
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
     basis = np.zeros((x.shape[1], 1), np.float32)

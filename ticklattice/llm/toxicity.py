@@ -8,11 +8,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklattice.llm._util import map_text
+from ticklattice.llm._util import as_table, map_text
 from ticklattice.llm.quality import labelled_sample
 
 #: ASCII punctuation and control characters part tokens as white space does.
@@ -24,6 +24,19 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().translate(_PARTS).split()
 
 
+#: Lengths in bytes of the prefixes that stand for words of one stem, longest first, and the mark that tells them from words.
+PREFIXES = (6, 4)
+MARK = b"~"
+#: Distinct words that a worker remembers at once.
+REMEMBERED = 500_000
+
+
+def stems(word: bytes) -> list[bytes]:
+    """The word itself, then its marked prefixes, the longest first. Prefixes keep whole characters."""
+    cut = [word[:n].decode(errors="ignore").encode() for n in PREFIXES if len(word) > n]
+    return [word, *(MARK + c for c in dict.fromkeys(cut))]
+
+
 def segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, sum) of a run of scores, left to right, in linear time: each holds more
     than any part of it or any extension of it (Ruzzo and Tompa's scan)."""
@@ -43,7 +56,7 @@ def segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicityModel:
-    """Scores of the terms that tell the classes apart, of every other token; extreme-value and logistic parameters."""
+    """Scores of the terms (words, or prefixes behind MARK) that tell the classes apart, of every other token; extreme-value and logistic parameters."""
 
     terms: dict[bytes, float]
     other: float
@@ -52,12 +65,22 @@ class ToxicityModel:
     a: float = -2.0
     b: float = 1.0
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+    def term_score(self, word: bytes) -> float | None:
+        """The score of the word, else of its longest scored prefix, else None."""
+        for t in stems(word):
+            if t in self.terms:
+                return self.terms[t]
+        return None
+
+    def passages(self, text: str, known: dict[bytes, float | None] | None = None) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of tokens and all maximal segments. Tokens between two scored terms only add `other` each, so the
-        scan takes one step for them all; it stays exact and linear."""
-        words = tokens(text)
-        terms = self.terms
-        hits = [(i, terms[w]) for i, w in enumerate(words) if w in terms]
+        scan takes one step for them all; it stays exact and linear. `known` remembers words' scores between texts."""
+        words, known = tokens(text), {} if known is None else known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.term_score(w)
+        hits = [(i, s) for i, w in enumerate(words) if (s := known[w]) is not None]
         scores, where, at = [], [], 0
         for i, s in hits:
             if i > at:
@@ -91,54 +114,82 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     return float(w[0]), float(w[1])
 
 
+def _distinct_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
+    """labelled_sample without most copies, which would count one author's words many times: of texts that share the least
+    hash of their five-word shingles under one of two hash functions, one stays."""
+    import xxhash
+
+    def keys(texts: list[str]):
+        out = []
+        for t in texts:
+            w = tokens(t)
+            grams = [b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+            out.append([min(xxhash.xxh64_intdigest(g, seed) >> 1 for g in grams) for seed in (1, 2)])
+        return list(zip(*out, strict=True)) if out else [[], []]
+
+    own = labelled_sample(docs, labels, label_col, sample)
+    own = map_text(own, "text", ["doc_id", "text", "label"], [("k1", T.LongType()), ("k2", T.LongType())], lambda: keys)
+    for k in ("k1", "k2"):
+        own = own.withColumn("first", F.min("doc_id").over(Window.partitionBy(k))).where("first = doc_id")
+    return as_table(own.select("doc_id", "text", "label"), "sample")
+
+
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", sample: int = 16384, max_terms: int = 20000, prior: float = 50.0, z_min: float = 4.0
+    docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", sample: int = 12288, max_terms: int = 20000, z_min: float = 2.5, effect: float = 1.0
 ) -> ToxicityModel:
-    """Learns from a sample of at most `sample` labelled documents that are not held out; the prior of each candidate term
-    is its share of all tokens of all documents.
-
-    Terms: those whose log-odds between the classes, with an informative Dirichlet prior of weight `prior` per class,
-    lie z_min deviations or more from zero; candidates are at most max_terms terms, the size of the model. lambda
-    solves E[exp(lambda s)] = 1 over all documents' tokens, K fits the non-toxic sample's best segments, and a logistic
-    curve turns the evidence into a score. Without both classes every score is that of no evidence.
+    """Learns from a sample of at most `sample` labelled documents that are not held out, copies taken out; the Dirichlet
+    prior of each candidate term is its share of the words of all documents, with the weight of the toxic sample.
+
+    Terms are words, and prefixes that stand for the words of a stem; each counts once a document, so that a long
+    document's favourite word stays one witness. Those are taken whose log-odds between the classes lie z_min deviations
+    and `effect` from zero; candidates are at most max_terms, the size of the model. lambda solves E[exp(lambda s)] = 1
+    over the words of all documents, K fits the non-toxic sample's best segments, and a logistic curve turns the
+    evidence into a score. Without both classes every score is that of no evidence.
     """
-    own = labelled_sample(docs, labels, label_col, sample)
+    own = _distinct_sample(docs, labels, label_col, sample)
+    term = T.StructType([T.StructField("w", T.StringType()), T.StructField("label", T.LongType()), T.StructField("n", T.LongType())])
 
     def counted(texts: list[str]) -> list[list]:
-        return [[(w.decode(errors="replace"), n) for w, n in Counter(tokens(t)).items()] for t in texts]
-
-    kind = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.LongType())]))
-    per_doc = map_text(own, "text", ["label"], [("c", kind)], lambda: lambda texts: [counted(texts)])
-    by_word = (
-        per_doc.select("label", F.explode("c").alias("c"))
+        c: Counter = Counter()
+        for t in texts:
+            label, _, body = t.partition(":")
+            words = set(tokens(body))
+            c.update((label, x) for x in {x for w in words for x in stems(w)})
+            c[label, b""] += len(words)
+        rows = [(w.decode(), int(label), n) for (label, w), n in c.items()]
+        return [[rows if k == 0 else [] for k in range(len(texts))]]
+
+    marked = own.select(F.concat_ws(":", F.when(F.col("label") == 1, "1").otherwise("0"), "text").alias("text"))
+    by_word = as_table(
+        map_text(marked, "text", [], [("c", T.ArrayType(term))], lambda: counted)
+        .select(F.explode("c").alias("c"))
         .groupBy("c.w")
-        .agg(
-            F.sum(F.when(F.col("label") == 1, F.col("c.n")).otherwise(0)).alias("t"),
-            F.sum(F.when(F.col("label") == 0, F.col("c.n")).otherwise(0)).alias("o"),
-            F.count(F.when(F.col("label") == 1, 1)).alias("docs"),
-        )
+        .agg(F.sum(F.when(F.col("c.label") == 1, F.col("c.n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("c.label") == 0, F.col("c.n")).otherwise(0)).alias("o")),
+        "terms",
     )
-    sizes = by_word.agg(F.sum("t"), F.sum("o")).first()
-    n_t, n_o = (float(x or 0) for x in sizes)
+    sizes = by_word.where("w = ''").first()
+    n_t, n_o = (float(sizes.t), float(sizes.o)) if sizes else (0.0, 0.0)
     if not n_t or not n_o:
         return ToxicityModel({}, -0.01)
-    lift = (F.col("t") + 0.5) / n_t / ((F.col("o") + 0.5) / n_o)
-    z = F.abs(F.log(lift)) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5))
-    cand = by_word.where("t + o >= 3").withColumn("z", z).where("z >= 2").orderBy(F.col("z").desc(), "w").limit(max_terms).collect()
+    # a first look, with a prior of one document: terms that can't reach the final bounds need no background count
+    lift = F.log((F.col("t") + 1) / (n_t + 1)) - F.log((F.col("o") + n_o / n_t) / (n_o + 1))
+    cand = by_word.where("w <> '' and t >= 2").withColumn("z", lift * F.sqrt("t")).where(lift > effect / 2).orderBy(F.col("z").desc(), "w").limit(max_terms).collect()
     vocabulary = docs.sparkSession.sparkContext.broadcast({r.w.encode(): i for i, r in enumerate(cand)})
     size = len(cand) + 1
 
     def background():
-        v = vocabulary.value
+        v, known = vocabulary.value, {}
 
         def count(texts: list[str]):
             total = np.zeros(size, np.int64)
             for t in texts:
-                words = tokens(t)
+                words = set(tokens(t))
                 total[-1] += len(words)
-                for w in words:
-                    if w in v:
-                        total[v[w]] += 1
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in words.difference(known):
+                    known[w] = [v[x] for x in stems(w) if x in v]
+                total[list({i for w in words if (k := known[w]) for i in k})] += 1
             at = np.flatnonzero(total)
             pairs = list(zip(at.tolist(), total[at].tolist(), strict=True))
             return [[pairs if k == 0 else [] for k in range(len(texts))]]
@@ -152,16 +203,16 @@ def fit_toxicity(
         every[r.i] = r.n
     share = (every[:-1] + 0.5) / (every[-1] + 1)
     t, o = (np.array([float(r[x]) for r in cand]) for x in ("t", "o"))
-    alpha = prior * share
-    delta = np.log((t + alpha) / (n_t + prior - t - alpha)) - np.log((o + alpha) / (n_o + prior - o - alpha))
-    sd = np.sqrt(1 / (t + alpha) + 1 / (o + alpha))
-    sure = np.abs(delta) / sd >= z_min
-    terms = {r.w.encode(): float(np.clip(d, -6, 6)) for r, d, s in zip(cand, delta, sure, strict=True) if s}
-    rest_t, rest_o = n_t - t[sure].sum(), n_o - o[sure].sum()
-    model = ToxicityModel(terms, min(-0.005, math.log((rest_t / n_t) / (rest_o / n_o))))
-
-    p = np.append(share[sure], max(1e-9, 1 - share[sure].sum()))
-    s = np.append([terms[r.w.encode()] for r, x in zip(cand, sure, strict=True) if x], model.other)
+    alpha = n_t * share
+    delta = np.log((t + alpha) / (2 * n_t - t - alpha)) - np.log((o + alpha) / (n_o + n_t - o - alpha))
+    sure = (delta / np.sqrt(1 / (t + alpha) + 1 / (o + alpha)) >= z_min) & (delta >= effect)
+    terms = {r.w.encode(): float(min(d, 6)) for r, d, s in zip(cand, delta, sure, strict=True) if s}
+    words = sure & np.array([not r.w.startswith(MARK.decode()) for r in cand], bool)
+    rest_t, rest_o = n_t - t[words].sum(), n_o - o[words].sum()
+    model = ToxicityModel(terms, min(-0.01, math.log((rest_t / n_t) / (rest_o / n_o))))
+
+    p = np.append(share[words], max(1e-9, 1 - share[words].sum()))
+    s = np.append([terms[r.w.encode()] for r, x in zip(cand, words, strict=True) if x], model.other)
     lo, hi = 1e-6, 20.0
     if (p * s).sum() < 0 < s.max():
         for _ in range(80):
@@ -171,10 +222,10 @@ def fit_toxicity(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def best():
-        m = shared.value
+        m, known = shared.value, {}
 
         def run(texts: list[str]):
-            got = [m.passages(t) for t in texts]
+            got = [m.passages(t, known) for t in texts]
             return [n for n, _ in got], [max((s for *_, s in f), default=0.0) for _, f in got]
 
         return run
@@ -197,12 +248,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
     def factory():
-        m = shared.value
+        m, known = shared.value, {}
 
         def run(texts: list[str]):
             scores, found = [], []
             for t in texts:
-                n, segs = m.passages(t)
+                n, segs = m.passages(t, known)
                 scores.append(m.score(m.bits(n, segs)))
                 if with_passages:
                     found.append([dict(zip(("start", "end", "score"), x, strict=True)) for x in segs if m.score(m.bits(n, [x])) >= threshold])

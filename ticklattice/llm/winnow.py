@@ -14,8 +14,8 @@ def winnow(text: Column, k: int, window: int) -> Column:
 
     Words are runs of other than [\\x20\\x09-\\x0D], lower-cased; fewer than k words make one gram, none make none. Of
     every `window` consecutive hashes the least is selected, of equal ones the rightmost (the packed position counts
-    down, so the least packed value is just that); fewer hashes are one window. Any run of window + k - 1 words that two
-    texts share selects a common hash.
+    down, so the least packed value is just that). Texts of fewer than 8 * window hashes take windows of an eighth of them,
+    so that short ones keep a few. Any run of window + k - 1 words that two texts share selects a common hash.
     """
     words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     last = (1 << POSITION_BITS) - 1
@@ -28,9 +28,8 @@ def winnow(text: Column, k: int, window: int) -> Column:
         )
 
     def least(hs: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(hs) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(hs, i, window))
-        )
+        w = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(F.size(hs) / 8).cast("int")))
+        return F.transform(F.sequence(F.lit(1), F.size(hs) - w + 1), lambda i: F.array_min(F.slice(hs, i, w)))
 
     def bind(value: Column, then) -> Column:
         return F.element_at(F.transform(F.array(value), then), 1)
@@ -60,7 +59,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / F.greatest(either, F.lit(1)))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, window: int = 8, parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 8, parts: int | None = None) -> DataFrame:
     """id, text, packed (its winnowing), next_text and next_packed of the next document by descending id.
 
     After the last document comes the first; null ids come last; equal ids stand in the order of their texts; a single
@@ -95,7 +94,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, window: int = 8) -> DataFrame:
+def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 8) -> DataFrame:
     """One row a document: its fingerprint, that of the text whose last half (floor(n_chars / 2) code points) gives way to
     the first as many of the next document, and the likeness of its fingerprint to the edited text's and the next one's.
 
