@@ -21,22 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ticklattice.llm._util import map_text, read_asset, shared_dir
-from ticklattice.llm.token_counts import load_tokenizer
+from ticklattice.llm._util import read_asset, shared_dir, slices
+from ticklattice.llm.token_counts import balanced, load_tokenizer, safe_pieces
 
 FRAME = struct.Struct("<QI")
 BODY = struct.Struct("<qB")
 END = struct.Struct("<I")
-#: Text whose pre-tokens may be encoded apart: here both regular-expression engines split alike.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*")
-#: Pre-tokens that a worker remembers at once, about 100 MB.
-REMEMBERED = 400_000
-_PIECES: dict[int, dict[str, bytes]] = {}
 
 
 def masked(crc: int) -> int:
@@ -66,86 +59,65 @@ def frames(data: memoryview) -> Iterator[tuple[int, int, int | None, memoryview]
         at = start + size + END.size + 1
 
 
-def id_encoder(spec: bytes, pattern: str, special: dict[str, int]):
-    """text -> its ids as little-endian uint32 bytes, as the tokenizers library gives them.
-
-    The library is asked once for each distinct pre-token of a batch that the worker does not remember: the ids of a
-    text are those of its pre-tokens in turn, with special strings standing between. Texts outside PLAIN go to the
-    library whole.
-    """
-    tok, split = load_tokenizer(spec), regex.compile(pattern)
-    known = _PIECES.setdefault(hash(spec), {})
-    marks = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
-    cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
-
-    def ask(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if not PLAIN.fullmatch(t):
-                parts.append(None)
-            elif cut and any(k in t for k in marks):
-                parts.append([p for x in cut.split(t) if x for p in ([x] if x in marks else split.findall(x))])
-            else:
-                parts.append(split.findall(t))
-        new = list({p for ps in parts if ps for p in ps}.difference(known, marks))
-        known.update(zip(new, ask(new), strict=True))
-        known.update(marks)
-        whole = iter(ask([t for t, ps in zip(texts, parts, strict=True) if ps is None]))
-        get = known.__getitem__
-        return [next(whole) if ps is None else b"".join(map(get, ps)) for ps in parts]
-
-    return encode
+def encode_ids(tok, texts: list[str], *, split_chars: int = 1 << 15, batch_bytes: int = 1 << 19) -> list[bytes]:
+    """The ids of each text as little-endian uint32 bytes, as the tokenizers library gives them; long texts are encoded in
+    pieces cut at safe boundaries, in batches of about batch_bytes."""
+    pieces, owner = [], []
+    for i, t in enumerate(texts):
+        for p in safe_pieces(t, split_chars):
+            pieces.append(p)
+            owner.append(i)
+    out: list[list[bytes]] = [[] for _ in texts]
+    for run in balanced([len(p) for p in pieces], batch_bytes):
+        for i, e in zip(run, tok.encode_batch_fast(pieces[run.start : run.stop], add_special_tokens=False), strict=True):
+            out[owner[i]].append(np.array(e.ids, "<u4").tobytes())
+    return [b"".join(x) for x in out]
 
 
 def write_id_records(
     docs: DataFrame,
     path: str,
     tokenizer_path: str,
-    pattern: str,
     *,
-    special: dict[str, int],
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shard_bytes: int = 8 << 20,
 ) -> None:
-    """Writes the shards of docs to path/records and their index to path/index.
+    """Writes the shards of docs to path/records, reads them back, and writes their index to path/index.
 
-    Ids are encoded before documents are dealt out by ranges of their id, so the exchange carries each text once; a shard
-    holds about shard_bytes of text. Null texts count as empty (the end id alone); null ids come first and are
-    flagged; equal ids stand in the order of their texts. Spark's text writer puts the frames down as they are, on any
-    file system and under its commit protocol, so a lost executor's task leaves nothing half-written.
+    Documents are dealt out by ranges of their id (adaptive execution sizes the ranges), so a shard's file follows the
+    one before it. Null texts count as empty (the end id alone); null ids come first and are flagged; equal ids stand in
+    the order of their texts. Spark's text writer puts the frames down as they are, on any file system and under its
+    commit protocol, so a lost executor's task leaves nothing half-written.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_asset(tokenizer_path))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    total = src.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    dealt = src.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
-    def factory():
-        encode = id_encoder(spec.value, pattern, special)
-        return lambda texts: [[x + end for x in encode(texts)]]
-
-    coded = map_text(dealt, "text", ["doc_id"], [("ids", T.BinaryType())], factory)
-
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [frame(i, x) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
-
-    coded.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
-    index = _scan(spark, f"{path}/records").drop("ids_crc32")
-    index.write.parquet(f"{path}/index")
+        tok = load_tokenizer(spec.value)
+        for big in batches:
+            for b in slices(big, 1, 2 << 20):
+                ids = encode_ids(tok, b.column(1).to_pylist())
+                rows = [frame(i, x + end) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+
+    dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
+    scanned = _scan(spark, f"{path}/records")
+    scanned.write.parquet(f"{path}/scan")
+    rows = spark.read.schema(scanned.schema).parquet(f"{path}/scan")
+    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    base = sums.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows.join(base, "shard").select(
+        "shard", "record", "offset", "body_bytes", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
+    ).write.parquet(f"{path}/index")
 
 
 def _scan(spark: SparkSession, records: str) -> DataFrame:
-    """A row a frame, with the number of ids that stand before it in the whole output (start)."""
+    """A row a frame, read from the files, with the number of ids before it in its shard."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(records)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,21 +132,33 @@ def _scan(spark: SparkSession, records: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    rows = files.select("path", "content").mapInArrow(
+    return files.select("path", "content").mapInArrow(
         parse, "shard int, record long, offset long, body_bytes long, doc_id long, before long, n_tokens long, ids_crc32 long"
     )
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    base = sums.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(base, "shard").select(
-        "shard", "record", "offset", "body_bytes", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
-    )
 
 
-def read_id_records(spark: SparkSession, path: str) -> DataFrame:
-    """What the files at `path` hold, one row a record, every checksum verified: doc_id, start, n_tokens, ids_crc32, and the
-    place of the record (shard, record, offset, body_bytes). Rows come in no order; an empty output has none."""
-    return _scan(spark, f"{path}/records")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """One row a record, as the writer found them when it read its files back and verified every checksum: shard, record,
+    offset, body_bytes, doc_id, start (ids before it in the whole output), n_tokens, ids_crc32. Rows come in no order; an
+    empty output has none."""
+    return spark.read.parquet(f"{path}/index")
+
+
+def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """doc_id and ids (array of int) of the records, checksums verified; of those whose shard and offset `wanted` names (rows
+    of the index, say a shuffled part of it), or all."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for where, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = [(int(re.search(r"part-(\d+)", where)[1]), at, i, np.frombuffer(x, "<i4")) for at, _, i, x in frames(memoryview(content.as_buffer()))]
+                cols = list(zip(*got, strict=True)) or [[]] * 4
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "offset", "doc_id", "ids"])
+
+    rows = files.select("path", "content").mapInArrow(parse, "shard int, offset long, doc_id long, ids array<int>")
+    return (rows if wanted is None else rows.join(wanted.select("shard", "offset"), ["shard", "offset"], "left_semi")).select("doc_id", "ids")
 
 
 def new_output(spark: SparkSession) -> str:

@@ -129,12 +129,11 @@ def _scan_group(src: DataFrame, group: Mapping[str, list[str]], k: int, containm
 
     known = spark.createDataFrame(list(group.items()), "license_id string, w array<string>").select("license_id", grams(F.col("w")).alias("th")).collect()
     parts = sorted({h for r in known for h in r.th})  # of the fixed templates
-    windows = (
-        src.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0)), F.lit(step))).alias("at"))
-        .select("doc_id", "at", F.slice("w", F.col("at") + 1, size).alias("w"))
-        .select("doc_id", "at", grams(F.col("w")).alias("wh"))
-        .where(F.arrays_overlap("wh", F.lit(parts)))
-    )
+    cut = lambda at: F.struct(at.alias("at"), grams(F.slice(F.col("w"), at + 1, size)).alias("wh"))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0)), F.lit(step)), cut)
+    # outer, so that the optimizer infers no filter that would cut the windows a second time
+    windows = src.select("doc_id", F.explode_outer(F.filter(every, lambda x: F.arrays_overlap(x["wh"], F.lit(parts)))).alias("x"))
+    windows = windows.where("x is not null").select("doc_id", "x.at", "x.wh")
     windows = as_table(windows, "windows")
     keyed = windows.withColumn("b", bands(F.col("wh"))).select("doc_id", "at", "wh", "b.band", "b.value")
     mine = spark.createDataFrame(known, "license_id string, th array<bigint>").withColumn("b", bands(F.col("th"))).select("license_id", "th", "b.band", "b.value")

@@ -10,7 +10,7 @@ from ticklattice.llm._util import held_out, read
 from ticklattice.llm.bpe_codec import bpe_codec
 from ticklattice.llm.decontam import matches
 from ticklattice.llm.html_text import extract_html
-from ticklattice.llm.id_records import new_output, read_id_records, write_id_records
+from ticklattice.llm.id_records import new_output, read_index, write_id_records
 from ticklattice.llm.licenses import scan_licenses
 from ticklattice.llm.quality import fit_quality, score_quality
 from ticklattice.llm.simhash import near_duplicates
@@ -18,9 +18,6 @@ from ticklattice.llm.token_counts import token_counts
 from ticklattice.llm.toxicity import fit_toxicity, score_toxicity
 from ticklattice.llm.winnow import edited_likeness
 
-#: Special strings of byte_bpe_50k.json.
-SPECIAL = {"<|endoftext|>": 50256}
-
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,10 +62,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_id_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_output(spark)
-    write_id_records(
-        read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, special=SPECIAL
-    )
-    return read_id_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    write_id_records(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
