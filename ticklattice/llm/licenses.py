@@ -93,6 +93,7 @@ def scan_licenses(
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     hold = "|".join(anchors(templates, shingle, containment))
     src = src.where(F.lower("text").rlike(f"(?<![a-z0-9])(?:{hold})(?![a-z0-9])")).select("doc_id", words(F.col("text")).alias("w"))
+    src = as_table(src, "anchored")
     by_length: dict[tuple[int, int], dict[str, list[str]]] = defaultdict(dict)
     for name, text in templates.items():
         ws = normal_words(text)
@@ -134,7 +135,6 @@ def _scan_group(src: DataFrame, group: Mapping[str, list[str]], k: int, containm
     # outer, so that the optimizer infers no filter that would cut the windows a second time
     windows = src.select("doc_id", F.explode_outer(F.filter(every, lambda x: F.arrays_overlap(x["wh"], F.lit(parts)))).alias("x"))
     windows = windows.where("x is not null").select("doc_id", "x.at", "x.wh")
-    windows = as_table(windows, "windows")
     keyed = windows.withColumn("b", bands(F.col("wh"))).select("doc_id", "at", "wh", "b.band", "b.value")
     mine = spark.createDataFrame(known, "license_id string, th array<bigint>").withColumn("b", bands(F.col("th"))).select("license_id", "th", "b.band", "b.value")
     return (
