@@ -122,18 +122,24 @@ def _scan_group(src: DataFrame, group: Mapping[str, list[str]], k: int, containm
 
     def grams(ws: Column) -> Column:
         gram = lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)])
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - k, F.lit(0))), gram))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - k, F.lit(0))), gram)
 
     def bands(hs: Column) -> Column:
         least = lambda seed: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, F.lit(seed))))
         return F.explode(F.array(*[F.struct(F.lit(j).alias("band"), least(s).alias("value")) for j, s in enumerate(seeds)]))
 
-    known = spark.createDataFrame(list(group.items()), "license_id string, w array<string>").select("license_id", grams(F.col("w")).alias("th")).collect()
+    known = spark.createDataFrame(list(group.items()), "license_id string, w array<string>").select("license_id", F.array_distinct(grams(F.col("w"))).alias("th")).collect()
     parts = sorted({h for r in known for h in r.th})  # of the fixed templates
-    cut = lambda at: F.struct(at.alias("at"), grams(F.slice(F.col("w"), at + 1, size)).alias("wh"))
-    every = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0)), F.lit(step)), cut)
-    # outer, so that the optimizer infers no filter that would cut the windows a second time
-    windows = src.select("doc_id", F.explode_outer(F.filter(every, lambda x: F.arrays_overlap(x["wh"], F.lit(parts)))).alias("x"))
+
+    def around(hs: Column) -> Column:
+        """The windows that hold a template shingle, as structs of at and wh, from a text's shingle hashes."""
+        hit = F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: F.get(hs, i).isin(parts))
+        first = lambda p: F.greatest(F.lit(0), F.floor((p - size + k + step - 1) / step)).cast("int")
+        starts = F.transform(hit, lambda p: F.transform(F.sequence(first(p), F.floor(p / step).cast("int")), lambda x: x * step))
+        return F.transform(F.array_distinct(F.flatten(starts)), lambda at: F.struct(at.alias("at"), F.array_distinct(F.slice(hs, at + 1, size - k + 1)).alias("wh")))
+
+    # the hashes are bound once; outer, so that the optimizer infers no filter that would make the windows a second time
+    windows = src.select("doc_id", F.explode_outer(F.element_at(F.transform(F.array(grams(F.col("w"))), around), 1)).alias("x"))
     windows = windows.where("x is not null").select("doc_id", "x.at", "x.wh")
     keyed = windows.withColumn("b", bands(F.col("wh"))).select("doc_id", "at", "wh", "b.band", "b.value")
     mine = spark.createDataFrame(known, "license_id string, th array<bigint>").withColumn("b", bands(F.col("th"))).select("license_id", "th", "b.band", "b.value")
