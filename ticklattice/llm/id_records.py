@@ -4,7 +4,7 @@ A shard file is a run of frames, one a document, in ascending (id, text) order:
 
     8 bytes   length of the body
     4 bytes   masked CRC-32 of those 8 bytes
-    body      8 bytes document id (signed), 1 byte flags (1: null id), then the ids, 4 bytes each
+    body      8 bytes document id (signed), 1 byte flags (1: null id, 2: wide), then the ids, 4 bytes each if wide, else 2
     4 bytes   masked CRC-32 of the body
     1 byte    line feed, with which the writer ends every record
 
@@ -37,14 +37,16 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    body = BODY.pack(doc_id or 0, doc_id is None) + ids
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
+    """The frame of a document's ids (unsigned); two bytes an id where the array's type says so."""
+    wide = ids.itemsize == 4
+    body = BODY.pack(doc_id or 0, (doc_id is None) + 2 * wide) + ids.astype("<u4" if wide else "<u2").tobytes()
     size = struct.pack("<Q", len(body))
     return b"".join((size, struct.pack("<I", masked(zlib.crc32(size))), body, END.pack(masked(zlib.crc32(body)))))
 
 
-def frames(data: memoryview) -> Iterator[tuple[int, int, int | None, memoryview]]:
-    """(offset, body length, document id, ids) of each frame of a shard; ValueError where a checksum does not hold."""
+def frames(data: memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+    """(offset, body length, document id, ids as 4-byte integers) of each frame of a shard; ValueError where a checksum does not hold."""
     at = 0
     while at < len(data):
         size, crc = FRAME.unpack_from(data, at)
@@ -55,23 +57,24 @@ def frames(data: memoryview) -> Iterator[tuple[int, int, int | None, memoryview]
         if len(body) < size or masked(zlib.crc32(body)) != END.unpack_from(data, start + size)[0]:
             raise ValueError(f"the record at byte {at} is damaged")
         doc_id, flags = BODY.unpack_from(body, 0)
-        yield at, size, None if flags & 1 else doc_id, body[BODY.size :]
+        yield at, size, None if flags & 1 else doc_id, np.frombuffer(body[BODY.size :], "<u4" if flags & 2 else "<u2").astype("<u4")
         at = start + size + END.size + 1
 
 
-def encode_ids(tok, texts: list[str], *, split_chars: int = 1 << 15, batch_bytes: int = 1 << 19) -> list[bytes]:
-    """The ids of each text as little-endian uint32 bytes, as the tokenizers library gives them; long texts are encoded in
+def encode_ids(tok, texts: list[str], *, split_chars: int = 1 << 15, batch_bytes: int = 1 << 19) -> list[np.ndarray]:
+    """The ids of each text, in two bytes each if the vocabulary allows, else in four, as the tokenizers library gives them; long texts are encoded in
     pieces cut at safe boundaries, in batches of about batch_bytes."""
     pieces, owner = [], []
     for i, t in enumerate(texts):
         for p in safe_pieces(t, split_chars):
             pieces.append(p)
             owner.append(i)
-    out: list[list[bytes]] = [[] for _ in texts]
+    kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
+    out: list[list[np.ndarray]] = [[] for _ in texts]
     for run in balanced([len(p) for p in pieces], batch_bytes):
         for i, e in zip(run, tok.encode_batch_fast(pieces[run.start : run.stop], add_special_tokens=False), strict=True):
-            out[owner[i]].append(np.array(e.ids, "<u4").tobytes())
-    return [b"".join(x) for x in out]
+            out[owner[i]].append(np.array(e.ids, kind))
+    return [np.concatenate(x) for x in out]
 
 
 def write_id_records(
@@ -94,14 +97,13 @@ def write_id_records(
     spec = spark.sparkContext.broadcast(read_asset(tokenizer_path))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     dealt = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(spec.value)
         for big in batches:
             for b in slices(big, 1, 2 << 20):
                 ids = encode_ids(tok, b.column(1).to_pylist())
-                rows = [frame(i, x + end) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
+                rows = [frame(i, np.append(x, x.dtype.type(end_id))) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
@@ -127,8 +129,8 @@ def _scan(spark: SparkSession, records: str) -> DataFrame:
             for where, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 shard, before, rows = int(re.search(r"part-(\d+)", where)[1]), 0, []
                 for k, (at, size, doc_id, ids) in enumerate(frames(memoryview(content.as_buffer()))):
-                    rows.append((shard, k, at, size, doc_id, before, len(ids) // 4, zlib.crc32(ids)))
-                    before += len(ids) // 4
+                    rows.append((shard, k, at, size, doc_id, before, len(ids), zlib.crc32(ids.tobytes())))
+                    before += len(ids)
                 cols = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -152,7 +154,7 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for where, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = [(int(re.search(r"part-(\d+)", where)[1]), at, i, np.frombuffer(x, "<i4")) for at, _, i, x in frames(memoryview(content.as_buffer()))]
+                got = [(int(re.search(r"part-(\d+)", where)[1]), at, i, x.astype(np.int32)) for at, _, i, x in frames(memoryview(content.as_buffer()))]
                 cols = list(zip(*got, strict=True)) or [[]] * 4
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "offset", "doc_id", "ids"])
