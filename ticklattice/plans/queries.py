@@ -1,2 +1,285 @@
-QUERIES = {}
-ORACLES = {}
+"""The engine's queries over the driver tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+from functools import partial
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ticklattice.operators import book, causal, diagnostics, features, hmm
+from ticklattice.operators.rolling import ema, zscores
+from ticklattice.params import FEATURES, SPARSE
+from ticklattice.plans import oracles
+from ticklattice.sources.adapter import MBO_SCHEMA, contract_filter, mbo_events, session_bounds
+from ticklattice.streaming import book_stream
+
+ORACLES = oracles.ORACLES
+P = SPARSE
+MODEL = ["midprice", "log_spread", "market_depth", "depth_imbalance", "signed_volume_pressure"]
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k (instrument), t (position), regime and v of every event."""
+    w = Window.partitionBy("instrument").orderBy("seq")
+    e = mbo_events(spark, sf_dir)
+    return e.select(F.col("instrument").alias("k"), F.row_number().over(w).alias("t"), (F.col("order_id") % 3).cast("int").alias("regime"), F.col("price_ticks").cast("double").alias("v"), F.col("size").cast("double").alias("u"), "ts_us")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both instruments' label series side by side, by position."""
+    s = _series(spark, sf_dir)
+    a, b = (s.where(F.col("k") == n) for n in ("SPOT", "FUT"))
+    a = a.select("t", F.col("regime").alias("a"), F.col("v").alias("x"))
+    return a.join(b.select("t", F.col("regime").alias("b"), F.col("v").alias("y")), "t").select(F.lit(0).alias("k"), "t", "a", "b", "x", "y")
+
+
+def q_mbo_events(spark, d):
+    return mbo_events(spark, d)
+
+
+def q_contract_filter(spark, d):
+    e = mbo_events(spark, d).withColumn("contract", F.col("order_id") % 10)
+    return contract_filter(e, "FUT", "contract", 3).groupBy("instrument", "action").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"))
+
+
+def q_clock_audit(spark, d):
+    day = F.floor(F.col("ts_us") / 86_400_000_000)
+    w = Window.partitionBy("day").orderBy("seq")
+    return mbo_events(spark, d).withColumn("day", day).withColumn("late", F.when(F.col("ts_us") < F.lag("ts_us").over(w), 1).otherwise(0)).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("late").alias("late"))
+
+
+def q_session_bounds(spark, d):
+    dates = mbo_events(spark, d).select(F.date_format(F.timestamp_micros("ts_us"), "yyyyMMdd").alias("date")).distinct()
+    return session_bounds(dates)
+
+
+def q_systematic_sample(spark, d):
+    return _series(spark, d).where(F.col("t") % 50 == 1).select("k", "t", "regime", "v")
+
+
+def q_accepted_events(spark, d):
+    return book.judge(mbo_events(spark, d)).select("seq", "instrument", "order_id", "action", "accepted")
+
+
+def q_rejected_audit(spark, d):
+    j = book.judge(mbo_events(spark, d))
+    return j.where("action in ('A', 'M', 'C')").groupBy("instrument", "action").agg(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("rejected"))
+
+
+def q_unknown_orders(spark, d):
+    """Modifications and cancellations of orders that no add ever named."""
+    e = mbo_events(spark, d)
+    return e.where("action in ('M', 'C')").join(e.where("action = 'A'").select(*book.KEY).distinct(), book.KEY, "left_anti").select("seq", *book.KEY, "action")
+
+
+def q_order_versions(spark, d):
+    return book.versions(book.judge(mbo_events(spark, d))).select("seq", "instrument", "order_id", "side", "price_ticks", "size", "start_us", "end_us")
+
+
+def _cells(spark, d, step):
+    e = mbo_events(spark, d)
+    first, last = features.bounds(e, P)
+    ratio = P.snapshot_us // step
+    first, last = (first - 1) * ratio + 1, last * ratio
+    return e, book.cells(book.versions(book.judge(e)), step, first, last), first, last
+
+
+def q_book_levels(spark, d):
+    _, c, *_ = _cells(spark, d, P.snapshot_us)
+    return book.top_levels(c, P.depth).select("instrument", "g", "side", "level", "price_ticks", "size")
+
+
+def q_book_depth_change(spark, d):
+    e, c, first, last = _cells(spark, d, P.snapshot_us)
+    a = book.depth_arrays(book.top_levels(c, P.depth), features.grid(e, first, last), P.depth)
+    return a.select("instrument", "g", F.posexplode(F.arrays_zip("bid_d", "ask_d")).alias("level", "x")).select("instrument", "g", "level", "x.bid_d", "x.ask_d")
+
+
+def q_book_best_prices(spark, d):
+    _, c, *_ = _cells(spark, d, P.sample_us)
+    return book.best_prices(c).select("instrument", "g", "bid", "ask", "mid", "spread")
+
+
+def q_merged_stream(spark, d):
+    return book.merged(mbo_events(spark, d), "SPOT").select("seq", "ts_us", "instrument", "rank")
+
+
+def q_aligned_snapshots(spark, d):
+    _, c, *_ = _cells(spark, d, P.snapshot_us)
+    b = book.best_prices(c)
+    side = lambda n, i: b.where(F.col("instrument") == i).select("g", F.col("mid").alias(f"{n}_mid"), F.col("spread").alias(f"{n}_spread"))
+    return side("base", "SPOT").join(side("future", "FUT"), "g")
+
+
+def q_trade_windows(spark, d):
+    t = features.trade_windows(mbo_events(spark, d), P.rolling)
+    return t.select("seq", "instrument", *[F.col(c).cast("long").alias(c) for c in ("buy", "sell", "n", "net", "buys", "flips")])
+
+
+def q_adds_per_snapshot(spark, d):
+    j = book.judge(mbo_events(spark, d)).where("accepted and action = 'A'")
+    return j.groupBy("instrument", (F.floor(F.col("ts_us") / P.snapshot_us) + 1).alias("g")).agg(F.count(F.lit(1)).alias("adds"))
+
+
+def q_sample_windows(spark, d):
+    e, c, first, last = _cells(spark, d, P.sample_us)
+    return rounded(features.sample_windows(c, e, P, first, last), 8)
+
+
+def q_features_raw(spark, d):
+    return rounded(features.features(mbo_events(spark, d), P)).select("instrument", "timestamp_ns", *FEATURES)
+
+
+def q_features_norm(spark, d):
+    return rounded(features.normalised(features.features(mbo_events(spark, d), P), P.zscore), 4).withColumnRenamed("g", "grid")
+
+
+def q_zscore(spark, d):
+    return rounded(zscores(_series(spark, d), ["k"], "t", ["v", "u"], P.zscore), 5)
+
+
+def q_ema(spark, d):
+    s = _series(spark, d).where("t <= 400").select("k", "t", "u")
+    return rounded(ema(s, ["k"], "t", {"e2": ("u", 0.2), "e1": ("u", 0.1)}))
+
+
+def q_event_count_trigger(spark, d):
+    w = Window.partitionBy("instrument").orderBy("seq")
+    return mbo_events(spark, d).withColumn("k", F.row_number().over(w)).where("k % 100 = 0").select("instrument", "k", "seq")
+
+
+def q_label_durations(spark, d):
+    return rounded(diagnostics.durations(_series(spark, d), ["k"], "t"))
+
+
+def q_variance_table(spark, d):
+    return rounded(diagnostics.variances(_series(spark, d), ["v", "u"]), 4)
+
+
+def q_regime_means(spark, d):
+    return rounded(diagnostics.regime_means(_series(spark, d), ["v", "u"]))
+
+
+def q_autocorrelation(spark, d):
+    return rounded(diagnostics.autocorrelations(_series(spark, d), ["k"], "t", "v"))
+
+
+def q_series_summary(spark, d):
+    return rounded(diagnostics.series_summary(_series(spark, d), ["k"], "t", "v"), 4)
+
+
+def q_correlation_matrix(spark, d):
+    return rounded(diagnostics.correlations(mbo_events(spark, d), ["price_ticks", "size", "order_id"]))
+
+
+def q_standard_scaler(spark, d):
+    return rounded(diagnostics.standardised(_series(spark, d), ["v", "u"]).select("k", "t", "v", "u"))
+
+
+def q_cluster_scores(spark, d):
+    return rounded(diagnostics.cluster_scores(_series(spark, d), ["v", "u"]), 4)
+
+
+def q_silhouette(spark, d):
+    return diagnostics.silhouette(_series(spark, d), ["v", "u"], sample=2000)
+
+
+def q_crosstab(spark, d):
+    return _pairs(spark, d).groupBy("a").pivot("b", [0, 1, 2]).count().na.fill(0).select(F.col("a"), *[F.col(str(i)).alias(f"b{i}") for i in range(3)])
+
+
+def q_cross_correlation(spark, d):
+    w = Window.partitionBy("k").orderBy("t")
+    p = _pairs(spark, d)
+    cols = {j: F.lag("y", j).over(w) if j >= 0 else F.lead("y", -j).over(w) for j in range(-20, 21)}
+    wide = p.select("x", *[c.alias(f"y{j + 20}") for j, c in cols.items()])
+    row = wide.agg(*[F.corr(F.when(F.col(f"y{j + 20}").isNotNull(), F.col("x")), F.col(f"y{j + 20}")).alias(f"c{j + 20}") for j in cols])
+    return rounded(row.select(F.explode(F.array(*[F.struct(F.lit(j).alias("lag"), F.col(f"c{j + 20}").alias("rho")) for j in cols])).alias("x")).select("x.*"))
+
+
+def q_transitions(spark, d):
+    w = Window.partitionBy("k").orderBy("t")
+    return causal.transitions(_series(spark, d).select("k", F.col("regime").alias("cur"), F.lag("regime").over(w).alias("prev")).where("prev is not null"), "k", "prev")
+
+
+def q_lag_transitions(spark, d):
+    return causal.transitions(causal.lagged(_pairs(spark, d), 3), "prev", "past")
+
+
+def q_likelihood_ratio(spark, d):
+    return rounded(causal.likelihood_ratio(_pairs(spark, d), 10, 3, 3).select("ll0", "ll1", "stat", "df"), 4)
+
+
+def q_cmi(spark, d):
+    out = None
+    for delta in range(1, 6):
+        c = causal.conditional_mutual_information(causal.lagged(_pairs(spark, d), delta)).withColumn("lag", F.lit(delta))
+        out = c if out is None else out.unionByName(c)
+    return rounded(out.select("lag", "cmi"), 8)
+
+
+def q_cmi_permutation(spark, d):
+    return causal.permutation_p(_pairs(spark, d), 1)
+
+
+def q_granger(spark, d):
+    return causal.granger(_pairs(spark, d), 3)
+
+
+def q_granger_both_ways(spark, d):
+    p = _pairs(spark, d).select("k", "t", (F.col("x") - 400000).alias("x"), (F.col("y") - 400000).alias("y"))
+    there = causal.granger(p, 10).withColumn("direction", F.lit("forward"))
+    return there.unionByName(causal.granger(p.select("k", "t", F.col("x").alias("y"), F.col("y").alias("x")), 10).withColumn("direction", F.lit("backward"))).orderBy("lag", "p_value").limit(25)
+
+
+def q_granger_rows(spark, d):
+    """Sums from which the lag-1 regressions are solved."""
+    r = causal.granger_rows(_pairs(spark, d).select("k", "t", (F.col("x") - 400000).alias("x"), (F.col("y") - 400000).alias("y")), 1)
+    return rounded(r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y0") * F.col("y1")).alias("y0y1"), F.sum(F.col("y0") * F.col("x1")).alias("y0x1"), F.sum(F.col("x1") * F.col("y1")).alias("x1y1")), 1)
+
+
+def q_adf(spark, d):
+    return causal.adf(_pairs(spark, d))
+
+
+def q_hayashi_yoshida(spark, d):
+    s = _series(spark, d).where("regime = 0").select("k", F.col("ts_us").alias("t"), "v")
+    a, b = (s.where(F.col("k") == n).select(F.lit(0).alias("k"), "t", "v") for n in ("SPOT", "FUT"))
+    return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).select("covariance", "overlaps"), 3)
+
+
+def q_regimes(spark, d):
+    f = features.features(mbo_events(spark, d), P).na.drop(subset=MODEL)
+    z = diagnostics.standardised(f.select("instrument", "g", *MODEL), MODEL)
+    m = hmm.fit_hmm(z, ["instrument"], "g", MODEL, states=3, iterations=15)
+    return hmm.decode(z, m, ["instrument"], "g", MODEL)
+
+
+def q_pca(spark, d):
+    f = features.features(mbo_events(spark, d), P).select("instrument", "g", *MODEL).na.drop()
+    comps, _ = hmm.pca(f, MODEL)
+    return hmm.project(f, MODEL, comps)
+
+
+def q_stream_book(spark, d):
+    """The streaming judge over the same events, fed as files; equal to the batch one."""
+    with_dir = Path(tempfile.mkdtemp(prefix="ticklattice-stream-")).as_uri() if not (at := spark.conf.get("spark.checkpoint.dir", None)) else f"{at.rstrip('/')}/ticklattice"
+    import uuid
+
+    base = f"{with_dir}/{uuid.uuid4().hex}"
+    mbo_events(spark, d).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(MBO_SCHEMA).parquet(f"{base}/in")
+    q = book_stream.live_orders(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("seq", "instrument", "order_id", "action", "accepted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
