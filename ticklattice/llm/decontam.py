@@ -25,66 +25,60 @@ EDGE = ".,;:!?\"'()[]{}*#&|»«“”…"
 #: Odd multiplier of the rolling window hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words that a worker remembers at once.
-REMEMBERED = 500_000
-
-
-def classify(word: str) -> tuple[str, int, bool, bool]:
-    """The bare lower-cased word, its slot type (0: none), whether it is capitalised, whether a sentence ends with it."""
-    bare = word.strip(EDGE)
-    low = bare.lower()
-    ends = word.rstrip("\"')]”»*#&|").endswith((".", "!", "?", ":"))
-    if any(c.isdigit() for c in bare) and not any(c.isalpha() for c in bare) or low in NUMERALS:
-        return low, NUMBER, False, ends
-    if low in UNITS and len(low) > 1 or low in ("%", "$", "€", "£"):
-        return low, UNIT, False, ends
-    return low, 0, len(bare) > 1 and bare[0].isupper() and bare[1:].islower(), ends
-
-
-class Canonical:
-    """Texts as canonical words: 64-bit hashes in which numbers, units and names are typed placeholders.
-
-    A name is a capitalised word (not all capitals) that does not begin a sentence or line."""
-
-    def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.low: list[str] = []
-        self.facts = np.zeros((0, 4), np.uint64)
-
-    def _learn(self, new: list[str]) -> None:
-        import xxhash
-
-        rows = []
-        for w in new:
-            low, slot, cap, ends = classify(w)
-            self.index[w] = len(self.low)
-            self.low.append(low)
-            rows.append((xxhash.xxh64_intdigest(low.encode(), 0), slot, cap, ends))
-        if rows:
-            self.facts = np.concatenate([self.facts, np.array(rows, np.uint64)])
-
-    def words(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts in turn: word ids, canonical hashes, slot types; and where each text's words begin."""
-        if len(self.index) > REMEMBERED:
-            self.__init__()
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        self._learn(list(set(flat).difference(self.index)))
-        ids = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        starts = np.concatenate(([0], np.cumsum([len(ws) for ws in split]))).astype(np.int64)
-        if not len(ids):
-            return ids, np.zeros(0, np.uint64), np.zeros(0, np.int8), starts
-        f = self.facts[ids]
-        begins = np.concatenate(([True], f[:-1, 3] > 0))
-        begins[starts[:-1][starts[:-1] < len(ids)]] = True
-        slot = np.where(f[:, 1] > 0, f[:, 1], np.where((f[:, 2] > 0) & ~begins, np.uint64(NAME), np.uint64(0)))
-        return ids, np.where(slot > 0, slot, f[:, 0]), slot.astype(np.int8), starts
+REMEMBERED = 600_000
+#: Bits of a word's code: its slot type, whether it is capitalised, whether a sentence ends with it; the rest is its number.
+SLOT, CAPITAL, ENDS, SHIFT = 3, 4, 8, 4
+
+
+def bare(word: str) -> str:
+    return (word if word.isalpha() else word.strip(EDGE)).lower()
+
+
+class Codes(dict):
+    """word -> code, made as words come: for a literal word its number in the vocabulary of the templates (0: in none)."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if word.isalpha():
+            raw, ends = word, 0
+        else:
+            raw = word.strip(EDGE)
+            ends = ENDS if word.rstrip("\"')]”»*#&|").endswith((".", "!", "?", ":")) else 0
+        low = raw.lower()
+        if low in NUMERALS or not raw.isalpha() and any(map(str.isdigit, raw)) and not any(map(str.isalpha, raw)):
+            code = NUMBER
+        elif low in UNITS and (len(low) > 1 or low in "%$€£"):
+            code = UNIT
+        else:
+            code = self.vocabulary.get(low, 0) << SHIFT | (CAPITAL if len(raw) > 1 and raw[0].isupper() and raw[1:].islower() else 0)
+        self[word] = code = code | ends
+        return code
+
+    def canonical(self, flat: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and slot types of the words of texts that begin at `starts`: numbers, units and names are typed
+        placeholders. A name is a capitalised word (not all capitals) that does not begin a sentence or text."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        c = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        begins = np.empty(len(c), bool)
+        begins[1:] = (c[:-1] & ENDS) > 0
+        begins[starts[starts < len(c)]] = True
+        slot = c & SLOT
+        slot[(slot == 0) & ((c & CAPITAL) > 0) & ~begins] = NAME
+        return np.where(slot > 0, slot, (c >> SHIFT) + SLOT + 1).astype(np.uint64), slot
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Rolling hashes of all windows of n canonical words."""
+    mixed = h * BASE
+    mixed ^= mixed >> np.uint64(29)
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for j in range(n):
-        out = out * BASE + (h[j : j + len(out)] ^ (h[j : j + len(out)] >> np.uint64(29)))
+        out *= BASE
+        out += mixed[j : j + len(out)]
     return out
 
 
@@ -92,57 +86,70 @@ class Templates:
     """The windows of a block of benchmark items, by hash."""
 
     def __init__(self, items: Sequence[tuple[int, str]], window: int, literal: int):
-        self.window, self.items = window, []
+        self.items: list[tuple[int, list[str], np.ndarray]] = []
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
+        split = [(i, (t or "").split()) for i, t in items]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({bare(w) for _, ws in split for w in ws} - {""}), 1)}
+        codes = Codes(self.vocabulary)
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            can = Canonical()
-            ids, h, slot, _ = can.words([text or ""])
-            n = min(window, len(ids))
+        for item_id, words in split:
+            n = min(window, len(words))
             if n < min(window, 4):  # a benchmark text of one to three words tells nothing
                 continue
+            h, slot = codes.canonical(words, np.zeros(1, np.int64))
             for at, x in enumerate(windows(h, n).tolist()):
                 if (slot[at : at + n] == 0).sum() >= min(literal, n - 1):
                     found[n][x].append((len(self.items), at))
-            self.items.append((item_id, [can.low[i] for i in ids], slot))
+            self.items.append((item_id, [bare(w) for w in words], slot))
         for n, table in found.items():
             bits = np.zeros(1 << 20, bool)
             keys = np.array(sorted(table), np.uint64)
             bits[(keys >> np.uint64(44)).astype(np.int64)] = True
             self.by_size[n] = bits, keys, table
 
-    def match(self, can: Canonical, ids: np.ndarray, h: np.ndarray, slot: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
-        """(item id, words covered, the item's words, slots whose value differs, reparameterised) of the items that a text
-        holds windows of, checked word by word, with one consistent value for each value of a slot."""
-        cover: dict[int, set[int]] = defaultdict(set)
-        bind: dict[int, dict[tuple[int, str], str]] = defaultdict(dict)
+    def match(self, codes: Codes, texts: Sequence[str]) -> list[list[tuple[int, int, int, int, bool]]]:
+        """For each text (item id, words covered, the item's words, slots whose value differs, reparameterised) of the items
+        that it holds windows of, checked word by word, with one consistent value for each value of a slot."""
+        split = [t.split() for t in texts]
+        starts = np.cumsum([0, *map(len, split)])
+        flat = [w for ws in split for w in ws]
+        h, slot = codes.canonical(flat, starts[:-1])
+        cover: dict[tuple[int, int], set[int]] = defaultdict(set)
+        bind: dict[tuple[int, int], tuple[dict, dict]] = defaultdict(lambda: ({}, {}))
         for n, (bits, keys, table) in self.by_size.items():
             x = windows(h, n)
             maybe = np.flatnonzero(bits[(x >> np.uint64(44)).astype(np.int64)])
-            for p in maybe[np.isin(x[maybe], keys)].tolist():
-                for i, at in table[int(x[p])]:
-                    _, words, kinds = self.items[i]
-                    mine = [can.low[j] for j in ids[p : p + n]]
-                    pairs, ok = dict(bind[i]), True
-                    back = {(k, v): w for (k, w), v in pairs.items()}
-                    for q in range(n):
-                        k, w, v = int(kinds[at + q]), words[at + q], mine[q]
-                        if k != int(slot[p + q]) or not k and w != v:
-                            ok = False
-                        elif k and (pairs.setdefault((k, w), v) != v or back.setdefault((k, v), w) != w):
-                            ok = False
-                        if not ok:
-                            break
-                    if ok:
-                        bind[i] = pairs
-                        cover[i].update(range(at, at + n))
-        return [
-            (self.items[i][0], len(c), len(self.items[i][1]), changed := sum(w != v for (_, w), v in bind[i].items()), changed > 0)
-            for i, c in sorted(cover.items())
-        ]
-
-
-#: Of numpy's structured results: the columns that a match has.
+            maybe = maybe[np.isin(x[maybe], keys)]
+            doc = np.searchsorted(starts, maybe, "right") - 1
+            for p, d in zip(maybe.tolist(), doc.tolist(), strict=True):
+                if p + n <= starts[d + 1]:
+                    mine, kinds = [bare(w) for w in flat[p : p + n]], slot[p : p + n].tolist()
+                    for i, at in table[int(x[p])]:
+                        if self._agrees(i, at, mine, kinds, bind[d, i]):
+                            cover[d, i].update(range(at, at + n))
+        out: list[list[tuple[int, int, int, int, bool]]] = [[] for _ in texts]
+        for (d, i), c in sorted(cover.items()):
+            changed = sum(w != v for (_, w), v in bind[d, i][0].items())
+            out[d].append((self.items[i][0], len(c), len(self.items[i][1]), changed, changed > 0))
+        return out
+
+    def _agrees(self, i: int, at: int, mine: list[str], kinds: list[int], bound: tuple[dict, dict]) -> bool:
+        """Whether the words are those of the item's window, and its slots' values map one to one onto the document's, as in
+        the windows before; then the new pairs are kept."""
+        _, words, slots = self.items[i]
+        there, back = dict(bound[0]), dict(bound[1])
+        for q, (v, k) in enumerate(zip(mine, kinds, strict=True)):
+            w = words[at + q]
+            if k != slots[at + q] or not k and w != v:
+                return False
+            if k and (there.setdefault((k, w), v) != v or back.setdefault((k, v), w) != w):
+                return False
+        bound[0].update(there)
+        bound[1].update(back)
+        return True
+
+
+#: What a match has.
 MATCH = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
     ("item_id", T.LongType()), ("covered", T.LongType()), ("item_words", T.LongType()), ("changed_slots", T.LongType()), ("reparameterised", T.BooleanType()))]))
 
@@ -178,14 +185,9 @@ def matches(
         shared = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in rows))
 
         def factory(shared=shared):
-            t, can = Templates(shared.value, window, literal), Canonical()
-
-            def run(texts: list[str]):
-                ids, h, slot, starts = can.words(texts)
-                got = [t.match(can, ids[a:z], h[a:z], slot[a:z]) for a, z in zip(starts, starts[1:], strict=False)]
-                return [[[dict(zip(("item_id", "covered", "item_words", "changed_slots", "reparameterised"), x, strict=True)) for x in g] for g in got]]
-
-            return run
+            t = Templates(shared.value, window, literal)
+            codes, names = Codes(t.vocabulary), [f.name for f in MATCH.elementType.fields]
+            return lambda texts: [[[dict(zip(names, x, strict=True)) for x in got] for got in t.match(codes, texts)]]
 
         if blocks == 1:
             return map_text(out, text_col, names, [("leaks", MATCH)], factory)
