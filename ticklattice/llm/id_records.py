@@ -61,7 +61,7 @@ def frames(data: memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]
         at = start + size + END.size + 1
 
 
-def encode_ids(tok, texts: list[str], *, split_chars: int = 1 << 15, batch_bytes: int = 1 << 19) -> list[np.ndarray]:
+def encode_ids(tok, texts: list[str], *, split_chars: int = 1 << 15, batch_bytes: int = 1 << 18) -> list[np.ndarray]:
     """The ids of each text, in two bytes each if the vocabulary allows, else in four, as the tokenizers library gives them; long texts are encoded in
     pieces cut at safe boundaries, in batches of about batch_bytes."""
     pieces, owner = [], []
@@ -85,18 +85,20 @@ def write_id_records(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    shards: int | None = None,
 ) -> None:
     """Writes the shards of docs to path/records, reads them back, and writes their index to path/index.
 
-    Documents are dealt out by ranges of their id (adaptive execution sizes the ranges), so a shard's file follows the
-    one before it. Null texts count as empty (the end id alone); null ids come first and are flagged; equal ids stand in
+    Documents are dealt out by ranges of their id into `shards` files (four times the session's shuffle partitions), so
+    each follows the one before it; a reader holds one file at a time, so they should stay within some tens of MB. Null texts count as empty (the end id alone); null ids come first and are flagged; equal ids stand in
     the order of their texts. Spark's text writer puts the frames down as they are, on any file system and under its
     commit protocol, so a lost executor's task leaves nothing half-written.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_asset(tokenizer_path))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    dealt = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    parts = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(spec.value)
