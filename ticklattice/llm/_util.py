@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 TEXT = "__tl_text"
 #: Bytes of text that one call of a text function gets at most (a single longer text still goes as one).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ EDGE = ".,;:!?\"'()[]{}*#&|»«“”…"
 #: Odd multiplier of the rolling window hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words that a worker remembers at once.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bits of a word's code: its slot type, whether it is capitalised, whether a sentence ends with it; the rest is its number.
 SLOT, CAPITAL, ENDS, SHIFT = 3, 4, 8, 4
 

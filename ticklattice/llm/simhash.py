@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,69 +200,72 @@ def keep_distinct(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 3
 ) -> DataFrame:
     """docs without those that are near copies (Jaccard similarity of their shingle sets at least `similarity`) of one that
-    stays: of each group the row of the smallest id stays (null ids last, then the least text hash).
+    stays: of each group the row of the smallest id stays (null ids last, then the least digest of the text).
 
     `prints` independent SimHashes are taken of each text, since one of them puts only part of the pairs at 0.8 within
-    the radius; BK-trees link each of them, and the exact shingle sets decide about every link found. Texts of equal
-    words are one class from the start, wordless ones too. A null text counts as empty. Columns are those of docs.
+    the radius; BK-trees link each of them, and the exact shingle sets decide about every link found. Equal texts are one
+    class from the start, and only the texts of linked classes are looked at again. Wordless texts (null, empty) are one
+    group. Columns are those of docs; an empty table gives an empty result.
     """
-    import xxhash
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rank = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias("i"))
+    keyed = docs.select(F.md5(body.cast("binary")).alias("key"), rank.alias("rank"), body.alias("text"))
 
-    def factory():
-        odd = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x51ED270B27220A95 * r & 0xFFFFFFFFFFFFFFFF) for r in range(prints)]
+    def digests(text: str) -> np.ndarray:
+        return shingle_digests(words_of(text), shingle).view(">u8").ravel().astype(np.uint64)
+
+    def printed():
+        odd = [np.uint64((0x9E3779B97F4A7C15 + 2 * 0x51ED270B27220A95 * r) & 0xFFFFFFFFFFFFFFFF) for r in range(prints)]
 
         def run(texts: list[str]):
-            keys, all_prints, sets = [], [], []
+            out = []
             for t in texts:
-                words = words_of(t)
-                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                x = np.unique(shingle_digests(words, shingle).view(">u8").ravel().astype(np.uint64))
-                sets.append(x.tobytes())
-                mine = []
+                x, mine = np.unique(digests(t)), []
                 for m in odd:
                     y = x * m
                     y ^= y >> np.uint64(32)
                     mine.append(fingerprint((y * m).astype(">u8").view(np.uint8).reshape(-1, 8)))
-                all_prints.append(mine)
-            return keys, all_prints, sets
+                out.append(mine)
+            return [out]
 
         return run
 
-    fields = [("key", T.StringType()), ("fps", T.ArrayType(T.LongType())), ("grams", T.BinaryType())]
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    made = map_text(ids, "text", ["doc_id"], fields, factory)
-    # one row for each distinct run of words: its least id stands for all
-    classes = as_table(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("grams").alias("grams")), "classes")
-    node = F.xxhash64("key")
+    made = map_text(keyed.select("key", "rank.n", "rank.i", "text"), "text", ["key", "n", "i"], [("fps", T.ArrayType(T.LongType()))], printed)
+    # one row for each distinct text: its least id stands for all
+    classes = made.groupBy("key").agg(F.min(F.struct("n", "i")).alias("rank"), F.first("fps").alias("fps"))
+    classes = as_table(classes.select("key", "rank", "fps", F.xxhash64("key").alias("node")), "classes")
     pairs = None
     for r in range(prints):
-        own = classes.select(F.col("fps")[r].alias("fp"), node.alias("node"))
+        own = classes.select(F.col("fps")[r].alias("fp"), "node")
         tops = own.groupBy("fp").agg(F.min("node").alias("top"))
         same = own.join(tops, "fp").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
-        links = near_links(tops.select("fp"), radius)
-        left, right = tops.toDF("u", "a"), tops.toDF("v", "b")
-        near = links.join(left, "u").join(right, "v").select("a", "b")
+        near = near_links(tops.select("fp"), radius).join(tops.toDF("u", "a"), "u").join(tops.toDF("v", "b"), "v").select("a", "b")
         both = same.unionByName(near)
         pairs = both if pairs is None else pairs.unionByName(both)
     pairs = as_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    grams = classes.select(node.alias("node"), "grams")
-    facing = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
+    linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    linked = classes.join(linked, "node", "left_semi").select("key", "rank", "node")
+    sets = map_text(
+        keyed.join(linked, ["key", "rank"]), "text", ["node"], [("grams", T.BinaryType())], lambda: lambda texts: [[np.unique(digests(t)).tobytes() for t in texts]]
+    )
+    sets = as_table(sets, "sets").dropDuplicates(["node"])
+    facing = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for a, b, ga, gb in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, y = np.frombuffer(ga, np.uint64), np.frombuffer(gb, np.uint64)
+            for a, b, ga, gb in zip(*batch.columns, strict=True):
+                x, y = np.frombuffer(ga.as_buffer(), np.uint64), np.frombuffer(gb.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
-                    kept.append((a, b))
+                    kept.append((a.as_py(), b.as_py()))
             yield _edges(kept)
 
     labels = connected_components(facing.select("a", "b", "ga", "gb").mapInArrow(verify, "u long, v long"))
-    grouped = classes.select("key", "least", node.alias("node")).join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
-    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "key")).alias("s"))
-    stay = as_table(first.select(F.col("s.least").alias("__tl_id"), F.col("s.key").alias("__tl_key")), "stay")
-    # of the rows that share the least id and its words, the first one stays
-    keyed = map_text(docs, text_col, docs.columns, [("__tl_key", T.StringType())], lambda: lambda texts: [[xxhash.xxh3_128_hexdigest(b" ".join(words_of(t))) for t in texts]])
-    winners = keyed.alias("d").join(stay.alias("s"), (F.col("d.__tl_key") == F.col("s.__tl_key")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.__tl_id"))).select("d.*")
-    return winners.dropDuplicates(["__tl_key"]).select(*docs.columns)
+    grouped = classes.join(labels, "node", "left").select("key", "rank", F.coalesce("label", "node").alias("label"))
+    first = grouped.groupBy("label").agg(F.min(F.struct("rank", "key")).alias("s"))
+    stay = as_table(first.select("s.key", "s.rank"), "stay")
+    # repeated rows share both key and rank: one of them stays
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.md5(body.cast("binary")).alias("key"), rank.alias("rank"))
+    once = Window.partitionBy("key", "rank").orderBy(F.lit(1))
+    return whole.join(stay, ["key", "rank"]).withColumn("o", F.row_number().over(once)).where("o = 1").select("d.*")

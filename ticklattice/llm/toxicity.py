@@ -28,7 +28,7 @@ def tokens(text: str) -> list[bytes]:
 PREFIXES = (6, 4)
 MARK = b"~"
 #: Distinct words that a worker remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def stems(word: bytes) -> list[bytes]:
