@@ -109,18 +109,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
     rows = rows[:sample]
     x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, SIZE), np.float32)
     y = np.array([r.label for r in rows], np.float64)
+    del rows
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
     basis = np.zeros((x.shape[1], 1), np.float32)
     if len(x):
         rng = np.random.default_rng(7)
-        xw = x * weights
+        x *= weights
         q = rng.standard_normal((x.shape[1], min(rank + 8, len(x)))).astype(np.float32)
         for _ in range(4):
-            q = np.linalg.qr(xw.T @ (xw @ q))[0]
-        _, _, v = np.linalg.svd(xw @ q, full_matrices=False)
+            q = np.linalg.qr(x.T @ (x @ q))[0]
+        _, _, v = np.linalg.svd(x @ q, full_matrices=False)
         basis = (q @ v.T)[:, :rank].astype(np.float32)
     model = QualityModel(weights, basis, np.zeros((0, 1), np.float32), y, neighbours, float(y.mean()) if len(y) else 0.5)
-    model.vectors = model.project(x).astype(np.float32) if len(x) else model.vectors
+    if len(x):
+        z = x @ basis
+        model.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return model
 
 

@@ -103,17 +103,18 @@ def block_masks(n: int, radius: int, bits: int = 64, fill: float = 16.0) -> list
 
 
 def near_links(prints: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
-    """(u, v) pairs of the distinct fingerprints `fp` within `radius` bits that join the same components as all such pairs.
+    """(r, u, v): pairs of the distinct fingerprints `fp` of a kind `r` (int) within `radius` bits that join the same components
+    as all such pairs of that kind.
 
     Fingerprints that agree under a mask of block_masks meet in one group. A group over `shard` is dealt into shards by
     hash, and each two shards meet in a cell of their own, so a task never holds more than two shards, however common a
     key is. In a cell the BK-tree of the first shard is searched for every member of the second, and only a spanning
     forest of the links found is returned: at most one row for each fingerprint there, never all pairs.
     """
-    masks = block_masks(prints.count(), radius)
+    masks = block_masks(prints.groupBy("r").count().agg(F.max("count")).first()[0] or 0, radius)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keyed = prints.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("x")
+        "fp", F.explode(F.array(*[F.struct((F.col("r") * len(masks) + i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("x")
     ).select("fp", "x.t", "x.k")
     many = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     cells = (
@@ -144,10 +145,10 @@ def near_links(prints: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFr
         return [(v, values[r]) for i, v in enumerate(values) if (r := root(i)) != i]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: np.ndarray) -> list[tuple[int, int]]:
+        def solve(rows: np.ndarray) -> list[tuple[int, int, int]]:
             a, own = rows[0, 2], rows[:, 4]
-            fps = rows[:, 5]
-            return forest(fps[own == a], fps if rows[0, 3] == a else fps[own != a])
+            fps, r = rows[:, 5], int(rows[0, 0]) // len(masks)
+            return [(r, u, v) for u, v in forest(fps[own == a], fps if rows[0, 3] == a else fps[own != a])]
 
         rest = np.zeros((0, 6), np.int64)
         for batch in batches:
@@ -157,15 +158,15 @@ def near_links(prints: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFr
             starts = np.flatnonzero(np.any(rows[1:, :4] != rows[:-1, :4], axis=1)) + 1
             out = [e for g in np.split(rows[: starts[-1]], starts[:-1]) if len(g) > 1 for e in solve(g)] if len(starts) else []
             rest = rows[starts[-1] :] if len(starts) else rows
-            yield _edges(out)
-        yield _edges(solve(rest) if len(rest) > 1 else [])
+            yield _table(out, "r", "u", "v")
+        yield _table(solve(rest) if len(rest) > 1 else [], "r", "u", "v")
 
-    return dealt.mapInArrow(search, "u long, v long")
+    return dealt.mapInArrow(search, "r long, u long, v long")
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
+def _table(rows: list[tuple[int, ...]], *names: str) -> pa.RecordBatch:
+    x = np.array(rows, np.int64).reshape(-1, len(names))
+    return pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(len(names))], names=list(names))
 
 
 def near_duplicates(
@@ -186,7 +187,7 @@ def near_duplicates(
     """
     prints = as_table(simhash(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), shingle=shingle), "prints")
     distinct = as_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = connected_components(near_links(distinct.select("fp"), radius, shard))
+    labels = connected_components(near_links(distinct.select(F.lit(0).alias("r"), "fp"), radius, shard).select("u", "v"))
     joined = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     joined = as_table(joined, "labels")
     ids = joined.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -234,14 +235,11 @@ def keep_distinct(
     # one row for each distinct text: its least id stands for all
     classes = made.groupBy("key").agg(F.min(F.struct("n", "i")).alias("rank"), F.first("fps").alias("fps"))
     classes = as_table(classes.select("key", "rank", "fps", F.xxhash64("key").alias("node")), "classes")
-    pairs = None
-    for r in range(prints):
-        own = classes.select(F.col("fps")[r].alias("fp"), "node")
-        tops = own.groupBy("fp").agg(F.min("node").alias("top"))
-        same = own.join(tops, "fp").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
-        near = near_links(tops.select("fp"), radius).join(tops.toDF("u", "a"), "u").join(tops.toDF("v", "b"), "v").select("a", "b")
-        both = same.unionByName(near)
-        pairs = both if pairs is None else pairs.unionByName(both)
+    own = classes.select("node", F.posexplode("fps").alias("r", "fp"))
+    tops = as_table(own.groupBy("r", "fp").agg(F.min("node").alias("top")), "tops")
+    same = own.join(tops, ["r", "fp"]).where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    near = near_links(tops.select("r", "fp"), radius).join(tops.toDF("r", "u", "a"), ["r", "u"]).join(tops.toDF("r", "v", "b"), ["r", "v"])
+    pairs = same.unionByName(near.select("a", "b"))
     pairs = as_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     linked = classes.join(linked, "node", "left_semi").select("key", "rank", "node")
@@ -259,7 +257,7 @@ def keep_distinct(
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
                     kept.append((a.as_py(), b.as_py()))
-            yield _edges(kept)
+            yield _table(kept, "u", "v")
 
     labels = connected_components(facing.select("a", "b", "ga", "gb").mapInArrow(verify, "u long, v long"))
     grouped = classes.join(labels, "node", "left").select("key", "rank", F.coalesce("label", "node").alias("label"))
