@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklattice.llm._util import map_text, read_asset
@@ -128,13 +129,10 @@ def bpe_codec(
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:
     """encoded with `decoded`, the bytes of the ids put together (null ids: no bytes)."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     spec = encoded.sparkSession.sparkContext.broadcast(read_asset(ranks_path))
 
-    @F.pandas_udf(T.BinaryType())
-    def decode(ids: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.BinaryType(), F.PandasUDFType.SCALAR)
+    def decode(ids):
         enc, _ = load_ranks(spec.value, pattern)
         return ids.map(lambda x: b"" if x is None else enc.decode_bytes([int(i) for i in x]))
 
