@@ -130,6 +130,37 @@ def test_keep_distinct(spark, docs, none):
     assert keep_distinct(docs).columns == docs.columns and keep_distinct(none).count() == 0
 
 
+def copies(rnd, base, edits):
+    w = base.split()
+    for at in rnd.sample(range(10, len(w) - 10), edits):
+        w[at] = f"edit{rnd.random()}"
+    return " ".join(w)
+
+
+def brute_stay(rows, shingle=5, similarity=0.8):
+    sets = [{tuple((t or "").lower().split()[i : i + shingle]) for i in range(max(1, len((t or "").split()) - shingle + 1))} for _, t in rows]
+    comp = brute_components(list(range(len(rows))), lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))
+    return sorted({c: min(i for (i, _), d in zip(rows, comp, strict=True) if d == c) for c in comp}.values())
+
+
+def test_keep_distinct_links_stars_and_chains(spark):
+    """Copies of one base that are like the base but not like each other, and texts each like only the next."""
+    rnd, texts = random.Random(11), []
+    for g in range(6):
+        base = " ".join(f"g{g}w{i}" for i in range(300))
+        texts += [base, *(copies(rnd, base, 4) for _ in range(12))]
+    for g in range(4):
+        t = " ".join(f"c{g}w{i}" for i in range(200))
+        for _ in range(12):
+            texts.append(t)
+            t = copies(rnd, t, 3)
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_stay(rows)
+    for sample in (4096, 5):
+        assert sorted(r.doc_id for r in keep_distinct(spark.createDataFrame(rows, "doc_id long, text string"), sample=sample).collect()) == want
+
+
 def test_licenses(spark, docs, none):
     filler = " ".join(f"plain{i}" for i in range(60))
     rows = [(i, f"{filler}\n{t} {filler}") for i, t in enumerate(TEMPLATES.values())] + [(100, filler), (101, None), (102, "licensed under nothing"), (None, "All rights\nreserved.")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -198,56 +199,90 @@ def near_duplicates(
 
 
 def keep_distinct(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sample: int = 4096
 ) -> DataFrame:
     """docs without those that are near copies (Jaccard similarity of their shingle sets at least `similarity`) of one that
-    stays: of each group the row of the smallest id stays (null ids last, then the least digest of the text).
-
-    `prints` independent SimHashes are taken of each text, since one of them puts only part of the pairs at 0.8 within
-    the radius; BK-trees link each of them, and the exact shingle sets decide about every link found. Equal texts are one
-    class from the start, and only the texts of linked classes are looked at again. Wordless texts (null, empty) are one
-    group. Columns are those of docs; an empty table gives an empty result.
+    stays: of each group the row of the smallest id stays (null ids last, then the least digest of the text). Groups are the
+    components of all pairs that similar.
+
+    Candidates are exact (prefix filter): with the shingles of all texts in one order, two sets that similar share one of
+    their first n - ceil(similarity n) + 1. Any order is right; shingles met more than once in about `sample` texts come
+    last, so that common passages bring few texts together. The texts of a first shingle are held against the one that
+    shares most of its own, then, as far as they are not in one component yet, against each other in rounds of growing
+    distance until each pair has met. Exact shingle sets decide about every pair. Equal texts are one class from the
+    start. Wordless texts (null, empty) are one group. Columns are those of docs; an empty table gives an empty result.
     """
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rank = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias("i"))
-    keyed = docs.select(F.md5(body.cast("binary")).alias("key"), rank.alias("rank"), body.alias("text"))
+    keyed = docs.select(F.md5(body.cast("binary")).alias("key"), rank.alias("rank"), body.alias("text")).withColumn("node", F.xxhash64("key"))
 
     def digests(text: str) -> np.ndarray:
-        return shingle_digests(words_of(text), shingle).view(">u8").ravel().astype(np.uint64)
+        x = np.unique(shingle_digests(words_of(text), shingle).view(">u8").ravel().astype(np.uint64))
+        return x if len(x) else np.zeros(1, np.uint64)
+
+    def lists(sets: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+
+    longs = T.ArrayType(T.LongType())
+    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(-(-docs.count() // sample) or 1)) == 0).dropDuplicates(["node"])
+    often = map_text(some, "text", [], [("x", longs)], lambda: lambda texts: [lists([digests(t) for t in texts])])
+    often = often.select(F.explode("x").alias("x")).groupBy("x").count().where("count > 1").toArrow()
+    grams, seen = (often[c].to_numpy() for c in ("x", "count"))
+    by = np.argsort(grams.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast((grams.view(np.uint64)[by], seen[by]))
 
-    def printed():
-        odd = [np.uint64((0x9E3779B97F4A7C15 + 2 * 0x51ED270B27220A95 * r) & 0xFFFFFFFFFFFFFFFF) for r in range(prints)]
+    def prefixes():
+        grams, seen = shared.value
 
         def run(texts: list[str]):
-            out = []
+            out, sizes = [], []
             for t in texts:
-                x, mine = np.unique(digests(t)), []
-                for m in odd:
-                    y = x * m
-                    y ^= y >> np.uint64(32)
-                    mine.append(fingerprint((y * m).astype(">u8").view(np.uint8).reshape(-1, 8)))
-                out.append(mine)
-            return [out]
+                x = digests(t)
+                at = np.searchsorted(grams, x)
+                known = np.flatnonzero(at < len(grams))
+                known = known[grams[at[known]] == x[known]]
+                weight = np.zeros(len(x), np.int64)
+                weight[known] = seen[at[known]]
+                out.append(x[np.argsort(weight, kind="stable")[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]])
+                sizes.append(len(x))
+            return [lists(out), sizes]
 
         return run
 
-    made = map_text(keyed.select("key", "rank.n", "rank.i", "text"), "text", ["key", "n", "i"], [("fps", T.ArrayType(T.LongType()))], printed)
-    # one row for each distinct text: its least id stands for all
-    classes = made.groupBy("key").agg(F.min(F.struct("n", "i")).alias("rank"), F.first("fps").alias("fps"))
-    classes = as_table(classes.select("key", "rank", "fps", F.xxhash64("key").alias("node")), "classes")
-    own = classes.select("node", F.posexplode("fps").alias("r", "fp"))
-    tops = as_table(own.groupBy("r", "fp").agg(F.min("node").alias("top")), "tops")
-    same = own.join(tops, ["r", "fp"]).where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    near = near_links(tops.select("r", "fp"), radius).join(tops.toDF("r", "u", "a"), ["r", "u"]).join(tops.toDF("r", "v", "b"), ["r", "v"])
-    pairs = same.unionByName(near.select("a", "b"))
-    pairs = as_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    linked = classes.join(linked, "node", "left_semi").select("key", "rank", "node")
-    sets = map_text(
-        keyed.join(linked, ["key", "rank"]), "text", ["node"], [("grams", T.BinaryType())], lambda: lambda texts: [[np.unique(digests(t)).tobytes() for t in texts]]
-    )
-    sets = as_table(sets, "sets").dropDuplicates(["node"])
-    facing = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+    first = map_text(keyed.select("node", "text"), "text", ["node"], [("ts", longs), ("size", T.IntegerType())], prefixes)
+    together = Window.partitionBy("t")
+    keys = first.select("node", "size", F.posexplode("ts").alias("pos", "t")).withColumns({"lo": F.min("node").over(together), "hi": F.max("node").over(together)})
+    keys = as_table(keys.where("lo <> hi").select("t", "node", "size", "pos").dropDuplicates(["t", "node", "size", "pos"]), "keys")
+    least, share = similarity * (1 - 1e-9), similarity / (1 + similarity) * (1 - 1e-9)
+
+    # against the text that shares most
+    hubs = keys.join(keys.groupBy("node").count(), "node").groupBy("t").agg(F.max(F.struct("count", "node", "size", "pos")).alias("h"), F.count(F.lit(1)).alias("m"))
+    hubs = as_table(hubs.select("t", "h.*", "m").toDF("t", "_", "b", "bs", "bp", "m"), "hubs")
+    fits = f"least(size, bs) >= {least!r} * greatest(size, bs) and least(size - pos, bs - bp) >= {share!r} * (size + bs)"
+    pairs = keys.join(hubs, "t").where("node <> b").where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    most = hubs.agg(F.max("m")).first()[0] or 0
+
+    def meet(near: int, far: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((5, 0), np.int64)
+            for batch in batches:
+                old, held = held.shape[1], np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+                t, node, size, pos, label = held
+                found = [np.zeros((0, 2), np.int64)]
+                for d in range(near, min(far, len(t))):
+                    i = np.arange(max(0, old - d), len(t) - d)
+                    i = i[t[i] == t[i + d]]
+                    if not len(i):
+                        break
+                    j = i + d
+                    ok = (label[i] != label[j]) & (size[i] >= least * size[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i] + size[j]))
+                    found.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
+                got = np.unique(np.concatenate(found), axis=0)
+                yield _table(got, "a", "b")
+                held = held[:, max(0, len(t) - far) :]
+
+        return run
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +294,30 @@ def keep_distinct(
                     kept.append((a.as_py(), b.as_py()))
             yield _table(kept, "u", "v")
 
-    labels = connected_components(facing.select("a", "b", "ga", "gb").mapInArrow(verify, "u long, v long"))
+    classes = as_table(keyed.groupBy("key", "node").agg(F.min("rank").alias("rank")), "classes")
+    linked = classes.join(keys.select("node").distinct(), "node", "left_semi").select("key", "rank", "node")
+    sets = map_text(
+        keyed.drop("node").join(linked, ["key", "rank"]), "text", ["node"], [("grams", T.BinaryType())], lambda: lambda texts: [[digests(t).tobytes() for t in texts]]
+    )
+    sets = as_table(sets.dropDuplicates(["node"]), "sets")
+    links, labels, tried = None, None, None
+    near, far = 0, 1
+    while True:
+        pairs = as_table(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        facing = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+        more = as_table(facing.select("a", "b", "ga", "gb").mapInArrow(verify, "u long, v long"), "links")
+        if links is None or not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            labels = as_table(connected_components(links), "labels")
+        near, far = far, 32 * far + 1
+        if near >= most:
+            break
+        apart = keys.join(labels, "node", "left").select("t", "node", "size", "pos", F.coalesce("label", "node").alias("label"))
+        apart = apart.withColumns({"lo": F.min("label").over(together), "hi": F.max("label").over(together), "m": F.count(F.lit(1)).over(together)})
+        apart = apart.where(f"lo <> hi and m > {near}").select("t", "node", "size", "pos", "label").sortWithinPartitions("t", "size", "node")
+        pairs = apart.mapInArrow(meet(near, far), "a long, b long")
+
     grouped = classes.join(labels, "node", "left").select("key", "rank", F.coalesce("label", "node").alias("label"))
     first = grouped.groupBy("label").agg(F.min(F.struct("rank", "key")).alias("s"))
     stay = as_table(first.select("s.key", "s.rank"), "stay")
