@@ -161,6 +161,19 @@ def test_keep_distinct_links_stars_and_chains(spark):
         assert sorted(r.doc_id for r in keep_distinct(spark.createDataFrame(rows, "doc_id long, text string"), sample=sample).collect()) == want
 
 
+def test_keep_distinct_finds_every_pair_at_the_threshold(spark):
+    """Pairs of all lengths, from just below to well above the similarity, with a passage that many texts share."""
+    rnd, rows = random.Random(12), []
+    common = " ".join(f"common{i}" for i in range(40))
+    for n in (5, 6, 9, 14, 30, 60, 120, 400):
+        for edits in range(1, 1 + max(1, n // 25)):
+            for part in ("", common):
+                base = " ".join(f"p{len(rows)}w{i}" for i in range(n))
+                other = copies(rnd, base, edits) if n > 20 + edits else base + " more"
+                rows += [(len(rows), f"{base} {part}"), (len(rows) + 1, f"{other} {part}")]
+    assert sorted(r.doc_id for r in keep_distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_stay(rows)
+
+
 def test_licenses(spark, docs, none):
     filler = " ".join(f"plain{i}" for i in range(60))
     rows = [(i, f"{filler}\n{t} {filler}") for i, t in enumerate(TEMPLATES.values())] + [(100, filler), (101, None), (102, "licensed under nothing"), (None, "All rights\nreserved.")]
