@@ -240,6 +240,21 @@ def test_decontamination(spark, docs, none):
     assert matches(docs, bench.limit(0)).where(F.size("leaks") > 0).count() == 0 and matches(none, bench).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies(spark):
+    items = {
+        1: "12 kg 7 lb 30 oz 5 g 9 m 11 km 4 ft 2 mi",
+        2: "Anna Bert Carl Dora Emil Fritz Gerd Hans Ida",
+        3: "What is the capital city of France?",
+        4: "Consider this list\nWhat colour did the old house near Paris have then",
+        5: "too short here",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(1, f"Listed are {items[1]} and so on"), (2, f"present were {items[2]} today"), (3, f"Question 3\n{items[3]}"), (4, items[4].replace("\n", " ")), (5, "Too short here")]
+    rows += [(6, items[4].replace("near Paris", "near\nRome")), (7, "13 kg 8 lb 31 oz 6 g 10 m 12 km 5 ft 3 mi"), (8, "What is\nthe capital city of Spain?")]
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: {1}, 2: {2}, 3: {3}, 4: {4}, 5: set(), 6: {4}, 7: set(), 8: {3}}
+
+
 def test_html(spark):
     page = '<html><body><nav><a>Menu</a></nav><div class="cookie-notice">We use cookies.</div><article><h1>T &amp; U</h1><p>One <b>two\n three<br>four<p>Five</article><aside>no</aside><div class="comments"><p>Nice!</div><footer>f</footer>'
     assert main_text(page) == "T & U\nOne two three four\nFive" and main_text("") == "" and main_text("<p>unfinished <b") == ""

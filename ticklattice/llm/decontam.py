@@ -35,7 +35,7 @@ def bare(word: str) -> str:
 
 
 class Codes(dict):
-    """word -> code, made as words come: for a literal word its number in the vocabulary of the templates (0: in none)."""
+    """word -> code, made as words come, with its number in the vocabulary of the templates (0: in none)."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
@@ -53,22 +53,39 @@ class Codes(dict):
         elif low in UNITS and (len(low) > 1 or low in "%$€£"):
             code = UNIT
         else:
-            code = self.vocabulary.get(low, 0) << SHIFT | (CAPITAL if len(raw) > 1 and raw[0].isupper() and raw[1:].islower() else 0)
-        self[word] = code = code | ends
+            code = CAPITAL if len(raw) > 1 and raw[0].isupper() and raw[1:].islower() else 0
+        self[word] = code = code | ends | self.vocabulary.get(low, 0) << SHIFT
         return code
 
-    def canonical(self, flat: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and slot types of the words of texts that begin at `starts`: numbers, units and names are typed
-        placeholders. A name is a capitalised word (not all capitals) that does not begin a sentence or text."""
+    def canonical(self, flat: list[str], starts: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The words' numbers, and hashes and slot types of the words of texts that begin at `starts`: numbers, units and
+        names are typed placeholders. A name is a capitalised word (not all capitals) that does not begin a sentence or
+        text. The words at `lines` begin a line, which may or may not begin a sentence: if it matters, there are two readings."""
         if len(self) > REMEMBERED:
             self.clear()
         c = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
         begins = np.empty(len(c), bool)
         begins[1:] = (c[:-1] & ENDS) > 0
         begins[starts[starts < len(c)]] = True
-        slot = c & SLOT
-        slot[(slot == 0) & ((c & CAPITAL) > 0) & ~begins] = NAME
-        return np.where(slot > 0, slot, (c >> SHIFT) + SLOT + 1).astype(np.uint64), slot
+        number, readings = c >> SHIFT, []
+        lines = lines[lines < len(c)]
+        for at in (lines[:0], lines[((c[lines] & CAPITAL) > 0) & ~begins[lines]]):
+            if len(at) or not readings:
+                begins[at] = True
+                slot = c & SLOT
+                slot[(slot == 0) & ((c & CAPITAL) > 0) & ~begins] = NAME
+                readings.append((np.where(slot > 0, slot, number + SLOT + 1).astype(np.uint64), slot))
+        return number.astype(np.uint64), readings
+
+
+def split_lines(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, and which of them begin a line."""
+    words: list[str] = []
+    lines = []
+    for line in text.splitlines():
+        lines.append(len(words))
+        words += line.split()
+    return words, lines
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -82,61 +99,76 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: item's place, window's place in it, the item's slot types (none: the words as they are)
+Entry = tuple[int, int, np.ndarray | None]
+
+
 class Templates:
-    """The windows of a block of benchmark items, by hash."""
+    """The windows of a block of benchmark items, by hash: as templates, and word for word."""
 
     def __init__(self, items: Sequence[tuple[int, str]], window: int, literal: int):
-        self.items: list[tuple[int, list[str], np.ndarray]] = []
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        split = [(i, (t or "").split()) for i, t in items]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({bare(w) for _, ws in split for w in ws} - {""}), 1)}
+        self.items: list[tuple[int, list[str]]] = []
+        split = [(i, *split_lines(t or "")) for i, t in items]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({bare(w) for _, ws, _ in split for w in ws} - {""}), 1)}
         codes = Codes(self.vocabulary)
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, words in split:
+        found: dict[int, dict[int, list[Entry]]] = defaultdict(lambda: defaultdict(list))
+        exact: dict[int, dict[int, list[Entry]]] = defaultdict(lambda: defaultdict(list))
+        for item_id, words, lines in split:
             n = min(window, len(words))
             if n < min(window, 4):  # a benchmark text of one to three words tells nothing
                 continue
-            h, slot = codes.canonical(words, np.zeros(1, np.int64))
-            for at, x in enumerate(windows(h, n).tolist()):
-                if (slot[at : at + n] == 0).sum() >= min(literal, n - 1):
-                    found[n][x].append((len(self.items), at))
-            self.items.append((item_id, [bare(w) for w in words], slot))
+            number, readings = codes.canonical(words, np.zeros(1, np.int64), np.array(lines, np.int64))
+            for h, slot in readings:
+                for at, x in enumerate(windows(h, n).tolist()):
+                    if (slot[at : at + n] == 0).sum() >= min(literal, n - 1):
+                        found[n][x].append((len(self.items), at, slot))
+            for at, x in enumerate(windows(number, n).tolist()):
+                exact[n][x].append((len(self.items), at, None))
+            self.items.append((item_id, [bare(w) for w in words]))
+        self.by_size, self.exact = self._index(found), self._index(exact)
+
+    @staticmethod
+    def _index(found: dict[int, dict[int, list[Entry]]]) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[Entry]]]]:
+        out = {}
         for n, table in found.items():
             bits = np.zeros(1 << 20, bool)
             keys = np.array(sorted(table), np.uint64)
             bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[n] = bits, keys, table
+            out[n] = bits, keys, table
+        return out
 
     def match(self, codes: Codes, texts: Sequence[str]) -> list[list[tuple[int, int, int, int, bool]]]:
         """For each text (item id, words covered, the item's words, slots whose value differs, reparameterised) of the items
         that it holds windows of, checked word by word, with one consistent value for each value of a slot."""
-        split = [t.split() for t in texts]
-        starts = np.cumsum([0, *map(len, split)])
-        flat = [w for ws in split for w in ws]
-        h, slot = codes.canonical(flat, starts[:-1])
+        split = [split_lines(t) for t in texts]
+        starts = np.cumsum([0, *(len(ws) for ws, _ in split)])
+        flat = [w for ws, _ in split for w in ws]
+        lines = np.array([s + i for s, (_, at) in zip(starts.tolist(), split, strict=False) for i in at], np.int64)
+        number, readings = codes.canonical(flat, starts[:-1], lines)
         cover: dict[tuple[int, int], set[int]] = defaultdict(set)
         bind: dict[tuple[int, int], tuple[dict, dict]] = defaultdict(lambda: ({}, {}))
-        for n, (bits, keys, table) in self.by_size.items():
-            x = windows(h, n)
-            maybe = np.flatnonzero(bits[(x >> np.uint64(44)).astype(np.int64)])
-            maybe = maybe[np.isin(x[maybe], keys)]
-            doc = np.searchsorted(starts, maybe, "right") - 1
-            for p, d in zip(maybe.tolist(), doc.tolist(), strict=True):
-                if p + n <= starts[d + 1]:
-                    mine, kinds = [bare(w) for w in flat[p : p + n]], slot[p : p + n].tolist()
-                    for i, at in table[int(x[p])]:
-                        if self._agrees(i, at, mine, kinds, bind[d, i]):
-                            cover[d, i].update(range(at, at + n))
+        for h, slot, by_size in [*((h, slot, self.by_size) for h, slot in readings), (number, None, self.exact)]:
+            for n, (bits, keys, table) in by_size.items():
+                x = windows(h, n)
+                maybe = np.flatnonzero(bits[(x >> np.uint64(44)).astype(np.int64)])
+                maybe = maybe[np.isin(x[maybe], keys)]
+                doc = np.searchsorted(starts, maybe, "right") - 1
+                for p, d in zip(maybe.tolist(), doc.tolist(), strict=True):
+                    if p + n <= starts[d + 1]:
+                        mine = [bare(w) for w in flat[p : p + n]]
+                        for i, at, slots in table[int(x[p])]:
+                            if mine == self.items[i][1][at : at + n] if slot is None else self._agrees(i, at, slots, mine, slot[p : p + n].tolist(), bind[d, i]):
+                                cover[d, i].update(range(at, at + n))
         out: list[list[tuple[int, int, int, int, bool]]] = [[] for _ in texts]
         for (d, i), c in sorted(cover.items()):
             changed = sum(w != v for (_, w), v in bind[d, i][0].items())
             out[d].append((self.items[i][0], len(c), len(self.items[i][1]), changed, changed > 0))
         return out
 
-    def _agrees(self, i: int, at: int, mine: list[str], kinds: list[int], bound: tuple[dict, dict]) -> bool:
+    def _agrees(self, i: int, at: int, slots: np.ndarray, mine: list[str], kinds: list[int], bound: tuple[dict, dict]) -> bool:
         """Whether the words are those of the item's window, and its slots' values map one to one onto the document's, as in
         the windows before; then the new pairs are kept."""
-        _, words, slots = self.items[i]
+        words = self.items[i][1]
         there, back = dict(bound[0]), dict(bound[1])
         for q, (v, k) in enumerate(zip(mine, kinds, strict=True)):
             w = words[at + q]
@@ -166,8 +198,9 @@ def matches(
 ) -> DataFrame:
     """`keep` columns with `leaks`, the benchmark items of which the whole text holds a window.
 
-    Numbers, units and names become typed placeholders; windows of `window` canonical words (all words of a shorter item)
-    with `literal` words besides placeholders are looked up by their hash, then compared word by word; the same value of
+    Every window of `window` words (all words of a shorter item) is looked up word for word, case and edge punctuation
+    aside; items of one to three words tell nothing and are skipped. For changed copies, numbers, units and names become
+    typed placeholders; windows of canonical words with `literal` words besides placeholders are looked up by their hash, then compared word by word; the same value of
     an item's slot must meet the same value in the document and the other way round, across all the item's windows, so
     a re-parameterised question is caught and a chance mixture is not.
 
