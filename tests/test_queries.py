@@ -93,3 +93,14 @@ def test_entry_module_lists_the_queries(spark):
 
     assert set(ORACLES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns[:2] == ["instrument", "timestamp_ns"]
+
+
+def test_ema_whole_takes_every_event(spark, sf):
+    got = QUERIES["ema_whole"](spark, sf).orderBy("k", "t").toPandas()
+    assert len(got) == QUERIES["mbo_events"](spark, sf).count() and got["t"].max() > 400
+    for _, g in got.groupby("k"):
+        for name, a in (("e2", 0.2), ("e1", 0.1)):
+            y = 0.0
+            for u, e in zip(g["u"], g[name], strict=True):
+                y = a * u + (1 - a) * y
+                assert abs(y - e) < 2e-6

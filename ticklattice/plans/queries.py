@@ -151,6 +151,11 @@ def q_ema(spark, d):
     return rounded(ema(s, ["k"], "t", {"e2": ("u", 0.2), "e1": ("u", 0.1)}))
 
 
+def q_ema_whole(spark, d):
+    """`ema` over every event: its SQL, quadratic in a series, ends at t = 400."""
+    return rounded(ema(_series(spark, d).select("k", "t", "u"), ["k"], "t", {"e2": ("u", 0.2), "e1": ("u", 0.1)}))
+
+
 def q_event_count_trigger(spark, d):
     w = Window.partitionBy("instrument").orderBy("seq")
     return mbo_events(spark, d).withColumn("k", F.row_number().over(w)).where("k % 100 = 0").select("instrument", "k", "seq")
