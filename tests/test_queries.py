@@ -104,3 +104,15 @@ def test_ema_whole_takes_every_event(spark, sf):
             for u, e in zip(g["u"], g[name], strict=True):
                 y = a * u + (1 - a) * y
                 assert abs(y - e) < 2e-6
+
+
+def test_hayashi_yoshida_whole_takes_every_event(spark, sf):
+    e = QUERIES["mbo_events"](spark, sf).orderBy("seq").toPandas()
+    moves = []
+    for n in ("SPOT", "FUT"):
+        last = dict(zip(e.ts_us[e.instrument == n], e.price_ticks[e.instrument == n].astype(float), strict=True))
+        t = sorted(last)
+        moves.append([(a, b, last[b] - last[a]) for a, b in zip(t, t[1:], strict=False)])
+    met = [x * y for a0, a1, x in moves[0] for b0, b1, y in moves[1] if a0 < b1 and b0 < a1]
+    got = QUERIES["hayashi_yoshida_whole"](spark, sf).first()
+    assert got.overlaps == len(met) and abs(got.covariance - sum(met)) < 1e-2

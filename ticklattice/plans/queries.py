@@ -261,6 +261,13 @@ def q_hayashi_yoshida(spark, d):
     return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).select("covariance", "overlaps"), 3)
 
 
+def q_hayashi_yoshida_whole(spark, d):
+    """`hayashi_yoshida` over every event; of events at one time the last counts."""
+    s = _series(spark, d).groupBy("k", F.col("ts_us").alias("t")).agg(F.max_by("v", F.col("t")).alias("v"))
+    a, b = (s.where(F.col("k") == n).select(F.lit(0).alias("k"), "t", "v") for n in ("SPOT", "FUT"))
+    return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).select("covariance", "overlaps"), 3)
+
+
 def q_regimes(spark, d):
     f = features.features(mbo_events(spark, d), P).na.drop(subset=MODEL)
     z = diagnostics.standardised(f.select("instrument", "g", *MODEL), MODEL)
