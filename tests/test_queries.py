@@ -116,3 +116,18 @@ def test_hayashi_yoshida_whole_takes_every_event(spark, sf):
     met = [x * y for a0, a1, x in moves[0] for b0, b1, y in moves[1] if a0 < b1 and b0 < a1]
     got = QUERIES["hayashi_yoshida_whole"](spark, sf).first()
     assert got.overlaps == len(met) and abs(got.covariance - sum(met)) < 1e-2
+
+
+def test_queries_take_the_settings_of_the_reference(spark, sf, monkeypatch):
+    seen = {}
+
+    def fit(*args, states=4, iterations=500, **more):
+        seen.update(states=states, iterations=iterations)
+        raise StopIteration
+
+    monkeypatch.setattr(hmm, "fit_hmm", fit)
+    with pytest.raises(StopIteration):
+        QUERIES["regimes"](spark, sf)
+    assert seen == {"states": 4, "iterations": 500}
+    assert sorted(r.lag for r in QUERIES["cmi_permutation"](spark, sf).collect()) == [1, 2, 3, 4, 5]
+    assert QUERIES["silhouette"](spark, "/root/testdata/sf0.01").first().points == QUERIES["mbo_events"](spark, "/root/testdata/sf0.01").count()

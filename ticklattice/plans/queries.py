@@ -194,7 +194,7 @@ def q_cluster_scores(spark, d):
 
 
 def q_silhouette(spark, d):
-    return diagnostics.silhouette(_series(spark, d), ["v", "u"], sample=2000)
+    return diagnostics.silhouette(_series(spark, d), ["v", "u"])
 
 
 def q_crosstab(spark, d):
@@ -232,7 +232,11 @@ def q_cmi(spark, d):
 
 
 def q_cmi_permutation(spark, d):
-    return causal.permutation_p(_pairs(spark, d), 1)
+    out = None
+    for delta in range(1, 6):
+        p = causal.permutation_p(_pairs(spark, d), delta).withColumn("lag", F.lit(delta))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def q_granger(spark, d):
@@ -271,7 +275,7 @@ def q_hayashi_yoshida_whole(spark, d):
 def q_regimes(spark, d):
     f = features.features(mbo_events(spark, d), P).na.drop(subset=MODEL)
     z = diagnostics.standardised(f.select("instrument", "g", *MODEL), MODEL)
-    m = hmm.fit_hmm(z, ["instrument"], "g", MODEL, states=3, iterations=15)
+    m = hmm.fit_hmm(z, ["instrument"], "g", MODEL)
     return hmm.decode(z, m, ["instrument"], "g", MODEL)
 
 
