@@ -36,6 +36,32 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a computation needs for a while: written like as_table, and deleted by drop() or clear() once no later step
+    reads them, so that the shared folder does not grow with the number of rounds."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/ticklattice/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and id(t) in self.paths:
+                _, path = self.paths.pop(id(t))
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def clear(self) -> None:
+        self.drop(*[t for t, _ in self.paths.values()])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -104,15 +130,16 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of the graph with the undirected edges (u, v), by large-star and
     small-star rounds: a star of parents shrinks to its least node in a logarithmic number of rounds, and no round makes
-    more rows than twice the edges. Each round is a table in the shared folder, so lineage stays short; the only figures
-    that come to the driver are a count and two sums.
+    more rows than twice the edges. Each round is a table in the shared folder, so lineage stays short, and the one before
+    is deleted; the only figures that come to the driver are a count and two sums.
     """
-    e = as_table(_down(edges.select(F.col("u"), F.col("v"))), "cc")
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.table(_down(edges.select(F.col("u"), F.col("v"))), "cc")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = e.agg(
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))
         ).first()
@@ -122,12 +149,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _down(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = as_table(large, "cc")
+        large = scratch.table(large, "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = as_table(_down(small.unionByName(least.select("u", F.col("m").alias("v")))), "cc")
-    else:
-        raise RuntimeError("the components did not settle")
+        before, e = e, scratch.table(_down(small.unionByName(least.select("u", F.col("m").alias("v")))), "cc")
+        scratch.drop(before, large)
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return leaves.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 

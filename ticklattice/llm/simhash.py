@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklattice.llm._util import as_table, connected_components, map_text
+from ticklattice.llm._util import Scratch, as_table, connected_components, map_text
 
 #: Most fingerprints of one shard; a BK-tree holds a shard, a task two.
 SHARD = 2048
+#: Nodes of which a list may be broadcast (a digest and a rank each, 25 MB at most), and pairs of one text that meet in one task.
+FEW_NODES, HOT = 250_000, 256
 SEED = 42
 
 
@@ -198,6 +200,26 @@ def near_duplicates(
     )
 
 
+def wide_radius(similarity: float, bits: int, miss: float = 1e-6) -> int:
+    """Bits of `bits` by which two sets of that Jaccard similarity differ at most, but with probability `miss`. A bit differs
+    with probability acos(2 s / (1 + s)) / pi for large sets; sets of a few shingles differ in more, a fifth at most at 0.8, so
+    that share is taken a quarter larger."""
+    p = min(0.5, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    tail, r = 1.0, -1
+    while tail > miss and r < bits:
+        r += 1
+        tail -= math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+    return r
+
+
+def second_digests(x: np.ndarray) -> np.ndarray:
+    """Another 64 bits for each digest (n x 8 bytes), by mixing its own."""
+    z = x.view(">u8").ravel().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
 def keep_distinct(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sample: int = 4096
 ) -> DataFrame:
@@ -205,16 +227,21 @@ def keep_distinct(
     stays: of each group the row of the smallest id stays (null ids last, then the least digest of the text). Groups are the
     components of all pairs that similar.
 
-    Candidates are exact (prefix filter): with the shingles of all texts in one order, two sets that similar share one of
-    their first n - ceil(similarity n) + 1. Any order is right; shingles met more than once in about `sample` texts come
-    last, so that common passages bring few texts together. The texts of a first shingle are held against the one that
-    shares most of its own, then, as far as they are not in one component yet, against each other in rounds of growing
-    distance until each pair has met. Exact shingle sets decide about every pair. Equal texts are one class from the
-    start. Wordless texts (null, empty) are one group. Columns are those of docs; an empty table gives an empty result.
+    Shards are exact (prefix filter): with the shingles of all texts in one order, two sets that similar share one of their
+    first n - ceil(similarity n) + 1. Any order is right; shingles met more than once in about `sample` texts come last, so
+    that common passages bring few texts together. Within the shard of a first shingle, texts are candidates whose SimHashes
+    of 128 bits differ in at most wide_radius bits, which loses a similar pair with probability 1e-6. A shard's texts are
+    held against the one that shares most of its own first, then, as far as they are not in one component yet, against
+    each other in rounds of growing distance until each pair has met. Exact shingle sets decide about every candidate.
+    Equal texts are one class from the start. Wordless texts (null, empty) are one group. Columns are those of docs; an
+    empty table gives an empty result.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rank = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias("i"))
     keyed = docs.select(F.md5(body.cast("binary")).alias("key"), rank.alias("rank"), body.alias("text")).withColumn("node", F.xxhash64("key"))
+    radius = wide_radius(similarity, 128)
 
     def digests(text: str) -> np.ndarray:
         x = np.unique(shingle_digests(words_of(text), shingle).view(">u8").ravel().astype(np.uint64))
@@ -230,13 +257,13 @@ def keep_distinct(
     often = often.select(F.explode("x").alias("x")).groupBy("x").count().where("count > 1").toArrow()
     grams, seen = (often[c].to_numpy() for c in ("x", "count"))
     by = np.argsort(grams.view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((grams.view(np.uint64)[by], seen[by]))
+    shared = spark.sparkContext.broadcast((grams.view(np.uint64)[by], seen[by]))
 
     def prefixes():
         grams, seen = shared.value
 
         def run(texts: list[str]):
-            out, sizes = [], []
+            out, sizes, one, two = [], [], [], []
             for t in texts:
                 x = digests(t)
                 at = np.searchsorted(grams, x)
@@ -246,29 +273,37 @@ def keep_distinct(
                 weight[known] = seen[at[known]]
                 out.append(x[np.argsort(weight, kind="stable")[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]])
                 sizes.append(len(x))
-            return [lists(out), sizes]
+                raw = x.astype(">u8").view(np.uint8).reshape(-1, 8)
+                one.append(fingerprint(raw))
+                two.append(fingerprint(second_digests(raw)))
+            return [lists(out), sizes, one, two]
 
         return run
 
-    first = map_text(keyed.select("node", "text"), "text", ["node"], [("ts", longs), ("size", T.IntegerType())], prefixes)
+    fields = [("ts", longs), ("size", T.IntegerType()), ("f", T.LongType()), ("g", T.LongType())]
+    first = scratch.table(map_text(keyed.select("node", "text"), "text", ["node"], fields, prefixes), "first")
     together = Window.partitionBy("t")
-    keys = first.select("node", "size", F.posexplode("ts").alias("pos", "t")).withColumns({"lo": F.min("node").over(together), "hi": F.max("node").over(together)})
-    keys = as_table(keys.where("lo <> hi").select("t", "node", "size", "pos").dropDuplicates(["t", "node", "size", "pos"]), "keys")
+    keys = first.select("node", F.posexplode("ts").alias("pos", "t")).withColumns({"lo": F.min("node").over(together), "hi": F.max("node").over(together)})
+    keys = keys.where("lo <> hi").groupBy("t", "node").agg(F.min("pos").alias("pos"))
+    prints = first.groupBy("node").agg(*[F.max(c).alias(c) for c in ("size", "f", "g")])  # equal in all rows of a node
+    keys = scratch.table(keys.join(prints, "node").select("t", "node", "size", "pos", "f", "g"), "keys")
+    scratch.drop(first)
     least, share = similarity * (1 - 1e-9), similarity / (1 + similarity) * (1 - 1e-9)
 
     # against the text that shares most
-    hubs = keys.join(keys.groupBy("node").count(), "node").groupBy("t").agg(F.max(F.struct("count", "node", "size", "pos")).alias("h"), F.count(F.lit(1)).alias("m"))
-    hubs = as_table(hubs.select("t", "h.*", "m").toDF("t", "_", "b", "bs", "bp", "m"), "hubs")
-    fits = f"least(size, bs) >= {least!r} * greatest(size, bs) and least(size - pos, bs - bp) >= {share!r} * (size + bs)"
+    hubs = keys.join(keys.groupBy("node").count(), "node").groupBy("t")
+    hubs = hubs.agg(F.max(F.struct("count", "node", "size", "pos", "f", "g")).alias("h"), F.count(F.lit(1)).alias("m"))
+    hubs = scratch.table(hubs.select("t", "h.*", "m").toDF("t", "_", "b", "bs", "bp", "bf", "bg", "m").drop("_"), "hubs")
+    fits = f"least(size, bs) >= {least!r} * greatest(size, bs) and least(size - pos, bs - bp) >= {share!r} * (size + bs) and bit_count(f ^ bf) + bit_count(g ^ bg) <= {radius}"
     pairs = keys.join(hubs, "t").where("node <> b").where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
     most = hubs.agg(F.max("m")).first()[0] or 0
 
     def meet(near: int, far: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros((5, 0), np.int64)
+            held = np.zeros((7, 0), np.int64)
             for batch in batches:
                 old, held = held.shape[1], np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
-                t, node, size, pos, label = held
+                t, node, size, pos, f, g, label = held
                 found = [np.zeros((0, 2), np.int64)]
                 for d in range(near, min(far, len(t))):
                     i = np.arange(max(0, old - d), len(t) - d)
@@ -277,7 +312,10 @@ def keep_distinct(
                         break
                     j = i + d
                     ok = (label[i] != label[j]) & (size[i] >= least * size[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i] + size[j]))
-                    found.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
+                    i, j = i[ok], j[ok]
+                    apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (f, g))
+                    i, j = i[apart <= radius], j[apart <= radius]
+                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
                 got = np.unique(np.concatenate(found), axis=0)
                 yield _table(got, "a", "b")
                 held = held[:, max(0, len(t) - far) :]
@@ -294,33 +332,49 @@ def keep_distinct(
                     kept.append((a.as_py(), b.as_py()))
             yield _table(kept, "u", "v")
 
-    classes = as_table(keyed.groupBy("key", "node").agg(F.min("rank").alias("rank")), "classes")
-    linked = classes.join(keys.select("node").distinct(), "node", "left_semi").select("key", "rank", "node")
-    sets = map_text(
-        keyed.drop("node").join(linked, ["key", "rank"]), "text", ["node"], [("grams", T.BinaryType())], lambda: lambda texts: [[digests(t).tobytes() for t in texts]]
-    )
-    sets = as_table(sets.dropDuplicates(["node"]), "sets")
-    links, labels, tried = None, None, None
+    classes = scratch.table(keyed.groupBy("key", "node").agg(F.min("rank").alias("rank")), "classes")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The shingle sets of the nodes, from one text each; the nodes go to the texts if they are few."""
+        linked = classes.join(nodes, "node", "left_semi").select("key", "rank")
+        linked = scratch.table(linked, "linked")
+        n = linked.count()
+        near = keyed.join(F.broadcast(linked) if n <= FEW_NODES else linked, ["key", "rank"], "left_semi")
+        sets = map_text(near, "text", ["node"], [("grams", T.BinaryType())], lambda: lambda texts: [[digests(t).tobytes() for t in texts]])
+        out = scratch.table(sets.dropDuplicates(["node"]), "sets")
+        scratch.drop(linked)
+        return out
+
+    links, labels, tried, sets = None, None, None, None
     near, far = 0, 1
     while True:
-        pairs = as_table(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = scratch.table(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        facing = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-        more = as_table(facing.select("a", "b", "ga", "gb").mapInArrow(verify, "u long, v long"), "links")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        more = sets_of(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"))
+        sets = more if sets is None else sets.unionByName(more)
+        # a text of many pairs is dealt out in copies, one for each HOT of them
+        parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("s"))
+        dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("s")).cast("int").alias("i"))
+        right = sets.toDF("b", "gb").join(parts, "b").select("b", "gb", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"))
+        facing = dealt.join(sets.toDF("a", "ga"), "a").join(right, ["b", "i"])
+        more = scratch.table(facing.select("a", "b", "ga", "gb").mapInArrow(verify, "u long, v long"), "links")
         if links is None or not more.isEmpty():
             links = more if links is None else links.unionByName(more)
-            labels = as_table(connected_components(links), "labels")
+            scratch.drop(labels)
+            labels = scratch.table(connected_components(links), "labels")
         near, far = far, 32 * far + 1
         if near >= most:
             break
-        apart = keys.join(labels, "node", "left").select("t", "node", "size", "pos", F.coalesce("label", "node").alias("label"))
-        apart = apart.withColumns({"lo": F.min("label").over(together), "hi": F.max("label").over(together), "m": F.count(F.lit(1)).over(together)})
-        apart = apart.where(f"lo <> hi and m > {near}").select("t", "node", "size", "pos", "label").sortWithinPartitions("t", "size", "node")
+        named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = named.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(f"lo <> hi and m > {near}").select("t")
+        apart = named.join(mixed, "t").select("t", "node", "size", "pos", "f", "g", "label").repartition("t").sortWithinPartitions("t", "size", "node")
         pairs = apart.mapInArrow(meet(near, far), "a long, b long")
 
     grouped = classes.join(labels, "node", "left").select("key", "rank", F.coalesce("label", "node").alias("label"))
-    first = grouped.groupBy("label").agg(F.min(F.struct("rank", "key")).alias("s"))
-    stay = as_table(first.select("s.key", "s.rank"), "stay")
+    stars = grouped.groupBy("label").agg(F.min(F.struct("rank", "key")).alias("s"))
+    stay = as_table(stars.select("s.key", "s.rank"), "stay")
+    scratch.clear()
     # repeated rows share both key and rank: one of them stays
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.md5(body.cast("binary")).alias("key"), rank.alias("rank"))
     once = Window.partitionBy("key", "rank").orderBy(F.lit(1))
