@@ -3,10 +3,12 @@
 import hashlib
 import random
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ticklattice.llm._util import connected_components, read
 from ticklattice.llm.bpe_codec import bpe_codec, bpe_decode, load_ranks, stitch
 from ticklattice.llm.decontam import matches
 from ticklattice.llm.html_text import extract_html, main_text
-from ticklattice.llm.id_records import frame, frames, new_output, read_index, read_records, write_id_records
+from ticklattice.llm.id_records import PATTERN, IdEncoder, doubtful, frame, frames, new_output, read_index, read_records, write_id_records
 from ticklattice.llm.licenses import TEMPLATES, anchors, normal_words, scan_licenses
 from ticklattice.llm.quality import fit_quality, score_quality
 from ticklattice.llm.simhash import BKTree, block_masks, keep_distinct, near_duplicates
@@ -300,7 +302,7 @@ def test_id_records(spark, docs, none):
     path = new_output(spark)
     write_id_records(docs, path, JSON)
     got = read_index(spark, path).orderBy("start").collect()
-    order = sorted(((i if i != 3 else None, t or "") for i, t in enumerate(TEXTS)), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    order = sorted(((i if i != 3 else None, t or "") for i, t in enumerate(TEXTS)), key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for r, (i, t) in zip(got, order, strict=True):
         ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -317,6 +319,41 @@ def test_id_records(spark, docs, none):
         list(frames(memoryview(bytes(raw))))
 
 
+def test_encoder_gives_the_ids_of_the_library(spark, sf):
+    """Real texts, made-up ones of all kinds of characters, added tokens, characters of new Unicode versions; a memory that forgets."""
+    spec = open(JSON, "rb").read()
+    tok, bounds = load_tokenizer(spec), doubtful()
+    rnd = random.Random(9)
+    odd = ["\U0001fad8", "\U0001e900", "\u1c80", "\u180e", "\u0085", "\x1c", "\u200b", "\u0378", "\u4e00", "\u0301", "\u00b2", "\u2167", "<|endoftext|>", "'s", "'S", " ", "  ", "\n", "\t", "\r\n", "ab", "Z", "7", "_", "-", "é", "ß"]
+    texts = [r.text or "" for r in read(spark, sf, "documents").collect()] + ["".join(rnd.choice(odd) for _ in range(rnd.randrange(60))) for _ in range(3000)] + TEXTS[1:]
+    want = [np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for forget in (400_000, 50):
+        encode = IdEncoder(spec, bounds)
+        encode.GENERATION = forget
+        got = [x for at in range(0, len(texts), 100) for x in encode(texts[at : at + 100], split_chars=1000)]
+        assert got == want
+    safe = "".join(c for c in map(chr, range(0x11000)) if not "\ud800" <= c <= "\udfff" and not bisect_right(bounds, ord(c)) & 1)
+    mixed = "".join(f"x{c}1x{c}{c}!\n" for c in safe)
+    assert [mixed[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(mixed)] == regex.findall(PATTERN, mixed)
+    other = open(P.path("word_bpe_49k.json"), "rb").read()
+    assert IdEncoder(other, bounds)(["Some words, 12"]) == [np.array(load_tokenizer(other).encode("Some words, 12", add_special_tokens=False).ids, "<u2").tobytes()]
+
+
+def test_id_records_of_many_shards(spark):
+    """Ranges of ids over several shards, an id that fills more than one, columns whose names the writer uses itself."""
+    rows = [(i if i % 3 else 7, f"text {i} " * 50, i, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, body string, start int, packed string")
+    path = new_output(spark)
+    write_id_records(df, path, JSON, id_col="id", text_col="body", shard_bytes=4000)
+    index = read_index(spark, path)
+    got = index.orderBy("start").collect()
+    assert len({r.shard for r in got}) > 3 and [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    assert len({r.shard for r in got if r.doc_id == 7}) > 1
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    some = {(r.doc_id, tuple(r.ids)) for r in read_records(spark, path, index.where("doc_id % 2 = 0")).collect()}
+    assert some == {(r.doc_id, tuple(r.ids)) for r in read_records(spark, path).collect() if r.doc_id % 2 == 0}
+
+
 def test_queries_and_pipeline(spark, sf):
     n = read(spark, sf, "documents").count()
     for name in ("op1_token_counts", "op3_simhash_dedup", "op4_bpe_codec", "op5_quality", "op6_winnowing", "op9_toxicity", "op10_id_records"):

@@ -1,6 +1,6 @@
 """Operator 10, token-ID output: length-delimited binary records with masked checksums, and an offset index beside them.
 
-A shard file is a run of frames, one a document, in ascending (id, text) order:
+A shard file is a run of frames, one a document, in ascending order of id:
 
     8 bytes   length of the body
     4 bytes   masked CRC-32 of those 8 bytes
@@ -13,11 +13,13 @@ All numbers are little-endian. The index is a Parquet table: shard, record, offs
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from ticklattice.llm._util import read_asset, shared_dir, slices
 from ticklattice.llm.token_counts import balanced, load_tokenizer, safe_pieces
 
+# Fixed value: the pattern of byte-level pre-tokenisers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FRAME = struct.Struct("<QI")
 BODY = struct.Struct("<qB")
 END = struct.Struct("<I")
@@ -61,20 +65,116 @@ def frames(data: memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]
         at = start + size + END.size + 1
 
 
-def encode_ids(tok, texts: list[str], *, split_chars: int = 1 << 15, batch_bytes: int = 1 << 18) -> list[np.ndarray]:
-    """The ids of each text, in two bytes each if the vocabulary allows, else in four, as the tokenizers library gives them; long texts are encoded in
-    pieces cut at safe boundaries, in batches of about batch_bytes."""
-    pieces, owner = [], []
-    for i, t in enumerate(texts):
-        for p in safe_pieces(t, split_chars):
-            pieces.append(p)
-            owner.append(i)
-    kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    for run in balanced([len(p) for p in pieces], batch_bytes):
-        for i, e in zip(run, tok.encode_batch_fast(pieces[run.start : run.stop], add_special_tokens=False), strict=True):
-            out[owner[i]].append(np.array(e.ids, kind))
-    return [np.concatenate(x) for x in out]
+def doubtful() -> list[int]:
+    """Bounds of the runs of code points that two libraries of different Unicode versions may class apart (as letter, number,
+    white space or other): those that are unassigned now or that changed their class since Unicode 3.2. A code point is in a
+    run if bisect_right gives an odd place."""
+    import unicodedata
+
+    import regex
+
+    code = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    every = "".join(map(chr, code.tolist()))
+    now = np.zeros(0x110000, np.uint8)
+    for k, kind in enumerate((r"\p{L}", r"\p{N}", r"\s", r"\p{Cn}"), 1):
+        now[[ord(c) for c in regex.findall(kind, every)]] = k
+    kinds = {"L": 1, "N": 2, "Z": 3}
+    then = np.fromiter((kinds.get(x[0], 0) for x in map(unicodedata.ucd_3_2_0.category, every)), np.uint8, len(every))
+    odd = np.zeros(0x110001, np.int8)
+    odd[code] = now[code] != then
+    odd[[9, 10, 11, 12, 13, 0x85]] = 0  # white space that is no separator
+    return np.flatnonzero(np.diff(odd, prepend=0)).tolist()
+
+
+class IdEncoder:
+    """The ids of texts as the tokenizers library gives them, as bytes of two an id if the vocabulary allows, else four.
+
+    Byte-level BPE encodes every match of PATTERN by itself, so a match's ids are remembered, and the library encodes those
+    not met yet, many in a call. The memory has two generations of GENERATION matches and lasts as long as its worker. Texts
+    with added tokens or code points that may be classed apart go through the library whole, and so do all if the tokenizer
+    is of another make. Long texts are encoded in pieces cut at safe boundaries."""
+
+    GENERATION = 400_000
+
+    def __init__(self, spec: bytes, bounds: Sequence[int]):
+        import regex
+
+        self.tok, self.bounds = load_tokenizer(spec), list(bounds)
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        make = json.loads(spec)
+        pre, model = make.get("pre_tokenizer") or {}, make["model"]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.apart = plain and model.get("type") == "BPE" and not model.get("dropout") and not make.get("normalizer")
+        added = [t["content"] for t in make.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.pattern = regex.compile(PATTERN)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, texts: Sequence[str], split_chars: int = 1 << 15) -> list[bytes]:
+        pieces, owner = [], []
+        for i, t in enumerate(texts):
+            for p in safe_pieces(t, split_chars):
+                pieces.append(p)
+                owner.append(i)
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, x in zip(owner, self._known(pieces) if self.apart else self._whole(pieces), strict=True):
+            out[i].append(x)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _whole(self, pieces: Sequence[str], batch_bytes: int = 1 << 18) -> list[bytes]:
+        out = []
+        for run in balanced([len(p) for p in pieces], batch_bytes):
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(pieces[run.start : run.stop], add_special_tokens=False)]
+        return out
+
+    def _known(self, pieces: Sequence[str]) -> list[bytes]:
+        if len(self.new) > self.GENERATION:
+            self.old, self.new = self.new, {}
+        words = [self.pattern.findall(p) for p in pieces]
+        get = self.new.get
+        found = [list(map(get, ws)) for ws in words]
+        lacking = [i for i, x in enumerate(found) if None in x]
+        self._learn({w for i in lacking for w, x in zip(words[i], found[i], strict=True) if x is None})
+        for i in lacking:
+            found[i] = list(map(get, words[i]))
+        whole = [i for i in lacking if None in found[i]]
+        if self.added:
+            whole += [i for i, p in enumerate(pieces) if self.added.search(p)]
+        whole = sorted(set(whole))
+        out = [b"" if None in x else b"".join(x) for x in found]
+        for i, x in zip(whole, self._whole([pieces[i] for i in whole]), strict=True):
+            out[i] = x
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers the ids of the words, but of those with a doubtful code point."""
+        alone, spaced = [], []
+        for w in words:
+            if (known := self.old.get(w)) is not None:
+                self.new[w] = known
+            elif w.isascii() or not any(bisect_right(self.bounds, ord(c)) & 1 for c in w):
+                (spaced if w[0] == " " and w[1:].isalpha() else alone).append(w)
+        for at in range(0, len(spaced), 1024):  # words behind a space stay apart when they stand in a row
+            part = spaced[at : at + 1024]
+            got = self.tok.encode("".join(part), add_special_tokens=False)
+            raw, width = np.array(got.ids, self.kind).tobytes(), self.kind.itemsize
+            cuts = (np.flatnonzero(np.diff(np.array(got.word_ids, np.int64), prepend=-1)) * width).tolist()
+            if len(cuts) == len(part):
+                self.new.update(zip(part, (raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)), strict=True))
+            else:
+                alone += part
+        self.new.update(zip(alone, self._whole(alone), strict=True))
+
+
+_ENCODERS: dict[int, IdEncoder] = {}
+
+
+def load_encoder(spec: bytes, bounds: Sequence[int]) -> IdEncoder:
+    """The encoder of a .json specification, kept for the life of the Python worker."""
+    if (key := hash(spec)) not in _ENCODERS:
+        _ENCODERS[key] = IdEncoder(spec, bounds)
+    return _ENCODERS[key]
 
 
 def write_id_records(
@@ -85,27 +185,31 @@ def write_id_records(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shards: int | None = None,
+    shard_bytes: int = 32 << 20,
 ) -> None:
     """Writes the shards of docs to path/records, reads them back, and writes their index to path/index.
 
-    Documents are dealt out by ranges of their id into `shards` files (four times the session's shuffle partitions), so
-    each follows the one before it; a reader holds one file at a time, so they should stay within some tens of MB. Null texts count as empty (the end id alone); null ids come first and are flagged; equal ids stand in
-    the order of their texts. Spark's text writer puts the frames down as they are, on any file system and under its
-    commit protocol, so a lost executor's task leaves nothing half-written.
+    Documents are dealt out by ranges of their id into files of about shard_bytes of text each, so each follows the one
+    before it and a reader that holds a file whole needs some tens of MB, however large the corpus. Ids are integers. Null
+    texts count as empty (the end id alone); null ids come first and are flagged; equal ids stand in the order of a hash of
+    their texts, and may lie in several shards; other columns are ignored; an empty table gives an empty index. Spark's text
+    writer puts the frames down as they are, on any file system and under its commit protocol, so a lost executor's task
+    leaves nothing half-written.
     """
     spark = docs.sparkSession
-    spec = spark.sparkContext.broadcast(read_asset(tokenizer_path))
+    spec = spark.sparkContext.broadcast((read_asset(tokenizer_path), doubtful()))
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    parts = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tie = F.xxhash64("text")
+    dealt = src.repartitionByRange(max(1, -(-size // shard_bytes)), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(spec.value)
+        encode = load_encoder(*spec.value)
+        end = np.array([end_id], encode.kind).tobytes()
         for big in batches:
             for b in slices(big, 1, 2 << 20):
-                ids = encode_ids(tok, b.column(1).to_pylist())
-                rows = [frame(i, np.append(x, x.dtype.type(end_id))) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
+                ids = encode(b.column(1).to_pylist())
+                rows = [frame(i, np.frombuffer(x + end, encode.kind)) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
@@ -148,21 +252,54 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/index")
 
 
+def record_at(stream, at: int, size: int) -> tuple[int | None, np.ndarray]:
+    """Document id and ids of the frame whose body of that size begins after the header at byte `at`."""
+    stream.seek(at)
+    ((_, _, doc_id, ids),) = frames(memoryview(stream.read(FRAME.size + size + END.size + 1)))
+    return doc_id, ids.astype(np.int32)
+
+
+#: Schemes of paths that a worker can open and seek in by itself; shards elsewhere are read whole.
+SEEKABLE = ("file", "hdfs")
+
+
 def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """doc_id and ids (array of int) of the records, checksums verified; of those whose shard and offset `wanted` names (rows
-    of the index, say a shuffled part of it), or all."""
+    of the index, say a shuffled part of it), or all. Wanted records are read by seeking to their offsets; all, or those of a
+    store that only Spark opens, from whole shards."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
+    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard")
+    names, kinds = ["shard", "offset", "doc_id", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    schema = "shard int, offset long, doc_id long, ids array<int>"
+
+    def batch(got: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*got, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for where, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = [(int(re.search(r"part-(\d+)", where)[1]), at, i, x.astype(np.int32)) for at, _, i, x in frames(memoryview(content.as_buffer()))]
-                cols = list(zip(*got, strict=True)) or [[]] * 4
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "offset", "doc_id", "ids"])
+            for n, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield batch([(n, at, i, x.astype(np.int32)) for at, _, i, x in frames(memoryview(content.as_buffer()))])
 
-    rows = files.select("path", "content").mapInArrow(parse, "shard int, offset long, doc_id long, ids array<int>")
-    return (rows if wanted is None else rows.join(wanted.select("shard", "offset"), ["shard", "offset"], "left_semi")).select("doc_id", "ids")
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        opened, stream = None, None
+        for b in batches:
+            got = []
+            for where, n, at, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if where != opened:
+                    fs, inner = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", where))
+                    opened, stream = where, fs.open_input_file(inner)
+                got.append((n, at, *record_at(stream, at, size)))
+            yield batch(got)
+
+    if wanted is None:
+        return files.select(shard, "content").mapInArrow(parse, schema).select("doc_id", "ids")
+    if path.split(":", 1)[0] not in SEEKABLE:
+        return files.select(shard, "content").mapInArrow(parse, schema).join(wanted.select("shard", "offset"), ["shard", "offset"], "left_semi").select("doc_id", "ids")
+    places = wanted.select("shard", "offset", "body_bytes").join(files.select("path", shard), "shard").select("path", "shard", "offset", "body_bytes")
+    return places.sortWithinPartitions("path", "offset").mapInArrow(seek, schema).select("doc_id", "ids")
 
 
 def new_output(spark: SparkSession) -> str:
