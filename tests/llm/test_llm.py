@@ -259,12 +259,27 @@ def test_decontamination_finds_verbatim_copies(spark):
 
 def test_html(spark):
     page = '<html><body><nav><a>Menu</a></nav><div class="cookie-notice">We use cookies.</div><article><h1>T &amp; U</h1><p>One <b>two\n three<br>four<p>Five</article><aside>no</aside><div class="comments"><p>Nice!</div><footer>f</footer>'
-    assert main_text(page) == "T & U\nOne two three four\nFive" and main_text("") == "" and main_text("<p>unfinished <b") == ""
+    assert main_text(page) == "T & U\nOne two three four\nFive" and main_text("") == "" and main_text("<p>unfinished <b") == "unfinished"
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "y"), (1, "u", page, "x")], "page_id long, url string, html string, Text string")
     assert [(r.text, r.n_chars) for r in extract_html(df).orderBy("page_id").collect()][-1] == ("", 0)
     assert extract_html(df.limit(0)).count() == 0
 
 
+def test_html_surges_and_dives():
+    """Pages without an article, of short text, with hostile scripts and quotes, with an article's own names, very long ones."""
+    para = "This is a paragraph of the story that has a good number of words in it. "
+    menu = "<table>" + "".join(f"<tr><td><b>Go {i}</b></td></tr>" for i in range(3)) + "</table>"
+    page = f"<body>{menu}<div><div><div></div></div></div><div><h2>Title</h2><p>{para}</p><p>Short.</p><p>{para * 3}</p></div><div><div><div></div></div></div><table><tr><td>Imprint</td></tr></table></body>"
+    assert main_text(page) == "\n".join(["Title", para.strip(), "Short.", (para * 3).strip()])
+    assert main_text("<body><p>Short note.</p></body>") == "Short note." and main_text("just text") == "just text"
+    assert main_text("<script>x=\"<i a='\"</script><p>don't stop > now</p>") == "don't stop > now"
+    assert main_text("<p title=\"a > b\">one</p><p class='x>two</p>") == "one\ntwo"
+    assert main_text("<article><section class='related-work'><p>A</p></section><div class='legal'>B</div><div class='share'>no</div><p>C</p></article>") == "A\nB\nC"
+    assert main_text(f"<ul><li><a href=x>{para}</a></li></ul><div><div></div></div><p>{para}</p>") == para.strip()
+    assert main_text("<article>" + "<p>x</p>" * 50_000 + "</article>").count("\n") == 49_999
+    assert main_text("<p>" * 20_000 + "deep") == "deep"
+
+
 def test_html_tables(spark, sf):
     import html
     import re
