@@ -251,10 +251,66 @@ def test_decontamination_finds_verbatim_copies(spark):
         5: "too short here",
     }
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    rows = [(1, f"Listed are {items[1]} and so on"), (2, f"present were {items[2]} today"), (3, f"Question 3\n{items[3]}"), (4, items[4].replace("\n", " ")), (5, "Too short here")]
+    rows = [(1, f"Listed are {items[1]} and so on"), (2, f"present were {items[2]} today"), (3, f"Question 3\n{items[3]}"), (4, items[4].replace("\n", " ")), (5, "Too short here"), (9, "not too short here")]
     rows += [(6, items[4].replace("near Paris", "near\nRome")), (7, "13 kg 8 lb 31 oz 6 g 10 m 12 km 5 ft 3 mi"), (8, "What is\nthe capital city of Spain?")]
     got = {r.doc_id: {x.item_id for x in r.leaks} for r in matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert got == {1: {1}, 2: {2}, 3: {3}, 4: {4}, 5: set(), 6: {4}, 7: set(), 8: {3}}
+    assert got == {1: {1}, 2: {2}, 3: {3}, 4: {4}, 5: {5}, 6: {4}, 7: set(), 8: {3}, 9: set()}
+
+
+def brute_leaks(text, item, common, window=8, literal=4):
+    """Whether the text holds a window of the item, by comparing every window of one with every window of the other."""
+    import ticklattice.llm.decontam as d
+
+    edge = lambda w: w.strip(d.EDGE)
+    ws, vs = (text or "").split(), (item or "").split()
+    n = min(window, len(vs))
+    if n < 4:
+        return bool(vs) and [edge(w).lower() for w in ws] == [edge(v).lower() for v in vs]
+
+    def kinds(words, reading):
+        out = []
+        for i, w in enumerate(words):
+            x, begins = edge(w), i == 0 or words[i - 1].rstrip("\"')]”»*#&|")[-1:] in tuple(".!?:")
+            if x.lower() in d.NUMERALS or any(c.isdigit() for c in x) and not any(c.isalpha() for c in x):
+                out.append(1)
+            elif x.lower() in d.UNITS and (len(x) > 1 or x in "%$€£"):
+                out.append(2)
+            else:
+                out.append(3 * (len(x) > 1 and x[0].isupper() and x[1:].islower() and (x.lower() not in common or reading and not begins)))
+        return out
+
+    w0, v0 = [edge(w).lower() for w in ws], [edge(v).lower() for v in vs]
+    if any(w0[i : i + n] == v0[j : j + n] for i in range(len(ws) - n + 1) for j in range(len(vs) - n + 1)):
+        return True
+    for reading in (0, 1):
+        a, b = kinds(ws, reading), kinds(vs, reading)
+        for i in range(len(ws) - n + 1):
+            for j in range(len(vs) - n + 1):
+                k = b[j : j + n]
+                if a[i : i + n] == k and k.count(0) >= min(literal, n - 1) and all(x == y for x, y, z in zip(w0[i : i + n], v0[j : j + n], k, strict=True) if not z):
+                    pairs = {(z, y, x) for x, y, z in zip(w0[i : i + n], v0[j : j + n], k, strict=True) if z}
+                    if len({p[:2] for p in pairs}) == len(pairs) == len({p[::2] for p in pairs}):
+                        return True
+    return False
+
+
+def test_decontamination_equals_brute_force(spark, sf):
+    """School-book questions under other names and numbers, at sentence starts and within, in mixed order, and real tables."""
+    rnd = random.Random(10)
+    names, things = ["Alice", "Bob", "Janet", "Omar", "Will", "Rosa"], ["apples", "eggs", "pens", "kg of flour"]
+    forms = [
+        "{a} has {x} {t}. {b} has {y} {t}. How many {t} do they have together?", "{a} sells {x} {t} and eats three", "So {a} sells {x} {t} and gives {b} {y} of them each day.",
+        "If {a} buys {x} {t} for ${y} and {b} buys none, who paid more?", "What will {b} pay for {x} {t}?", "{a} and {b}", "Compute {x} + {y}",
+    ]
+    fill = lambda f: f.format(a=rnd.choice(names), b=rnd.choice(names), x=rnd.randrange(2, 90), y=rnd.randrange(2, 90), t=rnd.choice(things))
+    items = [(i, fill(f)) for i, f in enumerate(forms)]
+    texts = [fill(rnd.choice(forms)) for _ in range(60)] + [f"so {fill(rnd.choice(forms))} and then.\n{fill(rnd.choice(forms))}" for _ in range(60)] + [t for _, t in items]
+    texts += [f"well {t[0].lower()}{t[1:]} indeed" for _, t in items] + [None, "", "and", "Alice and"]
+    common = {x for _, t in items for w in t.split() if (x := w.strip(".,?$+")).islower()}
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {d: {i for i, v in items if brute_leaks(t, v, common)} for d, t in enumerate(texts)}
+    assert {d: (texts[d], got[d], want[d]) for d in got if got[d] != want[d]} == {}
+    assert sum(map(len, want.values())) > 70
 
 
 def test_html(spark):

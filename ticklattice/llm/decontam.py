@@ -26,8 +26,11 @@ EDGE = ".,;:!?\"'()[]{}*#&|»«“”…"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words that a worker remembers at once.
 REMEMBERED = 300_000
-#: Bits of a word's code: its slot type, whether it is capitalised, whether a sentence ends with it; the rest is its number.
-SLOT, CAPITAL, ENDS, SHIFT = 3, 4, 8, 4
+#: Bits of a word's code: its slot type, whether it is capitalised, whether a sentence ends with it, whether the items have
+#: it uncapitalised; the rest is its number.
+SLOT, CAPITAL, ENDS, COMMON, SHIFT = 3, 4, 8, 16, 5
+#: Words from which an item has windows; a shorter one is only a document's whole text.
+LEAST_WORDS = 4
 
 
 def bare(word: str) -> str:
@@ -37,9 +40,9 @@ def bare(word: str) -> str:
 class Codes(dict):
     """word -> code, made as words come, with its number in the vocabulary of the templates (0: in none)."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: dict[str, int], common: frozenset[str]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.common = vocabulary, common
 
     def __missing__(self, word: str) -> int:
         if word.isalpha():
@@ -53,39 +56,33 @@ class Codes(dict):
         elif low in UNITS and (len(low) > 1 or low in "%$€£"):
             code = UNIT
         else:
-            code = CAPITAL if len(raw) > 1 and raw[0].isupper() and raw[1:].islower() else 0
+            code = capital(raw) * (CAPITAL | COMMON * (low in self.common))
         self[word] = code = code | ends | self.vocabulary.get(low, 0) << SHIFT
         return code
 
-    def canonical(self, flat: list[str], starts: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    def canonical(self, flat: list[str], starts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """The words' numbers, and hashes and slot types of the words of texts that begin at `starts`: numbers, units and
-        names are typed placeholders. A name is a capitalised word (not all capitals) that does not begin a sentence or
-        text. The words at `lines` begin a line, which may or may not begin a sentence: if it matters, there are two readings."""
+        names are typed placeholders. A name is a capitalised word, wherever it stands, that the items never have
+        uncapitalised; by a second reading, if it matters, also any other that does not begin a sentence or text."""
         if len(self) > REMEMBERED:
             self.clear()
         c = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
-        begins = np.empty(len(c), bool)
+        begins = np.zeros(len(c), bool)
         begins[1:] = (c[:-1] & ENDS) > 0
         begins[starts[starts < len(c)]] = True
-        number, readings = c >> SHIFT, []
-        lines = lines[lines < len(c)]
-        for at in (lines[:0], lines[((c[lines] & CAPITAL) > 0) & ~begins[lines]]):
-            if len(at) or not readings:
-                begins[at] = True
-                slot = c & SLOT
-                slot[(slot == 0) & ((c & CAPITAL) > 0) & ~begins] = NAME
+        number, kind, name = c >> SHIFT, c & SLOT, (c & CAPITAL) > 0
+        rare = name & ((c & COMMON) == 0)
+        readings = []
+        for names in (rare, rare | (name & ~begins)):
+            if not readings or (names != rare).any():
+                slot = np.where(names & (kind == 0), NAME, kind)
                 readings.append((np.where(slot > 0, slot, number + SLOT + 1).astype(np.uint64), slot))
         return number.astype(np.uint64), readings
 
 
-def split_lines(text: str) -> tuple[list[str], list[int]]:
-    """The words of a text, and which of them begin a line."""
-    words: list[str] = []
-    lines = []
-    for line in text.splitlines():
-        lines.append(len(words))
-        words += line.split()
-    return words, lines
+def capital(raw: str) -> bool:
+    """Whether a word is capitalised, and not all in capitals."""
+    return len(raw) > 1 and raw[0].isupper() and raw[1:].islower()
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -108,23 +105,28 @@ class Templates:
 
     def __init__(self, items: Sequence[tuple[int, str]], window: int, literal: int):
         self.items: list[tuple[int, list[str]]] = []
-        split = [(i, *split_lines(t or "")) for i, t in items]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({bare(w) for _, ws, _ in split for w in ws} - {""}), 1)}
-        codes = Codes(self.vocabulary)
+        split = [(i, (t or "").split()) for i, t in items]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({bare(w) for _, ws in split for w in ws} - {""}), 1)}
+        self.common = frozenset(x for _, ws in split for w in ws if (x := w.strip(EDGE)).islower())
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        codes = Codes(self.vocabulary, self.common)
         found: dict[int, dict[int, list[Entry]]] = defaultdict(lambda: defaultdict(list))
         exact: dict[int, dict[int, list[Entry]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, words, lines in split:
-            n = min(window, len(words))
-            if n < min(window, 4):  # a benchmark text of one to three words tells nothing
+        for item_id, words in split:
+            n, at_item = min(window, len(words)), len(self.items)
+            if words:
+                self.items.append((item_id, [bare(w) for w in words]))
+            if n < min(window, LEAST_WORDS):
+                if words:
+                    self.short[tuple(self.items[-1][1])].append(at_item)
                 continue
-            number, readings = codes.canonical(words, np.zeros(1, np.int64), np.array(lines, np.int64))
+            number, readings = codes.canonical(words, np.zeros(1, np.int64))
             for h, slot in readings:
                 for at, x in enumerate(windows(h, n).tolist()):
                     if (slot[at : at + n] == 0).sum() >= min(literal, n - 1):
-                        found[n][x].append((len(self.items), at, slot))
+                        found[n][x].append((at_item, at, slot))
             for at, x in enumerate(windows(number, n).tolist()):
-                exact[n][x].append((len(self.items), at, None))
-            self.items.append((item_id, [bare(w) for w in words]))
+                exact[n][x].append((at_item, at, None))
         self.by_size, self.exact = self._index(found), self._index(exact)
 
     @staticmethod
@@ -140,12 +142,15 @@ class Templates:
     def match(self, codes: Codes, texts: Sequence[str]) -> list[list[tuple[int, int, int, int, bool]]]:
         """For each text (item id, words covered, the item's words, slots whose value differs, reparameterised) of the items
         that it holds windows of, checked word by word, with one consistent value for each value of a slot."""
-        split = [split_lines(t) for t in texts]
-        starts = np.cumsum([0, *(len(ws) for ws, _ in split)])
-        flat = [w for ws, _ in split for w in ws]
-        lines = np.array([s + i for s, (_, at) in zip(starts.tolist(), split, strict=False) for i in at], np.int64)
-        number, readings = codes.canonical(flat, starts[:-1], lines)
+        split = [t.split() for t in texts]
+        starts = np.cumsum([0, *map(len, split)])
+        flat = [w for ws in split for w in ws]
+        number, readings = codes.canonical(flat, starts[:-1])
         cover: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for d, ws in enumerate(split):
+            if ws and len(ws) < LEAST_WORDS:
+                for i in self.short.get(tuple(map(bare, ws)), ()):
+                    cover[d, i].update(range(len(ws)))
         bind: dict[tuple[int, int], tuple[dict, dict]] = defaultdict(lambda: ({}, {}))
         for h, slot, by_size in [*((h, slot, self.by_size) for h, slot in readings), (number, None, self.exact)]:
             for n, (bits, keys, table) in by_size.items():
@@ -194,19 +199,21 @@ def matches(
     keep: Sequence[str] = ("doc_id",),
     window: int = 8,
     literal: int = 4,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 1 << 20,
 ) -> DataFrame:
     """`keep` columns with `leaks`, the benchmark items of which the whole text holds a window.
 
     Every window of `window` words (all words of a shorter item) is looked up word for word, case and edge punctuation
-    aside; items of one to three words tell nothing and are skipped. For changed copies, numbers, units and names become
-    typed placeholders; windows of canonical words with `literal` words besides placeholders are looked up by their hash, then compared word by word; the same value of
-    an item's slot must meet the same value in the document and the other way round, across all the item's windows, so
-    a re-parameterised question is caught and a chance mixture is not.
-
-    The benchmark is broadcast in blocks of block_bytes of text: one block is the rule, and however many there are, each
-    is held against all documents. Null texts and items hold nothing; a repeated item counts as often as it stands
-    there; documents without words have no leaks; an empty table on either side gives no leaks.
+    aside; an item of one to three words, which tells nothing inside a text, is only found as a document's whole text. For
+    changed copies, numbers, units and names become typed placeholders; windows of canonical words with `literal` words
+    besides placeholders are looked up by their hash, then compared word by word; the same value of an item's slot must
+    meet the same value in the document and the other way round, across all the item's windows, so a re-parameterised
+    question is caught and a chance mixture is not.
+
+    The benchmark is broadcast in blocks of about block_bytes of text (their windows take some hundred times that in a
+    worker): one block is the rule, and however many there are, each is held against all documents. Null texts and items
+    hold nothing; a repeated item counts as often as it stands there; documents without words have no leaks; an empty
+    table on either side gives no leaks. A kept column named leaks is replaced.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     sizes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -219,7 +226,7 @@ def matches(
 
         def factory(shared=shared):
             t = Templates(shared.value, window, literal)
-            codes, names = Codes(t.vocabulary), [f.name for f in MATCH.elementType.fields]
+            codes, names = Codes(t.vocabulary, t.common), [f.name for f in MATCH.elementType.fields]
             return lambda texts: [[[dict(zip(names, x, strict=True)) for x in got] for got in t.match(codes, texts)]]
 
         if blocks == 1:
