@@ -19,10 +19,10 @@ from ticklattice.llm.decontam import matches
 from ticklattice.llm.html_text import extract_html, main_text
 from ticklattice.llm.id_records import PATTERN, IdEncoder, doubtful, frame, frames, new_output, read_index, read_records, write_id_records
 from ticklattice.llm.licenses import TEMPLATES, anchors, normal_words, scan_licenses
-from ticklattice.llm.quality import fit_quality, score_quality
+from ticklattice.llm.quality import features, fit_quality, score_quality
 from ticklattice.llm.simhash import BKTree, block_masks, keep_distinct, near_duplicates
 from ticklattice.llm.token_counts import load_tokenizer, safe_pieces, token_counts
-from ticklattice.llm.toxicity import fit_toxicity, score_toxicity, segments
+from ticklattice.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, segments
 from ticklattice.llm.winnow import edited_likeness
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -356,6 +356,48 @@ def test_segments():
         assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_segments_are_all_the_maximal_ones():
+    """Best segment, then the best of what is left on either side, and so on; linear on a long downward drift."""
+
+    def brute(s, at):
+        best = max(((sum(s[i:j]), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
+        return [*brute(s[: best[1]], at), (at + best[1], at + best[2]), *brute(s[best[2] :], at + best[2])] if best[0] > 0 else []
+
+    rnd = random.Random(13)
+    for _ in range(150):
+        s = [rnd.gauss(-0.2, 1) for _ in range(rnd.randrange(18))]
+        assert [(a, b) for a, b, _ in segments(s)] == brute(s, 0)
+    s = [1.0, -1.1] * 200_000
+    assert len(segments(s)) == 200_000
+
+
+def test_toxic_evidence():
+    """One segment counts as itself, several as their sum statistic, none below significance; passages come with their places."""
+    m = ToxicityModel({b"bad": 3.0, b"worse": 4.0}, -0.5, lam=1.0, k=0.1)
+    assert m.bits(100, []) == 0 and m.bits(100, [(0, 1, 2.0)]) == 0 and abs(m.bits(100, [(0, 1, 7.0)]) - (7 - np.log(10))) < 1e-9
+    two = m.bits(100, [(0, 1, 7.0), (5, 6, 6.0)])
+    t = 13 - 2 * np.log(10)
+    assert abs(two - (t - np.log(t) + np.log(2) - np.log(2))) < 1e-9 and two > m.bits(100, [(0, 1, 7.0)])
+    n, found = m.passages("a bad worse day " + "and so on " * 30 + "worse bad")
+    assert n == 96 and [(a, b) for a, b, _ in m.significant(n, found)] == [(1, 3), (94, 96)]
+    assert m.passages("") == (0, []) and m.significant(0, []) == []
+
+
+def test_quality_votes(spark, none, docs):
+    """Each score against votes counted one by one; null and empty texts, repeated rows."""
+    sf = "/root/testdata/sf0.001"
+    d, y = read(spark, sf, "documents"), read(spark, sf, "labels")
+    m = fit_quality(d.unionByName(d), y, neighbours=7)
+    assert len(m.labels) == y.where("quality is not null").count() - sum(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in y.collect())
+    rows = [(r.doc_id, r.text) for r in d.limit(60).collect()] + [(10**6, None), (10**6 + 1, ""), (10**6, None)]
+    for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string"), m, keep=("doc_id", "text")).collect():
+        z = m.project(features(r.text or "")[None])[0].astype(float)
+        near = sorted(((float(v.astype(float) @ z), label) for v, label in zip(m.vectors, m.labels, strict=True)), reverse=True)[:7]
+        votes = [(max(c, 0.0) ** 8, label) for c, label in near]
+        want = (sum(w * v for w, v in votes) + 0.1 * m.prior) / (sum(w for w, _ in votes) + 0.1)
+        assert abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.3)
+
+
 @pytest.mark.parametrize(("label", "fit", "score", "least"), [("quality", fit_quality, score_quality, 0.9), ("toxic", fit_toxicity, score_toxicity, 0.9)])
 def test_classifiers(spark, docs, none, label, fit, score, least):
     sf = "/root/testdata/sf0.01"

@@ -80,7 +80,8 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int) -> DataFrame:
-    """doc_id, text and label of at most `limit` labelled documents whose id is not held out, chosen by a hash of the id.
+    """doc_id, text and label of at most `limit` labelled documents whose id is not held out, chosen by a hash of the id; of
+    rows that share an id the least text, of its labels the largest.
 
     The bound makes the ids fit a broadcast whatever the size of labels."""
     ids = (
@@ -92,21 +93,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: i
         .limit(limit)
     )
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "id").select(F.col("id").alias("doc_id"), "text", "label")
+    return texts.join(F.broadcast(ids), "id").groupBy(F.col("id").alias("doc_id")).agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sample: int = 4096, rank: int = 48, neighbours: int = 25) -> QualityModel:
     """Fits on a sample of at most `sample` labelled documents (see labelled_sample): the bound of what is broadcast.
 
-    The latent basis is the truncated singular basis of the weighted feature matrix. Without usable labels every
+    Copies of an id count once. The latent basis is the truncated singular basis of the weighted feature matrix. Without usable labels every
     score is 0.5.
     """
     rows = map_text(
         labelled_sample(docs, labels, label_col, sample), "text", ["doc_id", "label"], [("x", T.BinaryType())],
         lambda: lambda texts: [[features(t).astype(np.float16).tobytes() for t in texts]],
     ).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    rows = rows[:sample]
+    rows.sort(key=lambda r: r.doc_id)
     x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in rows]) if rows else np.zeros((0, SIZE), np.float32)
     y = np.array([r.label for r in rows], np.float64)
     del rows
@@ -129,7 +129,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """`keep` columns with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold), from whole
-    texts alone. Null and empty texts get the labels' mean; repeated rows the same score; an empty table none."""
+    texts alone. Null and empty texts are voted on by the labelled texts without repeated words or lines; repeated rows get
+    the same score; an empty table none; without labels every score is 0.5. A kept column named like a result is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():

@@ -56,8 +56,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")), with_passages=True)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "passages")
 
 
 def op10_id_records(spark: SparkSession, sf_dir: str) -> DataFrame:

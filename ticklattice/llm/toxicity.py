@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,20 +38,24 @@ def stems(word: bytes) -> list[bytes]:
 
 
 def segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, sum) of a run of scores, left to right, in linear time: each holds more
-    than any part of it or any extension of it (Ruzzo and Tompa's scan)."""
-    total, found = 0.0, []  # start, end, sum before, sum after
+    """All maximal-scoring segments (start, end, sum) of a run of scores, left to right: each holds more than any part of it
+    or any extension of it (Ruzzo and Tompa's scan). Every segment keeps the place of the last one before it that begins
+    lower, and searches go from place to place, so the scan is linear however the scores drift."""
+    total, found = 0.0, []  # start, end, sum before, sum after, place of the last that begins lower
     for i, s in enumerate(scores):
         if s > 0:
-            found.append([i, i + 1, total, total + s])
-            while len(found) > 1:
-                last = found[-1]
-                j = next((j for j in range(len(found) - 2, -1, -1) if found[j][2] < last[2]), None)
-                if j is None or found[j][3] >= last[3]:
+            a, before = i, total
+            while True:
+                j = len(found) - 1
+                while j >= 0 and found[j][2] >= before:
+                    j = found[j][4]
+                if j < 0 or found[j][3] >= total + s:
                     break
-                found[j:] = [[found[j][0], last[1], found[j][2], last[3]]]
+                a, before = found[j][0], found[j][2]
+                del found[j:]
+            found.append((a, i + 1, before, total + s, j))
         total += s
-    return [(a, b, after - before) for a, b, before, after in found]
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 @dataclass
@@ -93,24 +97,42 @@ class ToxicityModel:
         return len(words), [(where[a], where[b - 1] + 1, s) for a, b, s in segments(scores)]
 
     def bits(self, n: int, found: list[tuple[int, int, float]]) -> float:
-        """The extreme-value evidence of the best segment: -ln of the number of such segments expected in n tokens of
-        ordinary text, K n exp(-lambda S); 0 without one."""
-        best = max((s for *_, s in found), default=0.0)
-        return max(0.0, self.lam * best - math.log(max(self.k * n, 1e-9))) if best > 0 else 0.0
+        """The extreme-value evidence of the passages: a segment of sum S has the normalised score x = lambda S - ln(K n), the
+        -ln of the number of such segments expected in n tokens of ordinary text. The sum t of the r best has probability
+        exp(-t) t^(r-1) / (r! (r-1)!) there (Karlin and Altschul's sum statistic); of all r the strongest counts, at the
+        price of r - 1 halvings for the choice. 0 without a significant segment."""
+        base = math.log(max(self.k * n, 1e-9))
+        best = t = 0.0
+        for r, x in enumerate(sorted((x for *_, s in found if (x := self.lam * s - base) > 0), reverse=True), 1):
+            t += x
+            if t > r - 1:
+                best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2) if r > 1 else t)
+        return best
+
+    def significant(self, n: int, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        """The segments that ordinary text of n tokens has less than once."""
+        base = math.log(max(self.k * n, 1e-9))
+        return [x for x in found if self.lam * x[2] > base]
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a + self.b * evidence))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a small ridge."""
+    """Intercept and slope by Newton steps with a small ridge, each halved until the loss falls."""
     d = np.stack([np.ones_like(x), x], 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = d @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 5e-3 * (w @ w))
+
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        g = d.T @ (p - y) + 1e-2 * w
-        h = (d * (p * (1 - p))[:, None]).T @ d + 1e-2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + 1e-2 * np.eye(2), d.T @ (p - y) + 1e-2 * w)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w - step
     return float(w[0]), float(w[1])
 
 
@@ -128,21 +150,23 @@ def _distinct_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample:
         return list(zip(*out, strict=True)) if out else [[], []]
 
     own = labelled_sample(docs, labels, label_col, sample)
-    own = map_text(own, "text", ["doc_id", "text", "label"], [("k1", T.LongType()), ("k2", T.LongType())], lambda: keys)
+    own = as_table(map_text(own, "text", ["doc_id", "text", "label"], [("k1", T.LongType()), ("k2", T.LongType())], lambda: keys), "sample")
+    kept = own.select("doc_id", "k1", "k2")
     for k in ("k1", "k2"):
-        own = own.withColumn("first", F.min("doc_id").over(Window.partitionBy(k))).where("first = doc_id")
-    return as_table(own.select("doc_id", "text", "label"), "sample")
+        kept = kept.join(kept.groupBy(k).agg(F.min("doc_id").alias("first")), k).where("first = doc_id").drop("first")
+    return as_table(own.join(kept.select("doc_id"), "doc_id").select("doc_id", "text", "label"), "sample")
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", sample: int = 12288, max_terms: int = 20000, z_min: float = 2.5, effect: float = 1.0
+    docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", sample: int = 12288, z_min: float = 2.5, effect: float = 1.0
 ) -> ToxicityModel:
     """Learns from a sample of at most `sample` labelled documents that are not held out, copies taken out; the Dirichlet
     prior of each candidate term is its share of the words of all documents, with the weight of the toxic sample.
 
     Terms are words, and prefixes that stand for the words of a stem; each counts once a document, so that a long
     document's favourite word stays one witness. Those are taken whose log-odds between the classes lie z_min deviations
-    and `effect` from zero; candidates are at most max_terms, the size of the model. lambda solves E[exp(lambda s)] = 1
+    and `effect` from zero; candidates are terms of two toxic documents of the sample at least, so the sample bounds the
+    model. lambda solves E[exp(lambda s)] = 1
     over the words of all documents, K fits the non-toxic sample's best segments, and a logistic curve turns the
     evidence into a score. Without both classes every score is that of no evidence.
     """
@@ -173,7 +197,7 @@ def fit_toxicity(
         return ToxicityModel({}, -0.01)
     # a first look, with a prior of one document: terms that can't reach the final bounds need no background count
     lift = F.log((F.col("t") + 1) / (n_t + 1)) - F.log((F.col("o") + n_o / n_t) / (n_o + 1))
-    cand = by_word.where("w <> '' and t >= 2").withColumn("z", lift * F.sqrt("t")).where(lift > effect / 2).orderBy(F.col("z").desc(), "w").limit(max_terms).collect()
+    cand = by_word.where("w <> '' and t >= 2").withColumn("z", lift * F.sqrt("t")).where(lift > effect / 2).orderBy(F.col("z").desc(), "w").collect()
     vocabulary = docs.sparkSession.sparkContext.broadcast({r.w.encode(): i for i, r in enumerate(cand)})
     size = len(cand) + 1
 
@@ -226,23 +250,23 @@ def fit_toxicity(
 
         def run(texts: list[str]):
             got = [m.passages(t, known) for t in texts]
-            return [n for n, _ in got], [max((s for *_, s in f), default=0.0) for _, f in got]
+            return [n for n, _ in got], [[x for *_, x in f] for _, f in got]
 
         return run
 
-    rows = map_text(own, "text", ["label"], [("n", T.LongType()), ("s", T.DoubleType())], best).collect()
-    y, n, top = (np.array([float(r[x]) for r in rows]) for x in ("label", "n", "s"))
+    rows = map_text(own, "text", ["label"], [("n", T.LongType()), ("s", T.ArrayType(T.DoubleType()))], best).collect()
+    y, n, top = (np.array(x, float) for x in ([r.label for r in rows], [r.n for r in rows], [max(r.s, default=0.0) for r in rows]))
     plain = (y == 0) & (n > 0)
     seen = max((top[plain] > 0).sum(), 1) / max(n[plain].sum(), 1)
     model.k = float(np.clip(seen * math.exp(model.lam * (np.median(top[plain & (top > 0)]) if (plain & (top > 0)).any() else 0)), 1e-6, 1.0))
-    ev = np.array([model.bits(int(a), [(0, 1, b)]) for a, b in zip(n, top, strict=True)])
+    ev = np.array([model.bits(r.n, [(0, 1, x) for x in r.s]) for r in rows])
     model.a, model.b = _logistic(ev, y)
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",), threshold: float = 0.5, with_passages: bool = False) -> DataFrame:
     """`keep` columns with score (0 to 1), predicted (1 if score >= threshold) and, if asked, passages: start and end (in
-    tokens) and score of every significant maximal segment. Whole texts; null and empty ones have no evidence and get
+    tokens) and sum of every significant maximal segment. Whole texts; null and empty ones have no evidence and get
     the score of none; repeated rows the same score; an empty table none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
@@ -256,7 +280,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
                 n, segs = m.passages(t, known)
                 scores.append(m.score(m.bits(n, segs)))
                 if with_passages:
-                    found.append([dict(zip(("start", "end", "score"), x, strict=True)) for x in segs if m.score(m.bits(n, [x])) >= threshold])
+                    found.append([dict(zip(("start", "end", "score"), x, strict=True)) for x in m.significant(n, segs)])
             return [scores, [int(x >= threshold) for x in scores], *([found] if with_passages else [])]
 
         return run
