@@ -18,6 +18,8 @@ from ticklattice.llm._util import Scratch, as_table, connected_components, map_t
 SHARD = 2048
 #: Nodes of which a list may be broadcast (a digest and a rank each, 25 MB at most), and pairs of one text that meet in one task.
 FEW_NODES, HOT = 250_000, 256
+#: Shingles under which two sets differ in more bits, and first shingles of a text that each of its rows carries along.
+FEW_SHINGLES, HEAD = 8, 4
 SEED = 42
 
 
@@ -200,11 +202,10 @@ def near_duplicates(
     )
 
 
-def wide_radius(similarity: float, bits: int, miss: float = 1e-6) -> int:
-    """Bits of `bits` by which two sets of that Jaccard similarity differ at most, but with probability `miss`. A bit differs
-    with probability acos(2 s / (1 + s)) / pi for large sets; sets of a few shingles differ in more, a fifth at most at 0.8, so
-    that share is taken a quarter larger."""
-    p = min(0.5, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def wide_radius(similarity: float, bits: int, miss: float = 1e-6, slack: float = 1.0) -> int:
+    """Bits of `bits` by which the SimHashes of two sets of that Jaccard similarity differ at most, but with probability `miss`.
+    A bit differs with probability acos(2 s / (1 + s)) / pi at most; in sets of a few shingles with up to `slack` times that."""
+    p = min(0.5, slack * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     tail, r = 1.0, -1
     while tail > miss and r < bits:
         r += 1
@@ -212,9 +213,9 @@ def wide_radius(similarity: float, bits: int, miss: float = 1e-6) -> int:
     return r
 
 
-def second_digests(x: np.ndarray) -> np.ndarray:
-    """Another 64 bits for each digest (n x 8 bytes), by mixing its own."""
-    z = x.view(">u8").ravel().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+def more_digests(x: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits for each digest (n x 8 bytes), the k-th such, by mixing its own."""
+    z = x.view(">u8").ravel().astype(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return (z ^ (z >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -230,9 +231,10 @@ def keep_distinct(
     Shards are exact (prefix filter): with the shingles of all texts in one order, two sets that similar share one of their
     first n - ceil(similarity n) + 1. Any order is right; shingles met more than once in about `sample` texts come last, so
     that common passages bring few texts together. Within the shard of a first shingle, texts are candidates whose SimHashes
-    of 128 bits differ in at most wide_radius bits, which loses a similar pair with probability 1e-6. A shard's texts are
+    of 256 bits differ in at most wide_radius bits, which loses a similar pair with probability 1e-6. A shard's texts are
     held against the one that shares most of its own first, then, as far as they are not in one component yet, against
-    each other in rounds of growing distance until each pair has met. Exact shingle sets decide about every candidate.
+    each other in rounds of growing distance until each pair has met; pairs that also share one of their HEAD very first
+    shingles meet in its shard alone. Exact shingle sets decide about every candidate.
     Equal texts are one class from the start. Wordless texts (null, empty) are one group. Columns are those of docs; an
     empty table gives an empty result.
     """
@@ -241,7 +243,9 @@ def keep_distinct(
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rank = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias("i"))
     keyed = docs.select(F.md5(body.cast("binary")).alias("key"), rank.alias("rank"), body.alias("text")).withColumn("node", F.xxhash64("key"))
-    radius = wide_radius(similarity, 128)
+    prints_of = [f"f{i}" for i in range(4)]
+    heads_of = [f"h{i}" for i in range(HEAD)]
+    radius, radius_few = wide_radius(similarity, 256), wide_radius(similarity, 256, slack=1.25)
 
     def digests(text: str) -> np.ndarray:
         x = np.unique(shingle_digests(words_of(text), shingle).view(">u8").ravel().astype(np.uint64))
@@ -263,7 +267,7 @@ def keep_distinct(
         grams, seen = shared.value
 
         def run(texts: list[str]):
-            out, sizes, one, two = [], [], [], []
+            out, sizes, prints, heads = [], [], [[] for _ in prints_of], [[] for _ in heads_of]
             for t in texts:
                 x = digests(t)
                 at = np.searchsorted(grams, x)
@@ -274,36 +278,39 @@ def keep_distinct(
                 out.append(x[np.argsort(weight, kind="stable")[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]])
                 sizes.append(len(x))
                 raw = x.astype(">u8").view(np.uint8).reshape(-1, 8)
-                one.append(fingerprint(raw))
-                two.append(fingerprint(second_digests(raw)))
-            return [lists(out), sizes, one, two]
+                for k, f in enumerate(prints):
+                    f.append(fingerprint(more_digests(raw, k) if k else raw))
+                for k, h in enumerate(heads):
+                    h.append(int(out[-1][k].view(np.int64)) if k < len(out[-1]) else None)
+            return [lists(out), sizes, *prints, *heads]
 
         return run
 
-    fields = [("ts", longs), ("size", T.IntegerType()), ("f", T.LongType()), ("g", T.LongType())]
+    fields = [("ts", longs), ("size", T.IntegerType()), *[(c, T.LongType()) for c in prints_of + heads_of]]
     first = scratch.table(map_text(keyed.select("node", "text"), "text", ["node"], fields, prefixes), "first")
     together = Window.partitionBy("t")
     keys = first.select("node", F.posexplode("ts").alias("pos", "t")).withColumns({"lo": F.min("node").over(together), "hi": F.max("node").over(together)})
     keys = keys.where("lo <> hi").groupBy("t", "node").agg(F.min("pos").alias("pos"))
-    prints = first.groupBy("node").agg(*[F.max(c).alias(c) for c in ("size", "f", "g")])  # equal in all rows of a node
-    keys = scratch.table(keys.join(prints, "node").select("t", "node", "size", "pos", "f", "g"), "keys")
+    prints = first.groupBy("node").agg(*[F.max(c).alias(c) for c in ("size", *prints_of, *heads_of)])  # equal in all rows of a node
+    keys = scratch.table(keys.join(prints, "node").select("t", "node", "size", "pos", *prints_of, *heads_of), "keys")
     scratch.drop(first)
     least, share = similarity * (1 - 1e-9), similarity / (1 + similarity) * (1 - 1e-9)
 
     # against the text that shares most
     hubs = keys.join(keys.groupBy("node").count(), "node").groupBy("t")
-    hubs = hubs.agg(F.max(F.struct("count", "node", "size", "pos", "f", "g")).alias("h"), F.count(F.lit(1)).alias("m"))
-    hubs = scratch.table(hubs.select("t", "h.*", "m").toDF("t", "_", "b", "bs", "bp", "bf", "bg", "m").drop("_"), "hubs")
-    fits = f"least(size, bs) >= {least!r} * greatest(size, bs) and least(size - pos, bs - bp) >= {share!r} * (size + bs) and bit_count(f ^ bf) + bit_count(g ^ bg) <= {radius}"
+    hubs = hubs.agg(F.max(F.struct("count", "node", "size", "pos", *prints_of)).alias("h"), F.count(F.lit(1)).alias("m"))
+    hubs = scratch.table(hubs.select("t", "h.*", "m").toDF("t", "_", "b", "bs", "bp", *[f"b{c}" for c in prints_of], "m").drop("_"), "hubs")
+    apart = " + ".join(f"bit_count({c} ^ b{c})" for c in prints_of)
+    fits = f"least(size, bs) >= {least!r} * greatest(size, bs) and least(size - pos, bs - bp) >= {share!r} * (size + bs) and {apart} <= if(least(size, bs) < {FEW_SHINGLES}, {radius_few}, {radius})"
     pairs = keys.join(hubs, "t").where("node <> b").where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
     most = hubs.agg(F.max("m")).first()[0] or 0
 
     def meet(near: int, far: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros((7, 0), np.int64)
+            held = np.zeros((5 + len(prints_of) + HEAD, 0), np.int64)
             for batch in batches:
-                old, held = held.shape[1], np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
-                t, node, size, pos, f, g, label = held
+                old, held = held.shape[1], np.concatenate([held, np.stack([c.fill_null(0).to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+                (t, node, size, pos, label), prints, heads = held[:5], held[5 : 5 + len(prints_of)], held[5 + len(prints_of) :]
                 found = [np.zeros((0, 2), np.int64)]
                 for d in range(near, min(far, len(t))):
                     i = np.arange(max(0, old - d), len(t) - d)
@@ -313,9 +320,12 @@ def keep_distinct(
                     j = i + d
                     ok = (label[i] != label[j]) & (size[i] >= least * size[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i] + size[j]))
                     i, j = i[ok], j[ok]
-                    apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (f, g))
-                    i, j = i[apart <= radius], j[apart <= radius]
-                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+                    bits = np.bitwise_count((prints[:, i] ^ prints[:, j]).view(np.uint64)).astype(np.int64).sum(0)
+                    ok = bits <= np.where(np.minimum(size[i], size[j]) < FEW_SHINGLES, radius_few, radius)
+                    for p in range(HEAD):
+                        for q in range(HEAD):
+                            ok &= (pos[i] <= p) | (pos[j] <= q) | (heads[p, i] != heads[q, j])
+                    found.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
                 got = np.unique(np.concatenate(found), axis=0)
                 yield _table(got, "a", "b")
                 held = held[:, max(0, len(t) - far) :]
@@ -368,8 +378,8 @@ def keep_distinct(
             break
         named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(f"lo <> hi and m > {near}").select("t")
-        apart = named.join(mixed, "t").select("t", "node", "size", "pos", "f", "g", "label").repartition("t").sortWithinPartitions("t", "size", "node")
-        pairs = apart.mapInArrow(meet(near, far), "a long, b long")
+        mixed = named.join(mixed, "t").select("t", "node", "size", "pos", "label", *prints_of, *heads_of).repartition("t").sortWithinPartitions("t", "size", "node")
+        pairs = mixed.mapInArrow(meet(near, far), "a long, b long")
 
     grouped = classes.join(labels, "node", "left").select("key", "rank", F.coalesce("label", "node").alias("label"))
     stars = grouped.groupBy("label").agg(F.min(F.struct("rank", "key")).alias("s"))
