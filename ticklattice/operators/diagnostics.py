@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of centroids that may be broadcast.
+MANY_LABELS = 10_000
+
+
 def stacked(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     """feature, value: a row for each column of each row."""
     return df.select(*keep, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(*keep, "x.*")
 
 
 def variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return stacked(df, columns).groupBy("feature").agg(F.var_pop("value").alias("var_pop"), F.var_samp("value").alias("var_samp"))
+    """feature, var_pop, var_samp, the largest first (a row a feature)."""
+    return stacked(df, columns).groupBy("feature").agg(F.var_pop("value").alias("var_pop"), F.var_samp("value").alias("var_samp")).orderBy(F.col("var_pop").desc(), "feature")
 
 
 def durations(labels: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -38,22 +43,24 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})
 
 
-def autocorrelations(df: DataFrame, keys: Sequence[str], order: str, column: str, lags: int = 20) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
+def autocorrelations(df: DataFrame, keys: Sequence[str], order: str, column: str, lags: int = 20, within: Sequence[str] = ()) -> DataFrame:
+    """lag, rho for each key. Lags do not cross the columns `within` (say dates); their rows count together."""
+    w = Window.partitionBy(*keys, *within).orderBy(order)
     wide = df.select(*keys, F.col(column).cast("double").alias("x"), *[F.lag(column, k).over(w).cast("double").alias(f"l{k}") for k in range(1, lags + 1)])
     both = lambda k: F.when(F.col(f"l{k}").isNotNull(), F.col("x"))
     a = wide.groupBy(*keys).agg(*[F.corr(both(k), F.col(f"l{k}")).alias(f"l{k}") for k in range(1, lags + 1)])
     return a.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("rho")) for k in range(1, lags + 1)])).alias("x")).select(*keys, "x.*")
 
 
-def series_summary(df: DataFrame, keys: Sequence[str], order: str, column: str) -> DataFrame:
-    """Lag-1 autocorrelation, deviation, deviation of the differences, coefficient of variation (null if the mean is 0)."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def series_summary(df: DataFrame, keys: Sequence[str], order: str, column: str, within: Sequence[str] = ()) -> DataFrame:
+    """Lag-1 autocorrelation, deviation, deviation of the differences, coefficient of variation (null if the mean is 0), the
+    highest autocorrelation first. Differences do not cross the columns `within`."""
+    w = Window.partitionBy(*keys, *within).orderBy(order)
     x = df.select(*keys, F.col(column).cast("double").alias("x"), F.lag(column).over(w).cast("double").alias("y"))
     return x.groupBy(*keys).agg(
         F.corr(F.when(F.col("y").isNotNull(), F.col("x")), F.col("y")).alias("rho1"), F.stddev_samp("x").alias("std"), F.stddev_samp(F.col("x") - F.col("y")).alias("delta_std"),
         F.try_divide(F.stddev_samp("x"), F.avg("x")).alias("coef_var"),
-    )
+    ).orderBy(F.col("rho1").desc(), *keys)
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,10 +71,12 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def cluster_scores(df: DataFrame, columns: Sequence[str], label: str = "regime") -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin scores of labelled points: two passes of aggregates, one row a cluster on the way."""
+    """Calinski-Harabasz and Davies-Bouldin scores of labelled points: two passes of aggregates, one row a cluster on the way.
+    The centroids are broadcast if there are MANY_LABELS at most, else joined by a shuffle."""
     k, cols = len(columns), [F.col(c).cast("double") for c in columns]
     cent = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    near = df.join(F.broadcast(cent), label)  # one row a regime
+    few = cent.select(label).limit(MANY_LABELS + 1).count() <= MANY_LABELS
+    near = df.join(F.broadcast(cent) if few else cent, label)
     d2 = sum(((cols[i] - F.col(f"c{i}")) ** 2 for i in range(1, k)), (cols[0] - F.col("c0")) ** 2)
     inner = near.groupBy(label).agg(F.sum(d2).alias("w"), F.avg(F.sqrt(d2)).alias("s"))
     g = cent.join(inner, label)
@@ -107,6 +116,20 @@ def silhouette(df: DataFrame, columns: Sequence[str], label: str = "regime", sam
     return df.sparkSession.range(len(x)).mapInPandas(block, "s double").agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("points"))
 
 
+def distribution(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
+    """The table behind histograms: feature, bin (0 .. bins - 1, of equal width from least to largest), low, rows. Nulls go."""
+    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))]).first()
+    lows = {c: (ends[f"a_{c}"], ((ends[f"b_{c}"] or 0.0) - (ends[f"a_{c}"] or 0.0)) / bins or 1.0) for c in columns if ends[f"a_{c}"] is not None}
+    low, step = (F.element_at(F.create_map(*[x for c, v in lows.items() for x in (F.lit(c), F.lit(v[i]))]), F.col("feature")) for i in (0, 1)) if lows else (F.lit(0.0), F.lit(1.0))
+    x = stacked(df, columns).where("value is not null").withColumns({"low0": low, "step": step})
+    x = x.withColumn("bin", F.least(F.floor((F.col("value") - F.col("low0")) / F.col("step")), F.lit(bins - 1)).cast("int"))
+    return x.groupBy("feature", "bin").agg(F.first(F.col("low0") + F.col("bin") * F.col("step")).alias("low"), F.count(F.lit(1)).alias("rows"))
+
+
+def label_counts(df: DataFrame, label: str = "regime") -> DataFrame:
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def information_criteria(ll: float, n: int, states: int, dims: int) -> dict[str, float]:
     """AIC and BIC of a Gaussian hidden Markov model with full covariances."""
     p = states - 1 + states * (states - 1) + states * dims + states * dims * (dims + 1) // 2

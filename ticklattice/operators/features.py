@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklattice.operators import book
-from ticklattice.operators.rolling import carried, ema, entropy, rolling_sums, zscores
+from ticklattice.operators.rolling import carried, ema, entropy, rolling_sums, with_ewm, zscores
 from ticklattice.params import FEATURES, Params
 
 
-def bounds(events: DataFrame, p: Params) -> tuple[int, int]:
-    """First and last grid number: after the first event, and not after the shorter stream's last."""
-    lo = events.groupBy("instrument").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).agg(F.min("lo"), F.min("hi")).first()
-    return lo[0] // p.snapshot_us + 1, lo[1] // p.snapshot_us
+BOOK = book.BOOK
+
+
+@dataclass
+class Grid:
+    """The grid numbers of each date: after its first event, and not after the shorter stream's last. `first` and `last` count
+    snapshots, `first_sample` and `last_sample` samples; a row a date, made on the driver. `most` is the longest."""
+
+    spans: DataFrame
+    samples: DataFrame
+    most: int
+
+    @classmethod
+    def of(cls, events: DataFrame, p: Params) -> Grid:
+        per = book.dated(events).groupBy(*BOOK).agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).groupBy("date").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+        rows = [(r.date, r.lo // p.snapshot_us + 1, r.hi // p.snapshot_us) for r in per.collect()]  # a row a date
+        kind = book.dated(events).schema["date"].dataType.simpleString()
+        ratio, make = p.snapshot_us // p.sample_us, lambda x: events.sparkSession.createDataFrame(x, f"date {kind}, first long, last long")
+        return cls(make(rows), make([(d, (a - 1) * ratio + 1, b * ratio) for d, a, b in rows]), max([(b - a + 1) * ratio for _, a, b in rows], default=1))
 
+    def points(self, events: DataFrame) -> DataFrame:
+        return self._points(events, self.spans)
 
-def grid(events: DataFrame, first: int, last: int) -> DataFrame:
-    return events.select("instrument").distinct().select("instrument", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("g"))
+    def sample_points(self, events: DataFrame) -> DataFrame:
+        return self._points(events, self.samples)
+
+    @staticmethod
+    def _points(events: DataFrame, spans: DataFrame) -> DataFrame:
+        books = book.dated(events).select(*BOOK).distinct().join(F.broadcast(spans), "date").where("first <= last")
+        return books.select(*BOOK, F.explode(F.sequence("first", "last")).alias("g"))
+
+
+def levels(events: DataFrame, p: Params, grid: Grid) -> book.Levels:
+    """The book's levels on the sample grid, of which the snapshot grid is a part."""
+    return book.Levels.of(book.versions(book.judge(events)), p.sample_us, grid.samples, grid.most, p.depth)
 
 
 def trade_windows(events: DataFrame, n: int) -> DataFrame:
     """For each trade, over the last n: volumes by direction, count, direction sum, buys, and reversals within the window."""
-    w = Window.partitionBy("instrument").orderBy("seq")
+    keys = [c for c in BOOK if c in events.columns]
+    w = Window.partitionBy(*keys).orderBy("seq")
     t = events.where("action = 'T'").withColumn("dir", F.when(F.col("side") == "B", 1).otherwise(-1))
     t = t.withColumn("flip", F.when(F.col("dir") == -F.lag("dir").over(w), 1).otherwise(0))
     d = F.col("dir")
-    t = rolling_sums(t, ["instrument"], ["seq"], {
+    t = rolling_sums(t, keys, ["seq"], {
         "buy": F.when(d > 0, F.col("size")), "sell": F.when(d < 0, F.col("size")), "n": F.lit(1), "net": d, "buys": F.when(d > 0, 1), "flips": F.col("flip"),
     }, n)
     # a reversal against a trade that has left the window does not count
@@ -34,16 +64,16 @@ def trade_windows(events: DataFrame, n: int) -> DataFrame:
     return t.withColumn("flips", F.col("flips") - F.coalesce(head, F.lit(0)))
 
 
-def sample_windows(cells: DataFrame, events: DataFrame, p: Params, first: int, last: int) -> DataFrame:
-    """For each sample time (number h): statistics of the rings of mid and spread, in price units."""
-    w = Window.partitionBy("instrument").orderBy("h")
-    hours = events.select("instrument").distinct().select("instrument", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("h"))
-    s = hours.join(book.best_prices(cells).withColumnRenamed("g", "h"), ["instrument", "h"], "left")
+def sample_windows(best: DataFrame, points: DataFrame, p: Params) -> DataFrame:
+    """For each sample time (number h): statistics of the rings of mid and spread, in price units, from the best prices at
+    points (date, instrument, g)."""
+    w = Window.partitionBy(*BOOK).orderBy("h")
+    s = points.join(best, [*BOOK, "g"], "left").withColumnRenamed("g", "h")
     s = s.withColumns({"mid": F.col("mid") * p.tick, "spread": F.col("spread") * p.tick})
     s = s.withColumn("tick", F.coalesce(F.signum(F.col("mid") - F.lag("mid").over(w)), F.lit(0.0)))
     s = s.withColumn("r", F.log("mid") - F.log(F.lag("mid").over(w)))
-    s = rolling_sums(s, ["instrument"], ["h"], {"ss": F.col("spread"), "sq": F.col("spread") ** 2, "sn": F.when(F.col("spread").isNotNull(), 1)}, p.ring)
-    s = rolling_sums(s, ["instrument"], ["h"], {"ups": F.when(F.col("tick") > 0, 1), "downs": F.when(F.col("tick") < 0, 1), "ticks": F.lit(1)}, p.rolling)
+    s = rolling_sums(s, BOOK, ["h"], {"ss": F.col("spread"), "sq": F.col("spread") ** 2, "sn": F.when(F.col("spread").isNotNull(), 1)}, p.ring)
+    s = rolling_sums(s, BOOK, ["h"], {"ups": F.when(F.col("tick") > 0, 1), "downs": F.when(F.col("tick") < 0, 1), "ticks": F.lit(1)}, p.rolling)
     m = F.col("ss") / p.rolling
     vol = F.sqrt(F.greatest(F.lit(0.0), (F.col("sq") - 2 * m * F.col("ss") + F.col("sn") * m * m) / p.rolling))
     s = s.withColumn("spread_volatility", vol).withColumn(
@@ -51,20 +81,20 @@ def sample_windows(cells: DataFrame, events: DataFrame, p: Params, first: int, l
     )
     r2 = F.col("r") ** 2
     k = p.ring - 1
-    rs = s.where("r is not null").withColumn("r2", r2)
-    rs = rolling_sums(rs, ["instrument"], ["h"], {
+    # statistics of the returns there are, by their own count: a null return is no row of them
+    there = F.col("r").isNotNull()
+    keys = [*BOOK, "there"]
+    s = s.withColumns({"there": there, "r2": r2})
+    s = rolling_sums(s, keys, ["h"], {
         "n": F.lit(1), "q": r2, "qu": F.when(F.col("r") > 0, r2), "nu": F.when(F.col("r") > 0, 1), "qd": F.when(F.col("r") <= 0, r2), "nd": F.when(F.col("r") <= 0, 1),
     }, k)
-    alpha = 2.0 / (p.rolling + 1)
-    past = F.collect_list("r2").over(w.rowsBetween(-(k - 1), 0))
-    fold = F.aggregate(past, F.lit(None).cast("double"), lambda v, x: F.coalesce(v * (1 - alpha) + alpha * x, x))
+    s = with_ewm(s, keys, "h", "r2", "ewm", k, 2.0 / (p.rolling + 1))
     u, d = F.coalesce(F.try_divide("qu", "nu"), F.lit(0.0)), F.coalesce(F.try_divide("qd", "nd"), F.lit(0.0))
-    rs = rs.select(
-        "instrument", "h", (F.col("q") / F.col("n")).alias("realized_variance"), F.sqrt(fold).alias("ewm_volatility"),
-        (F.when(u >= d, 1.0).otherwise(-1.0) * F.sqrt(F.abs(u - d))).alias("directional_volatility"),
-    )
-    out = s.join(rs, ["instrument", "h"], "left")
-    return out.select("instrument", "h", "spread_volatility", "tick_direction_entropy", *[F.coalesce(carried(c, w), F.lit(0.0)).alias(c) for c in ("realized_variance", "ewm_volatility", "directional_volatility")])
+    s = s.withColumns({
+        "realized_variance": F.when(there, F.col("q") / F.greatest("n", F.lit(1))), "ewm_volatility": F.when(there, F.sqrt(F.greatest(F.col("ewm"), F.lit(0.0)))),
+        "directional_volatility": F.when(there, F.when(u >= d, 1.0).otherwise(-1.0) * F.sqrt(F.abs(u - d))),
+    })
+    return s.select(*BOOK, "h", "spread_volatility", "tick_direction_entropy", *[F.coalesce(carried(c, w), F.lit(0.0)).alias(c) for c in ("realized_variance", "ewm_volatility", "directional_volatility")])
 
 
 def _total(xs: Column) -> Column:
@@ -72,28 +102,30 @@ def _total(xs: Column) -> Column:
 
 
 def features(events: DataFrame, p: Params) -> DataFrame:
-    """instrument, g, timestamp_ns (the grid time) and FEATURES; a side or trade that is absent gives null or 0 as each
-    feature defines it. Everything keyed by instrument moves once; the order book moves by order, then by level."""
-    first, last = bounds(events, p)
+    """(date,) instrument, g, timestamp_ns (the grid time) and FEATURES; a side or trade that is absent gives null or 0 as each
+    feature defines it. Everything is keyed by date, if events have one, and instrument: many dates are one job, and a key's
+    rows move once for each window order."""
+    grid, with_date = Grid.of(events, p), "date" in events.columns
+    events = book.dated(events)
     ratio = p.snapshot_us // p.sample_us
     judged = book.judge(events)
-    vs = book.versions(judged)
-    points = grid(events, first, last)
-    arr = book.depth_arrays(book.top_levels(book.cells(vs, p.snapshot_us, first, last), p.depth), points, p.depth)
-    h0, h1 = (first - 1) * ratio + 1, last * ratio
-    samples = sample_windows(book.cells(vs, p.sample_us, h0, h1), events, p, h0, h1)
-    w = Window.partitionBy("instrument").orderBy("g")
-    bucket = F.greatest(F.floor(F.col("ts_us") / p.snapshot_us) + 1, F.lit(first)).alias("g")
-    per = judged.groupBy("instrument", bucket).agg(
+    found = book.Levels.of(book.versions(judged), p.sample_us, grid.samples, grid.most, p.depth)
+    points, hours = grid.points(events), grid.sample_points(events)
+    arr = book.depth_arrays(found.top(points.withColumn("at", F.col("g") * ratio)), points, p.depth)
+    samples = sample_windows(found.best(hours.withColumn("at", F.col("g"))), hours, p)
+    w = Window.partitionBy(*BOOK).orderBy("g")
+    spans = F.broadcast(grid.spans)
+    bucket = F.greatest(F.floor(F.col("ts_us") / p.snapshot_us) + 1, F.col("first")).alias("g")
+    per = judged.join(spans, "date").groupBy(*BOOK, bucket).agg(
         F.sum(F.when((F.col("action") == "A") & F.col("accepted"), 1).otherwise(0)).alias("adds"), F.max("ts_us").alias("last_us")
     )
-    trades = trade_windows(events, p.rolling).select("instrument", bucket, F.struct("seq", "buy", "sell", "n", "net", "buys", "flips").alias("t")).groupBy("instrument", "g").agg(F.max("t").alias("t"))
-    clock = events.groupBy(bucket).agg(F.max("ts_us").alias("clock_us"))
+    trades = trade_windows(events, p.rolling).join(spans, "date").select(*BOOK, bucket, F.struct("seq", "buy", "sell", "n", "net", "buys", "flips").alias("t")).groupBy(*BOOK, "g").agg(F.max("t").alias("t"))
+    clock = events.join(spans, "date").groupBy("date", bucket).agg(F.max("ts_us").alias("clock_us"))
     x = (
-        arr.join(per, ["instrument", "g"], "left").join(trades, ["instrument", "g"], "left").join(clock, "g", "left")
+        arr.join(per, [*BOOK, "g"], "left").join(trades, [*BOOK, "g"], "left").join(clock, ["date", "g"], "left")
         .withColumns({"t": carried("t", w), "last_us": carried("last_us", w), "clock_us": carried("clock_us", w), "adds": F.coalesce("adds", F.lit(0))})
         .withColumn("h", F.floor(F.col("clock_us") / p.sample_us))
-        .join(samples, ["instrument", "h"], "left")
+        .join(samples, [*BOOK, "h"], "left")
     )
     price = lambda c: F.when(c > 0, c * p.tick)
     a0, b0 = price(F.col("ask_p")[0]), price(F.col("bid_p")[0])
@@ -125,10 +157,10 @@ def features(events: DataFrame, p: Params) -> DataFrame:
     was = F.lag("liq").over(w)
     x = x.withColumn("stress_raw", F.when(was > 0, -(F.col("liq") - was) / was).otherwise(0.0))
     keep = [f for f in FEATURES if f not in ("ofi", "liquidity_stress")]
-    x = x.select("instrument", "g", *[F.col(f).cast("double").alias(f) for f in keep], F.col("ofi_raw").cast("double"), F.col("stress_raw").cast("double"))
-    x = ema(x, ["instrument"], "g", {"ofi": ("ofi_raw", p.ofi_alpha), "liquidity_stress": ("stress_raw", p.stress_alpha)})
-    return x.select("instrument", "g", (F.col("g") * p.snapshot_us * 1000).alias("timestamp_ns"), *FEATURES)
+    x = x.select(*BOOK, "g", *[F.col(f).cast("double").alias(f) for f in keep], F.col("ofi_raw").cast("double"), F.col("stress_raw").cast("double"))
+    x = ema(x, BOOK, "g", {"ofi": ("ofi_raw", p.ofi_alpha), "liquidity_stress": ("stress_raw", p.stress_alpha)})
+    return x.select(*(BOOK if with_date else BOOK[1:]), "g", (F.col("g") * p.snapshot_us * 1000).alias("timestamp_ns"), *FEATURES)
 
 
 def normalised(raw: DataFrame, n: int) -> DataFrame:
-    return zscores(raw, ["instrument"], "g", FEATURES, n)
+    return zscores(raw, [c for c in BOOK if c in raw.columns], "g", FEATURES, n)

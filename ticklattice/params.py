@@ -27,8 +27,15 @@ class Params:
 #: For the sparse event table of the tests: six hours, one hour, and short windows.
 SPARSE = Params(rolling=200, zscore=40, snapshot_us=21_600_000_000, sample_us=3_600_000_000, ring=100, return_lag=5)
 
+# The columns of the stored tables, in their order.
 FEATURES = [
     "midprice", "log_spread", "log_return", "ewm_volatility", "realized_variance", "directional_volatility", "spread_volatility", "ofi",
     "signed_volume_pressure", "order_arrival_rate", "depth_imbalance", "market_depth", "lob_slope", "price_gap", "tick_direction_entropy",
     "reversal_rate", "aggressor_bias", "shannon_entropy", "liquidity_stress",
 ]
+# The columns that regime models do without, and so those that they take.
+DROPPED = [
+    "timestamp_ns", "instrument", "aggressor_bias", "signed_volume_pressure", "midprice", "market_depth", "price_gap", "order_arrival_rate",
+    "reversal_rate", "log_spread", "log_return", "depth_imbalance", "lob_slope", "spread_volatility", "ofi", "liquidity_stress",
+]
+MODEL = [f for f in FEATURES if f not in DROPPED]

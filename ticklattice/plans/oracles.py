@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ticklattice.params import FEATURES
 from ticklattice.params import SPARSE as P
 
 S, U, K, N, Z, L = P.snapshot_us, P.sample_us, P.ring, P.rolling, P.zscore, P.return_lag + 1
@@ -69,8 +70,8 @@ CTES = {
  FROM snap s JOIN near USING (instrument, g) LEFT JOIN trades t ON t.seq = s.ts2 LEFT JOIN ring r ON r.instrument = s.instrument AND r.h = s.cus // {U} WINDOW w AS (PARTITION BY s.instrument ORDER BY s.g)""",
     "emas": f"""SELECT a.instrument, a.g, sum({P.ofi_alpha} * pow(1 - {P.ofi_alpha}, a.g - b.g) * coalesce(b.ofi_raw, 0)) AS ofi, sum({P.stress_alpha} * pow(1 - {P.stress_alpha}, a.g - b.g) * coalesce(b.stress_raw, 0)) AS liquidity_stress
  FROM wide a JOIN wide b ON a.instrument = b.instrument AND b.g <= a.g GROUP BY ALL""",
-    "series": "SELECT instrument AS k, row_number() OVER (PARTITION BY instrument ORDER BY seq)::INT AS t, (order_id % 3)::INT AS regime, price_ticks::DOUBLE AS v, size::DOUBLE AS u, ts_us FROM mbo",
-    "pairs": "SELECT t, a.regime AS a, a.v AS x, b.regime AS b, b.v AS y FROM (SELECT * FROM series WHERE k = 'SPOT') a JOIN (SELECT * FROM series WHERE k = 'FUT') b USING (t)",
+    "series": "SELECT instrument AS k, ts_us // 86400000000 AS day, row_number() OVER (PARTITION BY instrument, ts_us // 86400000000 ORDER BY seq)::INT AS t, (order_id % 3)::INT AS regime, price_ticks::DOUBLE AS v, size::DOUBLE AS u, ts_us FROM mbo",
+    "pairs": "SELECT day, t, a.regime AS a, a.v AS x, b.regime AS b, b.v AS y FROM (SELECT * FROM series WHERE k = 'SPOT') a JOIN (SELECT * FROM series WHERE k = 'FUT') b USING (day, t)",
 }
 NEEDS = {
     "mbo": "", "judged": "mbo", "vers": "judged", "bounds": "mbo", "grid": "bounds", "hours": "bounds", "lv": "vers grid", "top": "lv", "arr": "top", "best": "vers hours", "trades": "mbo", "smp": "best", "rets": "smp", "ewm": "rets",
@@ -92,10 +93,11 @@ def _with(need: str, sql: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in seen) + f"\n{sql}"
 
 
-RAW = ["midprice", "log_spread", "log_return", "ewm_volatility", "realized_variance", "directional_volatility", "spread_volatility", "ofi", "signed_volume_pressure", "order_arrival_rate", "depth_imbalance", "market_depth", "lob_slope", "price_gap", "tick_direction_entropy", "reversal_rate", "aggressor_bias", "shannon_entropy", "liquidity_stress"]  # noqa: E501
-_LAG = lambda d: f"(SELECT b AS cur, lag(b) OVER (ORDER BY t) AS prev, lag(a, {d}) OVER (ORDER BY t) AS past FROM pairs)"
+RAW = FEATURES
+_LAG = lambda d: f"(SELECT b AS cur, lag(b) OVER o AS prev, lag(a, {d}) OVER o AS past FROM pairs WINDOW o AS (PARTITION BY day ORDER BY t))"
 _H = lambda d, c: f"(SELECT ln(sum(n)) - sum(n * ln(n)) / sum(n) FROM (SELECT count(*) AS n FROM {_LAG(d)} WHERE prev IS NOT NULL AND past IS NOT NULL GROUP BY {c}))"
-_Z = lambda c, n: f"({c} - avg({c}) OVER w) / CASE WHEN avg({c} * {c}) OVER w - (avg({c}) OVER w) * (avg({c}) OVER w) > 1e-9 THEN sqrt(avg({c} * {c}) OVER w - (avg({c}) OVER w) * (avg({c}) OVER w)) ELSE 1 END"
+#: z-scores; the variance counts as none below 1e-12 of the mean square about the mean of the whole key (window o)
+_Z = lambda c: f"({c} - avg({c}) OVER w) / CASE WHEN var_pop({c}) OVER w > 1e-12 * (var_pop({c}) OVER w + pow(avg({c}) OVER w - avg({c}) OVER o, 2)) THEN stddev_pop({c}) OVER w ELSE 1 END"
 _CORR = ["price_ticks", "size", "order_id"]
 
 ORACLES = {
@@ -103,7 +105,7 @@ ORACLES = {
     "contract_filter": _with("mbo", "SELECT instrument, action, count(*) AS n, sum(size)::BIGINT AS volume FROM mbo WHERE NOT (instrument = 'FUT' AND order_id % 10 <> 3) GROUP BY ALL"),
     "clock_audit": _with("mbo", "SELECT day, count(*) AS n, sum(late)::BIGINT AS late FROM (SELECT ts_us // 86400000000 AS day, CASE WHEN ts_us < lag(ts_us) OVER (PARTITION BY ts_us // 86400000000 ORDER BY seq) THEN 1 ELSE 0 END AS late FROM mbo) GROUP BY day"),
     "session_bounds": _with("mbo", "SELECT strftime(d, '%Y%m%d') AS date, (epoch_us(d) + 48600000000) * 1000 AS start_ns, (epoch_us(d) + 72000000000) * 1000 AS end_ns FROM (SELECT DISTINCT date_trunc('day', make_timestamp(ts_us)) AS d FROM mbo)"),
-    "systematic_sample": _with("series", "SELECT k, t, regime, v FROM series WHERE t % 50 = 1"),
+    "systematic_sample": _with("series", "SELECT k, day, t, regime, v FROM series WHERE t % 50 = 1"),
     "accepted_events": _with("judged", "SELECT seq, instrument, order_id, action, accepted FROM judged"),
     "rejected_audit": _with("judged", "SELECT instrument, action, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected FROM judged WHERE action <> 'T' GROUP BY ALL"),
     "unknown_orders": _with("mbo", "SELECT seq, instrument, order_id, action FROM mbo m WHERE action IN ('M', 'C') AND NOT EXISTS (SELECT 1 FROM mbo a WHERE a.action = 'A' AND a.instrument = m.instrument AND a.order_id = m.order_id)"),
@@ -111,31 +113,32 @@ ORACLES = {
     "book_levels": _with("top", "SELECT instrument, g, side, level, price_ticks, size FROM top"),
     "book_depth_change": _with("arr", "SELECT instrument, g, level, bd AS bid_d, ad AS ask_d FROM arr"),
     "book_best_prices": _with("best", "SELECT instrument, h AS g, bid, ask, (bid + ask) / 2.0 AS mid, (ask - bid)::DOUBLE AS spread FROM best"),
-    "merged_stream": _with("mbo", "SELECT seq, ts_us, instrument, CASE WHEN instrument = 'SPOT' THEN 0 ELSE 1 END AS rank FROM mbo WHERE ts_us <= (SELECT min(m) FROM (SELECT max(ts_us) AS m FROM mbo GROUP BY instrument))"),
+    "merged_stream": _with("mbo", "SELECT seq, ts_us, instrument, CASE WHEN instrument = 'SPOT' THEN 0 ELSE 1 END AS rank, (row_number() OVER (ORDER BY ts_us, CASE WHEN instrument = 'SPOT' THEN 0 ELSE 1 END, seq))::INT - 1 AS position FROM mbo WHERE ts_us <= (SELECT min(m) FROM (SELECT max(ts_us) AS m FROM mbo GROUP BY instrument))"),
     "aligned_snapshots": _with("lv", "SELECT * FROM (SELECT g, (max(price_ticks) FILTER (side = 'B') + min(price_ticks) FILTER (side = 'A')) / 2.0 AS base_mid, (min(price_ticks) FILTER (side = 'A') - max(price_ticks) FILTER (side = 'B'))::DOUBLE AS base_spread FROM lv WHERE instrument = 'SPOT' GROUP BY g) JOIN (SELECT g, (max(price_ticks) FILTER (side = 'B') + min(price_ticks) FILTER (side = 'A')) / 2.0 AS future_mid, (min(price_ticks) FILTER (side = 'A') - max(price_ticks) FILTER (side = 'B'))::DOUBLE AS future_spread FROM lv WHERE instrument = 'FUT' GROUP BY g) USING (g)"),
     "trade_windows": _with("trades", "SELECT seq, instrument, buy, sell, n, net::BIGINT AS net, buys, flips FROM trades"),
     "adds_per_snapshot": _with("judged", f"SELECT instrument, ts_us // {S} + 1 AS g, count(*) AS adds FROM judged WHERE accepted AND action = 'A' GROUP BY ALL"),
     "sample_windows": _with("ring", "SELECT instrument, h, round(spread_volatility, 8) AS spread_volatility, round(tick_direction_entropy, 8) AS tick_direction_entropy, round(realized_variance, 8) AS realized_variance, round(ewm_volatility, 8) AS ewm_volatility, round(directional_volatility, 8) AS directional_volatility FROM ring"),
     "features_raw": _with("wide emas", f"SELECT instrument, g * {S} * 1000 AS timestamp_ns, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in RAW)} FROM wide JOIN emas USING (instrument, g)"),
-    "features_norm": _with("wide emas", f"SELECT instrument, g AS grid, {', '.join(f'round({_Z(c, Z)}, 4) AS {c}' for c in RAW)} FROM (SELECT * FROM wide JOIN emas USING (instrument, g)) WINDOW w AS (PARTITION BY instrument ORDER BY g ROWS {Z - 1} PRECEDING)"),
-    "zscore": _with("series", f"SELECT k, t, round({_Z('v', Z)}, 5) AS v, round({_Z('u', Z)}, 5) AS u FROM series WINDOW w AS (PARTITION BY k ORDER BY t ROWS {Z - 1} PRECEDING)"),
-    "ema": _with("series", "SELECT a.k, a.t, a.u, round(sum(0.2 * pow(0.8, a.t - b.t) * b.u), 6) AS e2, round(sum(0.1 * pow(0.9, a.t - b.t) * b.u), 6) AS e1 FROM series a JOIN series b ON a.k = b.k AND b.t <= a.t WHERE a.t <= 400 GROUP BY ALL"),
+    "features_norm": _with("wide emas", f"SELECT instrument, g AS grid, {', '.join(f'round({_Z(c)}, 4) AS {c}' for c in RAW)} FROM (SELECT * FROM wide JOIN emas USING (instrument, g)) WINDOW w AS (PARTITION BY instrument ORDER BY g ROWS {Z - 1} PRECEDING), o AS (PARTITION BY instrument)"),
+    "zscore": _with("series", f"SELECT k, day, t, round({_Z('v')}, 5) AS v, round({_Z('u')}, 5) AS u, round({_Z('s')}, 5) AS s FROM (SELECT *, u / 1e6 AS s FROM series) WINDOW w AS (PARTITION BY k, day ORDER BY t ROWS {Z - 1} PRECEDING), o AS (PARTITION BY k, day)"),
+    "ema": _with("series", "SELECT a.k, a.day, a.t, a.u, round(sum(0.2 * pow(0.8, a.t - b.t) * b.u), 6) AS e2, round(sum(0.1 * pow(0.9, a.t - b.t) * b.u), 6) AS e1 FROM series a JOIN series b ON a.k = b.k AND a.day = b.day AND b.t <= a.t GROUP BY ALL"),
     "event_count_trigger": _with("mbo", "SELECT instrument, k, seq FROM (SELECT instrument, seq, row_number() OVER (PARTITION BY instrument ORDER BY seq)::INT AS k FROM mbo) WHERE k % 100 = 0"),
-    "label_durations": _with("series", "SELECT regime, round(avg(duration), 6) AS mean_duration, round(median(duration), 6) AS median_duration, count(*) AS runs FROM (SELECT k, i, regime, count(*) AS duration FROM (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY t) AS i FROM (SELECT *, CASE WHEN regime IS NOT DISTINCT FROM lag(regime) OVER (PARTITION BY k ORDER BY t) THEN 0 ELSE 1 END AS c FROM series)) GROUP BY ALL) GROUP BY regime"),
+    "label_durations": _with("series", "SELECT regime, round(avg(duration), 6) AS mean_duration, round(median(duration), 6) AS median_duration, count(*) AS runs FROM (SELECT k, day, i, regime, count(*) AS duration FROM (SELECT *, sum(c) OVER (PARTITION BY k, day ORDER BY t) AS i FROM (SELECT *, CASE WHEN regime IS NOT DISTINCT FROM lag(regime) OVER (PARTITION BY k, day ORDER BY t) THEN 0 ELSE 1 END AS c FROM series)) GROUP BY ALL) GROUP BY regime"),
     "variance_table": _with("series", "SELECT 'v' AS feature, round(var_pop(v), 4) AS var_pop, round(var_samp(v), 4) AS var_samp FROM series UNION ALL SELECT 'u', round(var_pop(u), 4), round(var_samp(u), 4) FROM series"),
     "regime_means": _with("series", "SELECT regime, count(*) AS rows, round(avg(v), 6) AS v, round(avg(u), 6) AS u FROM series GROUP BY regime"),
-    "autocorrelation": _with("series", "SELECT a.k, (b.t - a.t)::INT AS lag, round(corr(b.v, a.v), 6) AS rho FROM series a JOIN series b ON a.k = b.k AND b.t - a.t BETWEEN 1 AND 20 GROUP BY ALL"),
-    "series_summary": _with("series", "SELECT k, round(corr(v, y), 4) AS rho1, round(stddev_samp(v), 4) AS std, round(stddev_samp(v - y), 4) AS delta_std, round(stddev_samp(v) / nullif(avg(v), 0), 4) AS coef_var FROM (SELECT k, v, lag(v) OVER (PARTITION BY k ORDER BY t) AS y FROM series) GROUP BY k"),
+    "autocorrelation": _with("series", "SELECT a.k, (b.t - a.t)::INT AS lag, round(corr(b.v, a.v), 6) AS rho FROM series a JOIN series b ON a.k = b.k AND a.day = b.day AND b.t - a.t BETWEEN 1 AND 20 GROUP BY ALL"),
+    "series_summary": _with("series", "SELECT k, round(corr(v, y), 4) AS rho1, round(stddev_samp(v), 4) AS std, round(stddev_samp(v - y), 4) AS delta_std, round(stddev_samp(v) / nullif(avg(v), 0), 4) AS coef_var FROM (SELECT k, v, lag(v) OVER (PARTITION BY k, day ORDER BY t) AS y FROM series) GROUP BY k"),
     "correlation_matrix": _with("mbo", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM mbo" for i, a in enumerate(_CORR) for b in _CORR[i:])),
-    "standard_scaler": _with("series", "SELECT k, t, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS v, round((u - avg(u) OVER ()) / stddev_pop(u) OVER (), 6) AS u FROM series"),
+    "standard_scaler": _with("series", "SELECT k, day, t, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS v, round((u - avg(u) OVER ()) / stddev_pop(u) OVER (), 6) AS u FROM series"),
     "cluster_scores": _with("series", ", c AS (SELECT regime, count(*) AS n, avg(v) AS cv, avg(u) AS cu FROM series GROUP BY 1), i AS (SELECT regime, any_value(n) AS n, any_value(cv) AS cv, any_value(cu) AS cu, sum((v - cv) ** 2 + (u - cu) ** 2) AS w, avg(sqrt((v - cv) ** 2 + (u - cu) ** 2)) AS s FROM series JOIN c USING (regime) GROUP BY 1), m AS (SELECT avg(v) AS mv, avg(u) AS mu FROM series) SELECT round((sum(n * ((cv - mv) ** 2 + (cu - mu) ** 2)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM (SELECT x.regime, max((x.s + y.s) / sqrt((x.cv - y.cv) ** 2 + (x.cu - y.cu) ** 2)) AS r FROM i x JOIN i y ON x.regime <> y.regime GROUP BY 1)) AS davies_bouldin FROM i, m"),
     "crosstab": _with("pairs", "SELECT a, count(*) FILTER (b = 0) AS b0, count(*) FILTER (b = 1) AS b1, count(*) FILTER (b = 2) AS b2 FROM pairs GROUP BY a"),
-    "cross_correlation": _with("pairs", "SELECT (p.t - q.t)::INT AS lag, round(corr(p.x, q.y), 6) AS rho FROM pairs p JOIN pairs q ON p.t - q.t BETWEEN -20 AND 20 GROUP BY 1"),
-    "transitions": _with("series", "SELECT k, prev, cur, count(*) AS n FROM (SELECT k, regime AS cur, lag(regime) OVER (PARTITION BY k ORDER BY t) AS prev FROM series) WHERE prev IS NOT NULL GROUP BY ALL"),
+    "cross_correlation": _with("pairs", "SELECT (p.t - q.t)::INT AS lag, round(corr(p.x, q.y), 6) AS rho FROM pairs p JOIN pairs q ON p.day = q.day AND p.t - q.t BETWEEN -20 AND 20 GROUP BY 1"),
+    "transitions": _with("series", "SELECT k, prev, cur, count(*) AS n FROM (SELECT k, regime AS cur, lag(regime) OVER (PARTITION BY k, day ORDER BY t) AS prev FROM series) WHERE prev IS NOT NULL GROUP BY ALL"),
     "lag_transitions": _with("pairs", f"SELECT prev, past, cur, count(*) AS n FROM {_LAG(3)} WHERE prev IS NOT NULL AND past IS NOT NULL GROUP BY ALL"),
-    "likelihood_ratio": _with("pairs", f", r AS (SELECT * FROM {_LAG(10)} WHERE prev IS NOT NULL AND past IS NOT NULL), a AS (SELECT sum(n * ln(n / s)) AS ll0 FROM (SELECT n, sum(n) OVER (PARTITION BY prev) AS s FROM (SELECT prev, cur, count(*) AS n FROM r GROUP BY ALL))), b AS (SELECT sum(n * ln(n / s)) AS ll1 FROM (SELECT n, sum(n) OVER (PARTITION BY prev, past) AS s FROM (SELECT prev, past, cur, count(*) AS n FROM r GROUP BY ALL))) SELECT round(ll0, 4) AS ll0, round(ll1, 4) AS ll1, round(2 * (ll1 - ll0), 4) AS stat, 12 AS df FROM a, b"),
+    "likelihood_ratio": _with("pairs", f", r AS (SELECT * FROM {_LAG(10)} WHERE prev IS NOT NULL AND past IS NOT NULL), a AS (SELECT sum(n * ln(n / s)) AS ll0 FROM (SELECT n, sum(n) OVER (PARTITION BY prev) AS s FROM (SELECT prev, cur, count(*) AS n FROM r GROUP BY ALL))), b AS (SELECT sum(n * ln(n / s)) AS ll1 FROM (SELECT n, sum(n) OVER (PARTITION BY prev, past) AS s FROM (SELECT prev, past, cur, count(*) AS n FROM r GROUP BY ALL))) SELECT round(ll0, 4) AS ll0, round(ll1, 4) AS ll1, round(2 * (ll1 - ll0), 4) AS stat, 12 AS df, round(exp(ll0 - ll1) * (1 + (ll1 - ll0) + pow(ll1 - ll0, 2) / 2 + pow(ll1 - ll0, 3) / 6 + pow(ll1 - ll0, 4) / 24 + pow(ll1 - ll0, 5) / 120), 4) AS p_value FROM a, b"),
     "cmi": _with("pairs", " UNION ALL ".join(f"SELECT {d} AS lag, round({_H(d, 'cur, prev')} + {_H(d, 'prev, past')} - {_H(d, 'prev')} - {_H(d, 'cur, prev, past')}, 8) AS cmi" for d in range(1, 6))),
-    "granger_rows": _with("pairs", "SELECT count(*) AS n, round(sum(y0 * y1), 1) AS y0y1, round(sum(y0 * x1), 1) AS y0x1, round(sum(x1 * y1), 1) AS x1y1 FROM (SELECT y - 400000 AS y0, lag(y - 400000) OVER (ORDER BY t) AS y1, lag(x - 400000) OVER (ORDER BY t) AS x1 FROM pairs) WHERE y1 IS NOT NULL"),
-    "hayashi_yoshida": _with("series", ", m AS (SELECT k, lag(ts_us) OVER w AS t0, ts_us AS t1, v - lag(v) OVER w AS d FROM series WHERE regime = 0 WINDOW w AS (PARTITION BY k ORDER BY ts_us)) SELECT round(sum(a.d * b.d), 3) AS covariance, count(*) AS overlaps FROM m a JOIN m b ON a.k = 'SPOT' AND b.k = 'FUT' AND a.t0 < b.t1 AND b.t0 < a.t1"),
+    "granger": _with("pairs", " UNION ALL ".join(f"SELECT '{d}' AS direction, n, round(n * (v0 - c01 * c01 / v1), 2) AS ssr_restricted, round(ssr, 2) AS ssr_full, round((n * (v0 - c01 * c01 / v1) - ssr) / (ssr / (n - 3)), 4) AS f FROM (SELECT *, n * (v0 - (c01 * c01 * v2 - 2 * c01 * c02 * c12 + c02 * c02 * v1) / (v1 * v2 - c12 * c12)) AS ssr FROM (SELECT count(*) AS n, var_pop(y0) AS v0, var_pop(y1) AS v1, var_pop(x1) AS v2, covar_pop(y0, y1) AS c01, covar_pop(y0, x1) AS c02, covar_pop(y1, x1) AS c12 FROM (SELECT {y} AS y0, lag({y}) OVER o AS y1, lag({x}) OVER o AS x1 FROM pairs WINDOW o AS (PARTITION BY day ORDER BY t)) WHERE y1 IS NOT NULL))" for d, y, x in (("forward", "y", "x"), ("backward", "x", "y")))),
+    "adf": _with("pairs", ", r AS (SELECT y - l AS d, l, l - l2 AS d1 FROM (SELECT y, lag(y) OVER o AS l, lag(y, 2) OVER o AS l2 FROM pairs WINDOW o AS (PARTITION BY day ORDER BY t)) WHERE l IS NOT NULL), m AS (SELECT count(*) AS n, var_pop(d) AS vd, var_pop(l) AS vl, var_pop(d1) AS v1, covar_pop(d, l) AS cl, covar_pop(d, d1) AS c1, covar_pop(l, d1) AS cc FROM r WHERE d1 IS NOT NULL), f AS (SELECT *, vl * v1 - cc * cc AS det, n * (vd - (cl * cl * v1 - 2 * cl * c1 * cc + c1 * c1 * vl) / (vl * v1 - cc * cc)) AS ssr1, n * (vd - cl * cl / vl) AS ssr0 FROM m), z AS (SELECT count(*) AS n, var_pop(d) AS vd, var_pop(l) AS vl, covar_pop(d, l) AS cl FROM r) SELECT CASE WHEN one THEN 1 ELSE 0 END AS used_lag, CASE WHEN one THEN f.n ELSE z.n END AS nobs, round(CASE WHEN one THEN (cl1 / det) / sqrt(ssr1 / (f.n - 3) * f.v1 / (f.n * det)) ELSE z.cl / z.vl / sqrt(z.n * (z.vd - z.cl * z.cl / z.vl) / (z.n - 2) / (z.n * z.vl)) END, 4) AS stat FROM (SELECT *, cl * v1 - c1 * cc AS cl1, n * ln(ssr1) + 2 < n * ln(ssr0) AS one FROM f) f, z"),
+    "hayashi_yoshida": _with("series", ", u AS (SELECT k, day, ts_us, arg_max(v, t) AS v FROM series GROUP BY ALL), m AS (SELECT k, day, lag(ts_us) OVER w AS t0, ts_us AS t1, v - lag(v) OVER w AS d FROM u WINDOW w AS (PARTITION BY k, day ORDER BY ts_us)) SELECT a.day AS day, round(sum(a.d * b.d), 3) AS covariance, count(*) AS overlaps FROM m a JOIN m b ON a.day = b.day AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE a.k = 'SPOT' AND b.k = 'FUT' GROUP BY a.day"),
     "stream_book": _with("judged", "SELECT seq, instrument, order_id, action, accepted FROM judged WHERE action <> 'T'"),
 }

@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from ticklattice.operators import book, causal, diagnostics, features, hmm
 from ticklattice.operators.rolling import ema, zscores
-from ticklattice.params import FEATURES, SPARSE
+from ticklattice.params import FEATURES, MODEL, SPARSE
 from ticklattice.plans import oracles
 from ticklattice.sources.adapter import MBO_SCHEMA, contract_filter, mbo_events, session_bounds
 from ticklattice.streaming import book_stream
 
 ORACLES = oracles.ORACLES
 P = SPARSE
-MODEL = ["midprice", "log_spread", "market_depth", "depth_imbalance", "signed_volume_pressure"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -27,18 +26,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k (instrument), t (position), regime and v of every event."""
-    w = Window.partitionBy("instrument").orderBy("seq")
-    e = mbo_events(spark, sf_dir)
-    return e.select(F.col("instrument").alias("k"), F.row_number().over(w).alias("t"), (F.col("order_id") % 3).cast("int").alias("regime"), F.col("price_ticks").cast("double").alias("v"), F.col("size").cast("double").alias("u"), "ts_us")
+    """k (instrument), day, t (position within the day), regime, v and u of every event."""
+    w = Window.partitionBy("k", "day").orderBy("seq")
+    e = mbo_events(spark, sf_dir).withColumn("day", F.floor(F.col("ts_us") / 86_400_000_000)).withColumnRenamed("instrument", "k")
+    return e.select("k", "day", F.row_number().over(w).alias("t"), (F.col("order_id") % 3).cast("int").alias("regime"), F.col("price_ticks").cast("double").alias("v"), F.col("size").cast("double").alias("u"), "ts_us")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both instruments' label series side by side, by position."""
+    """Both instruments' series side by side, by position within a day (k)."""
     s = _series(spark, sf_dir)
     a, b = (s.where(F.col("k") == n) for n in ("SPOT", "FUT"))
-    a = a.select("t", F.col("regime").alias("a"), F.col("v").alias("x"))
-    return a.join(b.select("t", F.col("regime").alias("b"), F.col("v").alias("y")), "t").select(F.lit(0).alias("k"), "t", "a", "b", "x", "y")
+    a = a.select("day", "t", F.col("regime").alias("a"), F.col("v").alias("x"))
+    return a.join(b.select("day", "t", F.col("regime").alias("b"), F.col("v").alias("y")), ["day", "t"]).select(F.col("day").alias("k"), "t", "a", "b", "x", "y")
 
 
 def q_mbo_events(spark, d):
@@ -62,7 +61,7 @@ def q_session_bounds(spark, d):
 
 
 def q_systematic_sample(spark, d):
-    return _series(spark, d).where(F.col("t") % 50 == 1).select("k", "t", "regime", "v")
+    return _series(spark, d).where(F.col("t") % 50 == 1).select("k", "day", "t", "regime", "v")
 
 
 def q_accepted_events(spark, d):
@@ -84,37 +83,36 @@ def q_order_versions(spark, d):
     return book.versions(book.judge(mbo_events(spark, d))).select("seq", "instrument", "order_id", "side", "price_ticks", "size", "start_us", "end_us")
 
 
-def _cells(spark, d, step):
+def _book(spark, d):
     e = mbo_events(spark, d)
-    first, last = features.bounds(e, P)
-    ratio = P.snapshot_us // step
-    first, last = (first - 1) * ratio + 1, last * ratio
-    return e, book.cells(book.versions(book.judge(e)), step, first, last), first, last
+    grid = features.Grid.of(e, P)
+    points, hours = grid.points(e), grid.sample_points(e)
+    return features.levels(e, P, grid), points.withColumn("at", F.col("g") * (P.snapshot_us // P.sample_us)), hours.withColumn("at", F.col("g"))
 
 
 def q_book_levels(spark, d):
-    _, c, *_ = _cells(spark, d, P.snapshot_us)
-    return book.top_levels(c, P.depth).select("instrument", "g", "side", "level", "price_ticks", "size")
+    levels, points, _ = _book(spark, d)
+    return levels.top(points).select("instrument", "g", "side", "level", "price_ticks", "size")
 
 
 def q_book_depth_change(spark, d):
-    e, c, first, last = _cells(spark, d, P.snapshot_us)
-    a = book.depth_arrays(book.top_levels(c, P.depth), features.grid(e, first, last), P.depth)
+    levels, points, _ = _book(spark, d)
+    a = book.depth_arrays(levels.top(points), points.drop("at"), P.depth)
     return a.select("instrument", "g", F.posexplode(F.arrays_zip("bid_d", "ask_d")).alias("level", "x")).select("instrument", "g", "level", "x.bid_d", "x.ask_d")
 
 
 def q_book_best_prices(spark, d):
-    _, c, *_ = _cells(spark, d, P.sample_us)
-    return book.best_prices(c).select("instrument", "g", "bid", "ask", "mid", "spread")
+    levels, _, hours = _book(spark, d)
+    return levels.best(hours).select("instrument", "g", "bid", "ask", "mid", "spread")
 
 
 def q_merged_stream(spark, d):
-    return book.merged(mbo_events(spark, d), "SPOT").select("seq", "ts_us", "instrument", "rank")
+    return book.merged(mbo_events(spark, d), "SPOT").select("seq", "ts_us", "instrument", "rank", "position")
 
 
 def q_aligned_snapshots(spark, d):
-    _, c, *_ = _cells(spark, d, P.snapshot_us)
-    b = book.best_prices(c)
+    levels, points, _ = _book(spark, d)
+    b = levels.best(points)
     side = lambda n, i: b.where(F.col("instrument") == i).select("g", F.col("mid").alias(f"{n}_mid"), F.col("spread").alias(f"{n}_spread"))
     return side("base", "SPOT").join(side("future", "FUT"), "g")
 
@@ -130,8 +128,8 @@ def q_adds_per_snapshot(spark, d):
 
 
 def q_sample_windows(spark, d):
-    e, c, first, last = _cells(spark, d, P.sample_us)
-    return rounded(features.sample_windows(c, e, P, first, last), 8)
+    levels, _, hours = _book(spark, d)
+    return rounded(features.sample_windows(levels.best(hours), hours.drop("at"), P).drop("date"), 8)
 
 
 def q_features_raw(spark, d):
@@ -143,17 +141,13 @@ def q_features_norm(spark, d):
 
 
 def q_zscore(spark, d):
-    return rounded(zscores(_series(spark, d), ["k"], "t", ["v", "u"], P.zscore), 5)
+    """Also of a column of values around 1e-6."""
+    z = zscores(_series(spark, d).withColumn("s", F.col("u") / 1e6), ["k", "day"], "t", ["v", "u", "s"], P.zscore)
+    return rounded(z, 5)
 
 
 def q_ema(spark, d):
-    s = _series(spark, d).where("t <= 400").select("k", "t", "u")
-    return rounded(ema(s, ["k"], "t", {"e2": ("u", 0.2), "e1": ("u", 0.1)}))
-
-
-def q_ema_whole(spark, d):
-    """`ema` over every event: its SQL, quadratic in a series, ends at t = 400."""
-    return rounded(ema(_series(spark, d).select("k", "t", "u"), ["k"], "t", {"e2": ("u", 0.2), "e1": ("u", 0.1)}))
+    return rounded(ema(_series(spark, d).select("k", "day", "t", "u"), ["k", "day"], "t", {"e2": ("u", 0.2), "e1": ("u", 0.1)}))
 
 
 def q_event_count_trigger(spark, d):
@@ -162,7 +156,7 @@ def q_event_count_trigger(spark, d):
 
 
 def q_label_durations(spark, d):
-    return rounded(diagnostics.durations(_series(spark, d), ["k"], "t"))
+    return rounded(diagnostics.durations(_series(spark, d), ["k", "day"], "t"))
 
 
 def q_variance_table(spark, d):
@@ -174,11 +168,11 @@ def q_regime_means(spark, d):
 
 
 def q_autocorrelation(spark, d):
-    return rounded(diagnostics.autocorrelations(_series(spark, d), ["k"], "t", "v"))
+    return rounded(diagnostics.autocorrelations(_series(spark, d), ["k"], "t", "v", within=["day"]))
 
 
 def q_series_summary(spark, d):
-    return rounded(diagnostics.series_summary(_series(spark, d), ["k"], "t", "v"), 4)
+    return rounded(diagnostics.series_summary(_series(spark, d), ["k"], "t", "v", within=["day"]), 4)
 
 
 def q_correlation_matrix(spark, d):
@@ -186,7 +180,7 @@ def q_correlation_matrix(spark, d):
 
 
 def q_standard_scaler(spark, d):
-    return rounded(diagnostics.standardised(_series(spark, d), ["v", "u"]).select("k", "t", "v", "u"))
+    return rounded(diagnostics.standardised(_series(spark, d), ["v", "u"]).select("k", "day", "t", "v", "u"))
 
 
 def q_cluster_scores(spark, d):
@@ -211,7 +205,7 @@ def q_cross_correlation(spark, d):
 
 
 def q_transitions(spark, d):
-    w = Window.partitionBy("k").orderBy("t")
+    w = Window.partitionBy("k", "day").orderBy("t")
     return causal.transitions(_series(spark, d).select("k", F.col("regime").alias("cur"), F.lag("regime").over(w).alias("prev")).where("prev is not null"), "k", "prev")
 
 
@@ -220,15 +214,11 @@ def q_lag_transitions(spark, d):
 
 
 def q_likelihood_ratio(spark, d):
-    return rounded(causal.likelihood_ratio(_pairs(spark, d), 10, 3, 3).select("ll0", "ll1", "stat", "df"), 4)
+    return rounded(causal.likelihood_ratio(_pairs(spark, d), 10, 3, 3).select("ll0", "ll1", "stat", "df", "p_value"), 4)
 
 
 def q_cmi(spark, d):
-    out = None
-    for delta in range(1, 6):
-        c = causal.conditional_mutual_information(causal.lagged(_pairs(spark, d), delta)).withColumn("lag", F.lit(delta))
-        out = c if out is None else out.unionByName(c)
-    return rounded(out.select("lag", "cmi"), 8)
+    return rounded(causal.conditional_mutual_information(_pairs(spark, d), range(1, 6)), 8)
 
 
 def q_cmi_permutation(spark, d):
@@ -239,37 +229,37 @@ def q_cmi_permutation(spark, d):
     return out
 
 
-def q_granger(spark, d):
-    return causal.granger(_pairs(spark, d), 3)
+def _both_ways(spark, d, lags):
+    p = _pairs(spark, d)
+    there = causal.granger(p, lags).withColumn("direction", F.lit("forward"))
+    return there.unionByName(causal.granger(p.select("k", "t", F.col("x").alias("y"), F.col("y").alias("x")), lags).withColumn("direction", F.lit("backward")))
 
 
-def q_granger_both_ways(spark, d):
-    p = _pairs(spark, d).select("k", "t", (F.col("x") - 400000).alias("x"), (F.col("y") - 400000).alias("y"))
-    there = causal.granger(p, 10).withColumn("direction", F.lit("forward"))
-    return there.unionByName(causal.granger(p.select("k", "t", F.col("x").alias("y"), F.col("y").alias("x")), 10).withColumn("direction", F.lit("backward"))).orderBy("lag", "p_value").limit(25)
+def q_granger(spark, d):
+    """Lag 1 both ways, without the p-values; granger_lags has all."""
+    n = _pairs(spark, d).where("t > 1").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(_both_ways(spark, d, 1).crossJoin(n).select("direction", "n", "ssr_restricted", "ssr_full", "f"), 4).withColumns({c: F.round(c, 2) for c in ("ssr_restricted", "ssr_full")})
 
 
-def q_granger_rows(spark, d):
-    """Sums from which the lag-1 regressions are solved."""
-    r = causal.granger_rows(_pairs(spark, d).select("k", "t", (F.col("x") - 400000).alias("x"), (F.col("y") - 400000).alias("y")), 1)
-    return rounded(r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y0") * F.col("y1")).alias("y0y1"), F.sum(F.col("y0") * F.col("x1")).alias("y0x1"), F.sum(F.col("x1") * F.col("y1")).alias("x1y1")), 1)
+def q_granger_lags(spark, d):
+    """Lags 1 to 10 both ways, the least p-values of a lag first."""
+    return _both_ways(spark, d, 10).orderBy("lag", "p_value")
 
 
 def q_adf(spark, d):
-    return causal.adf(_pairs(spark, d))
+    """Without the p-value, which adf_p has."""
+    return rounded(causal.adf(_pairs(spark, d)).select("used_lag", "nobs", "stat"), 4)
 
 
-def q_hayashi_yoshida(spark, d):
-    s = _series(spark, d).where("regime = 0").select("k", F.col("ts_us").alias("t"), "v")
-    a, b = (s.where(F.col("k") == n).select(F.lit(0).alias("k"), "t", "v") for n in ("SPOT", "FUT"))
-    return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).select("covariance", "overlaps"), 3)
+def q_adf_p(spark, d):
+    return causal.adf(_pairs(spark, d))
 
 
-def q_hayashi_yoshida_whole(spark, d):
-    """`hayashi_yoshida` over every event; of events at one time the last counts."""
-    s = _series(spark, d).groupBy("k", F.col("ts_us").alias("t")).agg(F.max_by("v", F.col("t")).alias("v"))
-    a, b = (s.where(F.col("k") == n).select(F.lit(0).alias("k"), "t", "v") for n in ("SPOT", "FUT"))
-    return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).select("covariance", "overlaps"), 3)
+def q_hayashi_yoshida(spark, d):
+    """Every event of a day; of events at one time the last counts."""
+    s = _series(spark, d).groupBy("k", "day", F.col("ts_us").alias("t")).agg(F.max_by("v", F.col("t")).alias("v"))
+    a, b = (s.where(F.col("k") == n).select(F.col("day").alias("k"), "t", "v") for n in ("SPOT", "FUT"))
+    return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).withColumnRenamed("k", "day"), 3)
 
 
 def q_regimes(spark, d):
