@@ -119,6 +119,18 @@ def fit_hmm(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[st
     return model
 
 
+def score(df: DataFrame, model: GaussianHMM, keys: Sequence[str], order: str, columns: Sequence[str]) -> tuple[float, int]:
+    """Log-likelihood of a table's sequences under a model, and how many rows they have; each sequence is scored apart."""
+    own = df.select(*keys, order, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[list(columns)].to_numpy(float)
+        return pd.DataFrame({"ll": [model.passes(x)[0]], "n": [len(x)]})
+
+    r = own.groupBy(*keys).applyInPandas(run, "ll double, n long").agg(F.sum("ll"), F.sum("n")).first()
+    return float(r[0] or 0.0), int(r[1] or 0)
+
+
 def decode(df: DataFrame, model: GaussianHMM, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """keys, order, regime (the Viterbi path), posterior (array of double): one group a sequence."""
     own = df.select(*keys, order, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()

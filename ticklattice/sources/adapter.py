@@ -46,9 +46,15 @@ def read_mbo(spark: SparkSession, path: str) -> DataFrame:
     return df.where("rtype = 'MBO'") if "rtype" in df.columns else df
 
 
-def read_features(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Feature CSV files of several dates; a path named twice is read once; the schema is never inferred."""
-    return spark.read.schema(FEATURE_SCHEMA).option("mode", "PERMISSIVE").csv(list(dict.fromkeys(paths)), header=True)
+def read_features(spark: SparkSession, paths: list[str], corrupt: str | None = None) -> DataFrame:
+    """Feature CSV files of several dates, one table with the date (yyyyMMdd) that a file's path has, else null; a path named
+    twice is read once; the schema is never inferred. Lines that don't fit give nulls where they don't, and stand whole in the
+    column `corrupt` if it is named."""
+    schema = T.StructType([*FEATURE_SCHEMA.fields, *([T.StructField(corrupt, T.StringType())] if corrupt else [])])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
+    reader = reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader
+    date = F.regexp_extract(F.col("_metadata.file_path"), r"(?:^|[^0-9])((?:19|20)[0-9]{6})(?![0-9])", 1)
+    return reader.csv(list(dict.fromkeys(paths)), header=True).withColumn("date", F.when(date != "", date))
 
 
 def write_features(df: DataFrame, path: str, kind: str = "csv") -> None:

@@ -68,11 +68,14 @@ def as_arrow(rows: np.ndarray, seq: np.ndarray, file: str, label: str | None) ->
     )
 
 
-def batches(stream, file: str, label: str | None, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The records of an opened, decompressed file. ValueError where it is no such file or ends within a record."""
+def batches(stream, file: str, label: str | None, chunk: int = CHUNK, strict: bool = True) -> Iterator[pa.RecordBatch]:
+    """The records of an opened, decompressed file. ValueError where it is no such file or ends within a record; if not strict,
+    what comes before the damage."""
     head = stream.read(8)
     if head[:3] != MAGIC or len(head) < 8:
-        raise ValueError(f"{file} is no DBN file")
+        if strict:
+            raise ValueError(f"{file} is no DBN file")
+        return
     left = int.from_bytes(head[4:], "little")
     while left and (skipped := len(stream.read(min(left, chunk)))):
         left -= skipped
@@ -83,7 +86,7 @@ def batches(stream, file: str, label: str | None, chunk: int = CHUNK) -> Iterato
         if len(rows):
             yield as_arrow(rows, at + seq, file, label)
         seq, rest = seq + n, data[used:]
-    if rest or left:
+    if (rest or left) and strict:
         raise ValueError(f"{file} ends within a record")
 
 
@@ -93,8 +96,8 @@ class OneFile(InputPartition):
 
 
 class DbnReader(DataSourceReader):
-    def __init__(self, path: str, label: str | None):
-        self.path, self.label = path, label
+    def __init__(self, path: str, label: str | None, strict: bool = True):
+        self.path, self.label, self.strict = path, label, strict
 
     def _open(self, path: str):
         from pyarrow.fs import FileSystem
@@ -124,11 +127,12 @@ class DbnReader(DataSourceReader):
                 import zstandard
 
                 raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-            yield from batches(raw, partition.file, self.label)
+            yield from batches(raw, partition.file, self.label, strict=self.strict)
 
 
 class DbnSource(DataSource):
-    """format("dbn"): path is a file, a folder or a pattern; option instrument labels all rows."""
+    """format("dbn"): path is a file, a folder or a pattern; option instrument labels all rows; option mode is FAILFAST (a
+    damaged file fails the job) or PERMISSIVE (it gives the records before the damage)."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,18 +142,19 @@ class DbnSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DbnReader:
-        return DbnReader(self.options["path"], self.options.get("instrument"))
+        return DbnReader(self.options["path"], self.options.get("instrument"), self.options.get("mode", "FAILFAST").upper() != "PERMISSIVE")
 
 
-def read_dbn(spark: SparkSession, path: str, instrument: str | None = None) -> DataFrame:
-    """The market-by-order records below path. seq is a record's place in its file, records of other kinds counted."""
+def read_dbn(spark: SparkSession, path: str, instrument: str | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """The market-by-order records below path; of damaged files what can be read if the mode is PERMISSIVE. seq is a record's place in its file, records of other kinds counted."""
     spark.dataSource.register(DbnSource)
-    reader = spark.read.format("dbn")
+    reader = spark.read.format("dbn").option("mode", mode)
     return (reader.option("instrument", instrument) if instrument else reader).load(path)
 
 
 def as_mbo(records: DataFrame, tick: float = 0.01) -> DataFrame:
-    """Records of one file an instrument as order-book events (MBO_SCHEMA); records without a time go, a null price is zero."""
+    """Records of one file an instrument as order-book events (MBO_SCHEMA); records without a time go, a null price is zero.
+    Prices are numbers of ticks, so prices between two ticks are rounded to the nearer: choose a tick that divides them."""
     return records.where("ts_ns IS NOT NULL").select(
         "seq", F.expr("ts_ns div 1000").alias("ts_us"), "instrument", "action", "side", "order_id",
         F.coalesce(F.round(F.col("price_nanos") / F.lit(tick * 1e9)).cast("long"), F.lit(0).cast("long")).alias("price_ticks"), "size",
