@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ticklattice.params import FEATURES
+from ticklattice.params import FEATURES, MODEL
 from ticklattice.params import SPARSE as P
 
 S, U, K, N, Z, L = P.snapshot_us, P.sample_us, P.ring, P.rolling, P.zscore, P.return_lag + 1
@@ -141,4 +141,19 @@ ORACLES = {
     "adf": _with("pairs", ", r AS (SELECT y - l AS d, l, l - l2 AS d1 FROM (SELECT y, lag(y) OVER o AS l, lag(y, 2) OVER o AS l2 FROM pairs WINDOW o AS (PARTITION BY day ORDER BY t)) WHERE l IS NOT NULL), m AS (SELECT count(*) AS n, var_pop(d) AS vd, var_pop(l) AS vl, var_pop(d1) AS v1, covar_pop(d, l) AS cl, covar_pop(d, d1) AS c1, covar_pop(l, d1) AS cc FROM r WHERE d1 IS NOT NULL), f AS (SELECT *, vl * v1 - cc * cc AS det, n * (vd - (cl * cl * v1 - 2 * cl * c1 * cc + c1 * c1 * vl) / (vl * v1 - cc * cc)) AS ssr1, n * (vd - cl * cl / vl) AS ssr0 FROM m), z AS (SELECT count(*) AS n, var_pop(d) AS vd, var_pop(l) AS vl, covar_pop(d, l) AS cl FROM r) SELECT CASE WHEN one THEN 1 ELSE 0 END AS used_lag, CASE WHEN one THEN f.n ELSE z.n END AS nobs, round(CASE WHEN one THEN (cl1 / det) / sqrt(ssr1 / (f.n - 3) * f.v1 / (f.n * det)) ELSE z.cl / z.vl / sqrt(z.n * (z.vd - z.cl * z.cl / z.vl) / (z.n - 2) / (z.n * z.vl)) END, 4) AS stat FROM (SELECT *, cl * v1 - c1 * cc AS cl1, n * ln(ssr1) + 2 < n * ln(ssr0) AS one FROM f) f, z"),
     "hayashi_yoshida": _with("series", ", u AS (SELECT k, day, ts_us, arg_max(v, t) AS v FROM series GROUP BY ALL), m AS (SELECT k, day, lag(ts_us) OVER w AS t0, ts_us AS t1, v - lag(v) OVER w AS d FROM u WINDOW w AS (PARTITION BY k, day ORDER BY ts_us)) SELECT a.day AS day, round(sum(a.d * b.d), 3) AS covariance, count(*) AS overlaps FROM m a JOIN m b ON a.day = b.day AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE a.k = 'SPOT' AND b.k = 'FUT' GROUP BY a.day"),
     "stream_book": _with("judged", "SELECT seq, instrument, order_id, action, accepted FROM judged WHERE action <> 'T'"),
+    "stream_snapshots": _with("vers trades judged ring", f""", own AS (SELECT instrument, min(ts_us) // {S} + 1 AS a, max(ts_us) // {S} AS b FROM mbo GROUP BY 1), gr AS (SELECT instrument, unnest(range(a, b + 1)) AS g FROM own),
+ bb AS (SELECT gr.instrument, gr.g, max(price_ticks) FILTER (side = 'B') AS bid, min(price_ticks) FILTER (side = 'A') AS ask FROM gr LEFT JOIN vers v ON v.instrument = gr.instrument AND v.start_us < gr.g * {S} AND (v.end_us IS NULL OR v.end_us >= gr.g * {S}) GROUP BY ALL),
+ lt AS (SELECT gr.instrument, gr.g, max(seq) AS seq FROM gr LEFT JOIN trades t ON t.instrument = gr.instrument AND t.ts_us < gr.g * {S} GROUP BY ALL),
+ ad AS (SELECT instrument, ts_us // {S} + 1 AS g, count(*) AS adds FROM judged WHERE accepted AND action = 'A' GROUP BY ALL),
+ rv AS (SELECT gr.instrument, gr.g, arg_max(realized_variance, h) AS rv FROM gr LEFT JOIN ring r ON r.instrument = gr.instrument AND r.h <= gr.g * {S // U} GROUP BY ALL)
+ SELECT bb.instrument, bb.g, bid, ask, coalesce(buy, 0) AS buy, coalesce(sell, 0) AS sell, coalesce(n, 0) AS trades, coalesce(net, 0)::BIGINT AS net, coalesce(adds, 0) AS adds, round(coalesce(rv, 0), 8) AS realized_variance
+ FROM bb JOIN lt USING (instrument, g) LEFT JOIN ad USING (instrument, g) LEFT JOIN trades t ON t.seq = lt.seq JOIN rv USING (instrument, g)"""),
+    "stream_bars": _with("mbo", "SELECT instrument, ts_us // 21600000000 * 21600000000 AS start_us, count(*) AS trades, sum(size)::BIGINT AS volume, sum(CASE WHEN side = 'B' THEN size ELSE -size END)::BIGINT AS signed_volume FROM mbo WHERE action = 'T' GROUP BY ALL"),
+    "feature_summary": _with("wide emas", "SELECT feature, round(corr(v, y), 4) AS rho1, round(stddev_samp(v), 4) AS std, round(stddev_samp(v - y), 4) AS delta_std, round(stddev_samp(v) / nullif(avg(v), 0), 4) AS coef_var FROM (SELECT feature, v, lag(v) OVER (PARTITION BY instrument, feature ORDER BY g) AS y FROM (" + " UNION ALL ".join(f"SELECT instrument, g, '{c}' AS feature, {c}::DOUBLE AS v FROM wide" for c in MODEL) + ")) GROUP BY feature"),
+    "label_counts": _with("series", "SELECT regime, count(*) AS rows FROM series GROUP BY regime"),
+    "distribution": _with("series", " UNION ALL ".join(f"SELECT '{c}' AS feature, least(floor(({c} - lo) / st), 19)::INT AS bin, round(lo + least(floor(({c} - lo) / st), 19) * st, 6) AS low, count(*) AS rows FROM series, (SELECT min({c}) AS lo, (max({c}) - min({c})) / 20 AS st FROM series) GROUP BY ALL" for c in ("v", "u"))),
+    "replay_until": _with("mbo", "SELECT instrument, count(*) AS n, max(ts_us) AS clock_us, CASE WHEN ts_us <= 1705000000000000 THEN 'done' ELSE 'rest' END AS part FROM mbo GROUP BY ALL"),
+    "first_events": _with("mbo", "SELECT seq, instrument, action FROM mbo ORDER BY ts_us, seq LIMIT 100"),
+    "latest_features": _with("wide", f"SELECT instrument, g * {S} * 1000 AS timestamp_ns, round(midprice, 6) AS midprice FROM wide WHERE instrument = 'SPOT' ORDER BY g DESC LIMIT 100"),
+    "model_columns": _with("wide emas", f"SELECT instrument, g * {S} * 1000 AS timestamp_ns, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in MODEL)} FROM wide"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 from pathlib import Path
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ticklattice.operators import book, causal, diagnostics, features, hmm
 from ticklattice.operators.rolling import ema, zscores
-from ticklattice.params import FEATURES, MODEL, SPARSE
-from ticklattice.plans import oracles
+from ticklattice.params import DROPPED, FEATURES, MODEL, SPARSE
+from ticklattice.plans import oracles, workflow
+from ticklattice.sources import sinks
 from ticklattice.sources.adapter import MBO_SCHEMA, contract_filter, mbo_events, session_bounds
 from ticklattice.streaming import book_stream
 
@@ -275,17 +277,109 @@ def q_pca(spark, d):
     return hmm.project(f, MODEL, comps)
 
 
-def q_stream_book(spark, d):
-    """The streaming judge over the same events, fed as files; equal to the batch one."""
-    with_dir = Path(tempfile.mkdtemp(prefix="ticklattice-stream-")).as_uri() if not (at := spark.conf.get("spark.checkpoint.dir", None)) else f"{at.rstrip('/')}/ticklattice"
-    import uuid
+def _scratch(spark) -> str:
+    """A folder of its own below spark.checkpoint.dir; a local master may have none set, and takes a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = Path(tempfile.mkdtemp(prefix="ticklattice-stream-")).as_uri()
+    return f"{at.rstrip('/')}/ticklattice/{uuid.uuid4().hex}"
+
 
-    base = f"{with_dir}/{uuid.uuid4().hex}"
+def _streamed(spark, d, make):
+    """What a stream makes of the events, fed as files, once it has ended: rows in time, and late ones."""
+    base = _scratch(spark)
     mbo_events(spark, d).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(MBO_SCHEMA).parquet(f"{base}/in")
-    q = book_stream.live_orders(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = book_stream.write_split(make(spark.readStream.schema(MBO_SCHEMA).parquet(f"{base}/in")), f"{base}/out", f"{base}/late", f"{base}/state")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("seq", "instrument", "order_id", "action", "accepted")
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+def q_stream_book(spark, d):
+    """The streaming judge over the same events; equal to the batch one."""
+    return _streamed(spark, d, book_stream.live_orders).select("seq", "instrument", "order_id", "action", "accepted")
+
+
+def q_stream_snapshots(spark, d):
+    """Snapshots from the streamed book, with its rolling trades and sampled returns."""
+    s = _streamed(spark, d, lambda e: book_stream.snapshots(e, P))
+    return rounded(s.select("instrument", "g", "bid", "ask", "buy", "sell", "trades", "net", "adds", "realized_variance"), 8)
+
+
+def q_stream_bars(spark, d):
+    """Trade bars of six hours, of a stream whose watermark has passed them all."""
+    base = _scratch(spark)
+    e = mbo_events(spark, d)
+    last = e.agg(F.max("ts_us") + 86_400_000_000 * 365).first()[0]
+    e.write.parquet(f"{base}/in/k=0")
+    spark.createDataFrame([(-1, last, "END", "T", "B", 0, 0, 0)], MBO_SCHEMA).write.parquet(f"{base}/in/k=1")
+    stream = spark.readStream.schema(MBO_SCHEMA).option("maxFilesPerTrigger", 100).parquet(f"{base}/in/*")
+    q = book_stream.trade_bars(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("instrument", F.unix_micros("w.start").alias("start_us"), "trades", "volume", "signed_volume").where("instrument <> 'END'")
+
+
+def q_feature_summary(spark, d):
+    """Lag-1 autocorrelation, deviations and variation of the model's features."""
+    f = features.features(mbo_events(spark, d), P)
+    return workflow.summary(f, ["instrument"], "g", MODEL)
+
+
+def q_label_counts(spark, d):
+    return diagnostics.label_counts(_series(spark, d))
+
+
+def q_distribution(spark, d):
+    return diagnostics.distribution(_series(spark, d), ["v", "u"], 20).select("feature", "bin", F.round("low", 6).alias("low"), "rows")
+
+
+def q_replay_until(spark, d):
+    """Events replayed up to the session's noon on each side, and those that are left."""
+    noon = 1_705_000_000_000_000
+    done, rest = book.until(mbo_events(spark, d), noon)
+    count = lambda x, n: x.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("clock_us")).withColumn("part", F.lit(n))
+    return count(done, "done").unionByName(count(rest, "rest"))
+
+
+def q_first_events(spark, d):
+    return sinks.first_events(mbo_events(spark, d), 100).select("seq", "instrument", "action")
+
+
+def q_latest_features(spark, d):
+    f = features.features(mbo_events(spark, d), P).where("instrument = 'SPOT'")
+    return sinks.latest(f, 100).select("instrument", "timestamp_ns", F.round("midprice", 6).alias("midprice"))
+
+
+def q_model_columns(spark, d):
+    """What is left of the feature table for the models."""
+    f = features.features(mbo_events(spark, d), P)
+    return rounded(f.drop(*[c for c in DROPPED if c not in ("instrument", "timestamp_ns")]).drop("g"))
+
+
+def q_regime_metrics(spark, d):
+    """The classifier and its checks: criteria, cluster scores, silhouette."""
+    f = features.features(mbo_events(spark, d), P)
+    return rounded(workflow.classify(f, ["instrument"], "g").metrics, 4)
+
+
+def q_regime_sweep(spark, d):
+    """Metrics for 3 to 5 regimes."""
+    f = features.features(mbo_events(spark, d), P)
+    out = None
+    for r in workflow.sweep(f, ["instrument"], "g", range(3, 6)).values():
+        out = r.metrics if out is None else out.unionByName(r.metrics)
+    return rounded(out, 4)
+
+
+def q_posterior_granger(spark, d):
+    """Posteriors of both instruments' regimes: every pair, both ways, the strongest at lag 1."""
+    f = features.features(mbo_events(spark, d), P)
+    series = {}
+    for n, prefix in (("SPOT", "base_p_"), ("FUT", "future_p_")):
+        run = workflow.classify(f.where(F.col("instrument") == n), ["instrument"], "g")
+        series[n] = workflow.posterior_series(run.labels, [], "g", prefix, 4)
+    return causal.strongest_pairs(causal.granger_pairs(series["SPOT"], series["FUT"], "base_p_", "future_p_"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
