@@ -20,6 +20,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,18 @@ class Memory:
         return x
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, Arrow batches of so many rows, so that a task holds some MB of texts at once instead of some ten."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class IdEncoder:
     """The ids of texts as the tokenizers library gives them, two bytes an id if the vocabulary allows, else four.
 
@@ -123,7 +136,7 @@ class IdEncoder:
     go through the library whole, long ones in pieces cut at safe boundaries; so do all if the tokenizer is of another
     make."""
 
-    GENERATION = 300_000
+    GENERATION = 200_000
 
     def __init__(self, spec: bytes, bounds: Sequence[int]):
         import regex
@@ -138,6 +151,7 @@ class IdEncoder:
         self.added = [t["content"] for t in make.get("added_tokens") or []]
         self.matches = regex.compile(PATTERN).findall
         self.letters = byte_letters()
+        self.sure = frozenset(chr(c) for c in range(0x2000) if not bisect_right(self.bounds, c) & 1)  # most of what is met
         self.space = self.letters[32]
         self.names = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tok.get_vocab_size())]
         self.chunks, self.firsts = Memory(self.GENERATION), Memory(self.GENERATION // 4)  # behind a space, and not
@@ -189,12 +203,15 @@ class IdEncoder:
     def _known(self, memory: Memory, chunks: list[str], lead: str) -> list[bytes | None]:
         """The ids of the chunks with `lead` before them; None of those that can't be encoded by themselves."""
         memory.turn()
-        out = list(map(memory.new.get, chunks))
-        for i in [i for i, x in enumerate(out) if x is None]:
-            c = chunks[i]
-            if (x := memory.get(c)) is None and self._alone(c):
-                x = memory.new[c] = self._ids(lead + c) if c.isalpha() else b"".join(map(self._match, self.matches(lead + c)))
-            out[i] = x
+        new, old = memory.new, memory.old
+        out = list(map(new.get, chunks))
+        lacking = [i for i, x in enumerate(out) if x is None]
+        words = [chunks[i] for i in lacking]
+        for i, c, x in zip(lacking, words, map(old.get, words), strict=True):
+            if x is None and self._alone(c):
+                x = self._ids(lead + c) if c.isalpha() else b"".join([self._match(m) for m in self.matches(lead + c)])
+            if x is not None:
+                out[i] = new[c] = x
         return out
 
     def _alone(self, chunk: str) -> bool:
@@ -202,7 +219,7 @@ class IdEncoder:
         space, or is a whole text."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return False
-        return chunk.isascii() or not any(bisect_right(self.bounds, ord(c)) & 1 for c in chunk)
+        return chunk.isascii() or self.sure.issuperset(chunk) or not any(bisect_right(self.bounds, ord(c)) & 1 for c in chunk)
 
     def _match(self, match: str) -> bytes:
         memory, key = (self.chunks, match[1:]) if match[0] == " " and len(match) > 1 else (self.firsts, match)
@@ -233,7 +250,7 @@ def write_id_records(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shard_bytes: int = 32 << 20,
+    shard_bytes: int = 16 << 20,
 ) -> None:
     """Writes the shards of docs to path/records, reads them back, and writes their index to path/index.
 
@@ -261,7 +278,8 @@ def write_id_records(
                 rows = [frame(i, np.append(x, end)) for i, x in zip(b.column(0).to_pylist(), parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
-    dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
+    with small_batches(spark):
+        dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
     scanned = _scan(spark, f"{path}/records")
     scanned.write.parquet(f"{path}/scan")
     rows = spark.read.schema(scanned.schema).parquet(f"{path}/scan")
