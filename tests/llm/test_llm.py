@@ -203,7 +203,8 @@ def test_winnowing(spark, docs, none):
     rows = [(1, LONG[:4000]), (2, LONG[:4000]), (3, " ".join(f"z{i}" for i in range(200))), (None, None), (4, ""), (4, "tiny")]
     got = edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = {(r.doc_id, r.n_chars): r for r in got}
-    order = [(4, ""), (4, "tiny"), (3, rows[2][1]), (2, rows[1][1]), (1, rows[0][1]), (None, "")]
+    tie = {r.t: r.h for r in spark.createDataFrame([("",), ("tiny",)], "t string").selectExpr("t", "shiftrightunsigned(xxhash64(t), 1) h").collect()}
+    order = [*sorted([(4, ""), (4, "tiny")], key=lambda r: tie[r[1]]), (3, rows[2][1]), (2, rows[1][1]), (1, rows[0][1]), (None, "")]
     for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         assert by[i, len(t)].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
@@ -212,20 +213,56 @@ def test_winnowing(spark, docs, none):
     assert edited_likeness(docs).count() == len(TEXTS) and edited_likeness(none).count() == 0
 
 
+def word_hashes(spark, words):
+    return {r.w: r.h for r in spark.createDataFrame([(w,) for w in sorted(set(words))], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+
+
+def brute_winnow(text, hash_of, k, window):
+    """(hash, position) selected: hashes rolled word by word, the rightmost least of each window."""
+    turn = lambda h, n: (h << n % 64 | h >> 64 - n % 64) & (2**64 - 1) if n % 64 else h
+    u = [hash_of[w] & (2**64 - 1) for w in text.lower().split()]
+    if not u:
+        return []
+    h, out = 0, []
+    for i, x in enumerate(u):
+        h = turn(h, 1) ^ x ^ (turn(u[i - k], k) if i >= k else 0)
+        if i >= k - 1 or i == len(u) - 1:
+            out.append(h >> 28)
+    chosen = []
+    for s in range(max(1, len(out) - window + 1)):
+        i = min(range(s, min(s + window, len(out))), key=lambda j: (out[j], -j))
+        if i not in chosen:
+            chosen.append(i)
+    return [(out[i], i) for i in chosen]
+
+
 def test_winnow_selects_rightmost_least(spark):
     from ticklattice.llm.winnow import hashes, positions, winnow
 
-    text = " ".join(random.Random(8).choice("ab") for _ in range(150))
-    r = spark.createDataFrame([(text,)], "t string").select(winnow(F.col("t"), 3, 8).alias("p")).select(hashes("p").alias("h"), positions("p").alias("i")).first()
-    w = text.split()
-    h = [r0.h for r0 in spark.createDataFrame([(w[i], w[i + 1], w[i + 2]) for i in range(len(w) - 2)], "a string, b string, c string").select((F.xxhash64("a", "b", "c")).alias("h")).collect()]
-    h = [(x & (2**64 - 1)) >> 28 for x in h]
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("ab") for _ in range(n)) for n in (1, 2, 3, 4, 6, 7, 10, 150)] + [" ".join(f"w{rnd.randrange(50)}" for _ in range(90)), ""]
+    h = word_hashes(spark, " ".join(texts).split())
+    for k, window in ((3, 8), (3, 4), (2, 1), (5, 6)):
+        for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", winnow(F.col("t"), k, window).alias("p")).select("t", hashes("p").alias("h"), positions("p").alias("i")).collect():
+            assert list(zip(r.h, r.i, strict=True)) == brute_winnow(r.t, h, k, window), (r.t, k, window)
+
+
+def test_likeness_equals_brute_force(spark, sf):
+    """Likenesses of real documents, of an id and null ids that fill several ranges, and columns whose names are used inside."""
+    rows = [(r.doc_id if i % 3 else (7 if i % 2 else None), r.text) for i, r in enumerate(read(spark, sf, "documents").limit(120).collect())]
+    rows = [(i, None if k == 5 else t, 1, "x") for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int, packed string")
+    got = edited_likeness(df).collect()
+    tie = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t, *_ in rows], "t string").selectExpr("t", "shiftrightunsigned(xxhash64(t), 1) h").collect()}
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]], r[1]))
     want = []
-    for s in range(len(h) - 7):
-        i = min(range(s, s + 8), key=lambda j: (h[j], -j))
-        if i not in want:
-            want.append(i)
-    assert list(r.i) == want and list(r.h) == [h[i] for i in want]
+    edits = [(t[: len(t) - len(t) // 2] + n[: len(t) // 2]) for (_, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True)]
+    h = word_hashes(spark, " ".join([t for _, t in order] + edits).lower().split())
+    alike = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    of = lambda t: {x for x, _ in brute_winnow(t, h, 3, 4)}
+    for (i, t), e, (_, n) in zip(order, edits, [*order[1:], order[0]], strict=True):
+        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), round(alike(of(t), of(e)), 9), round(alike(of(t), of(n)), 9)))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
 
 
 def test_decontamination(spark, docs, none):
