@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from bisect import bisect_right
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers as P
@@ -18,7 +19,7 @@ from ticklattice.llm.bpe_codec import bpe_codec, bpe_decode, load_ranks, stitch
 from ticklattice.llm.decontam import matches
 from ticklattice.llm.html_text import extract_html, main_text
 from ticklattice.llm.id_records import PATTERN, IdEncoder, doubtful, frame, frames, new_output, read_index, read_records, write_id_records
-from ticklattice.llm.licenses import TEMPLATES, anchors, normal_words, scan_licenses
+from ticklattice.llm.licenses import TEMPLATES, anchors, bands_for, normal_words, scan_licenses, seed
 from ticklattice.llm.quality import features, fit_quality, score_quality
 from ticklattice.llm.simhash import BKTree, block_masks, keep_distinct, near_duplicates
 from ticklattice.llm.token_counts import load_tokenizer, safe_pieces, token_counts
@@ -52,18 +53,19 @@ def test_token_counts(docs, none):
 def test_bpe_codec(docs, none):
     enc, pat = load_ranks(open(RANKS, "rb").read(), P.PATTERN)
     out = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")
-    got = bpe_codec(docs, RANKS, P.PATTERN, output=out, chunk=64, overlap=16).collect()
-    for r, t in zip(got, TEXTS, strict=True):
+    got = [(r, t) for n in (1, 4) for r, t in zip(bpe_codec(docs, RANKS, P.PATTERN, output=out, chunk=64, overlap=16, threads=n).collect(), TEXTS, strict=True)]
+    for r, t in got:
         ids = enc.encode_ordinary(t or "")
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == (t or "").encode()
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded).hexdigest()
     back = bpe_decode(bpe_codec(docs, RANKS, P.PATTERN, output=("ids",)), RANKS, P.PATTERN)
     assert all(r.decoded == (t or "").encode() for r, t in zip(back.collect(), TEXTS, strict=True))
     assert bpe_codec(none, RANKS, P.PATTERN).count() == 0
-    rnd = random.Random(1)
+    rnd, pool = random.Random(1), ThreadPoolExecutor(3)
     for _ in range(400):
         t = "".join(rnd.choice(rnd.choice(["ab '1.\n  l", "a \n\t", "é1'sll're d"])) for _ in range(rnd.randrange(300)))
         c = stitch(pat, t, 16, 4)
+        assert c == stitch(pat, t, 16, 4, pool)
         assert [i for a, b in zip(c, c[1:], strict=False) for i in enc.encode_ordinary(t[a:b])] == enc.encode_ordinary(t)
 
 
@@ -197,6 +199,26 @@ def test_licenses(spark, docs, none):
     got = {(r.doc_id, r.license_id) for r in scan_licenses(df).collect()}
     assert {(i, n) for i, t in rows for n in brute(t)} == got and all(anchors(TEMPLATES, 5, 0.8))
     assert scan_licenses(docs).count() == 0 and scan_licenses(none).count() == 0
+    more = df.selectExpr("doc_id", "text", "1 as band", "2 as value", "3 as containment", "4 as w")
+    assert {(r.doc_id, r.license_id) for r in scan_licenses(more).collect()} == got
+
+
+def test_license_bands_retrieve_edited_texts(spark):
+    """Every window function that the bound asks for is there, and texts with words exchanged are found as long as their
+    containment holds."""
+    assert len({seed(j) for j in range(5000)}) == 5000 and (1 - 0.129) ** bands_for(0.129) <= 1e-6
+    rnd, rows = random.Random(3), []
+    for name in ("mit-text", "bsd-2-clause-text", "isc-text"):
+        ws = TEMPLATES[name].split()
+        for edits in (1, 3, 5):
+            w = list(ws)
+            for at in rnd.sample(range(len(w)), edits):
+                w[at] = f"other{at}"
+            rows.append((len(rows), "intro words here " * 9 + " ".join(w) + " and more text" * 9, name))
+    got = {(r.doc_id, r.license_id) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    shingles = lambda t: {tuple(normal_words(t)[i : i + 5]) for i in range(len(normal_words(t)) - 4)}
+    want = {(i, n) for i, t, n in rows if len(shingles(t) & shingles(TEMPLATES[n])) >= 0.8 * len(shingles(TEMPLATES[n]))}
+    assert want <= got and len(want) >= 6
 
 
 def test_winnowing(spark, docs, none):

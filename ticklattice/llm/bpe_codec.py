@@ -80,14 +80,15 @@ def bpe_codec(
     output: Sequence[str] = ("n_tokens", "ids_sha256", "decoded_sha256"),
     chunk: int = 1 << 14,
     overlap: int = 1 << 9,
-    threads: int = 1,
+    threads: int = 2,
 ) -> DataFrame:
     """`keep` columns with the asked `output` columns for every row's whole text (null: empty).
 
     ids (array of int) by the ranks, each pre-token merged alone and no special tokens; n_tokens; ids_sha256 of the
     decimal ids joined by a space; decoded (binary: the ids' bytes put together, equal to the text's UTF-8) and
     decoded_sha256. An empty text has no ids and the digests of nothing; repeated rows repeat their result; an empty
-    table gives an empty one. `threads` pre-tokenise a text's chunks at once where a task has more cores.
+    table gives an empty one. The chunks of a longer text are pre-tokenised by `threads` at once; the pattern's scan holds no
+    interpreter lock. A kept column named like an output is replaced.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_asset(ranks_path))
     kinds = {
