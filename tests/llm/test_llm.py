@@ -530,6 +530,30 @@ def test_id_records_of_many_shards(spark):
     assert some == {(r.doc_id, tuple(r.ids)) for r in read_records(spark, path).collect() if r.doc_id % 2 == 0}
 
 
+def test_pipeline_stages_take_odd_rows(spark, sf, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, clashing column names."""
+    import corpus_pipeline as c
+
+    some = read(spark, sf, "documents").limit(30)
+    odd = [(None, None, None, None, None), (-1, "", "en", None, 0), (-2, None, None, "s", None), (-3, LONG * 4, "en", "s", 1), (-4, "twice", "en", "s", 1), (-4, "twice", "en", "s", 1), (None, "twice again", None, None, None)]
+    docs = some.unionByName(spark.createDataFrame(odd, some.schema)).withColumns({n: F.lit(1) for n in ("score", "leaks", "node", "key", "fp", "d")})
+    for name, stage in c.STAGES:
+        out, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and (name == "encode" or out.columns == none.columns == docs.columns), name
+        kept = out.collect()
+        if name == "near_dedup":
+            assert sum(r.doc_id == -4 for r in kept) == 1 and sum(not (r.text or "") for r in kept) == 1
+        elif name == "encode":
+            assert len(kept) == docs.count() and sum(r.n_tokens == 0 for r in kept) >= 3
+        else:
+            assert sum(r.doc_id == -4 for r in kept) in (0, 2) and len(kept) >= 10
+    for name in ("documents", "labels", "benchmark"):
+        read(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
+    some.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert c.run(spark, str(tmp_path)).count() <= 30
+
+
 def test_queries_and_pipeline(spark, sf):
     n = read(spark, sf, "documents").count()
     for name in ("op1_token_counts", "op3_simhash_dedup", "op4_bpe_codec", "op5_quality", "op6_winnowing", "op9_toxicity", "op10_id_records"):
