@@ -71,8 +71,22 @@ def test_command_line_writes_features_and_reports_missing_dates(spark, tmp_path)
         book = [mbo(k, b"A", b"B" if k % 2 else b"A", (100 + (1 + k % 5) * (-1 if k % 2 else 1)) * 10**9, start + k * 10**8) for k in range(60)]
         (tmp_path / name / "20250505.mbo.dbn.zst").write_bytes(zstandard.compress(whole(*book)))
     out = tmp_path / "out"
-    assert main(["20250505,20250506", "SPY", "ES", "--source", str(tmp_path), "--out", str(out)]) == 1
+    assert main(["20250505,20250506", "SPY", "ES", "--source", str(tmp_path), "--out", str(out), "--normalised", str(tmp_path / "z")]) == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "z" / "date=20250505")).count() > 0
     made = spark.read.option("header", True).option("inferSchema", True).csv(str(out / "date=20250505"))
     assert {r.instrument for r in made.select("instrument").distinct().collect()} == {"SPY", "ES"}
     assert set(FEATURES) < set(made.columns) and made.where("midprice IS NOT NULL").count() > 0
     assert not (out / "date=20250506").exists()
+
+
+def test_a_damaged_date_does_not_spoil_the_others(spark, tmp_path):
+    start = DAY + 49_000 * 10**9
+    for name in ("SPY", "ES"):
+        (tmp_path / name).mkdir()
+        good = whole(*[mbo(k, b"A", b"B" if k % 2 else b"A", (100 + (-1 if k % 2 else 1)) * 10**9, start + k * 10**8) for k in range(40)])
+        (tmp_path / name / "20250505.dbn").write_bytes(good)
+        (tmp_path / name / "20250507.dbn").write_bytes(good[:-3])
+    out = tmp_path / "out"
+    assert main(["20250505,20250507", "SPY", "ES", "--source", str(tmp_path), "--out", str(out), "--format", "parquet", "--whole-day"]) == 1
+    assert (out / "date=20250505").exists() and not (out / "date=20250507").exists()
+    assert read_dbn(spark, str(tmp_path / "SPY"), mode="PERMISSIVE").groupBy("file").count().count() == 2

@@ -58,9 +58,10 @@ def read_features(spark: SparkSession, paths: list[str], corrupt: str | None = N
 
 
 def write_features(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """The feature table in header order, a folder for each instrument."""
-    out = df.select("timestamp_ns", "instrument", *FEATURES)
-    out.withColumn("asset", F.col("instrument")).write.mode("overwrite").partitionBy("asset").option("header", True).format(kind).save(path)
+    """The feature table in header order, a folder for each date, if there are dates, and instrument."""
+    dates = ["date"] if "date" in df.columns else []
+    out = df.select(*dates, F.col("instrument").alias("asset"), "timestamp_ns", "instrument", *FEATURES)
+    out.write.mode("overwrite").partitionBy(*dates, "asset").option("header", True).format(kind).save(path)
 
 
 def contract_filter(df: DataFrame, instrument: str, column: str, keep) -> DataFrame:
