@@ -57,21 +57,19 @@ def bands_for(similarity: float, miss: float = 1e-6) -> int:
 
 
 def anchors(templates: Mapping[str, str], shingle: int, containment: float) -> list[str]:
-    """Words of which every text holds one that can contain a template: for each template, words that together lie in
-    more than 1 - containment of its shingles, the rarest-looking (longest) first."""
+    """Words of which every text holds one that can contain a template: for each template its longest words, as the rarest,
+    until they together lie in more than 1 - containment of its shingles."""
     out: set[str] = set()
     for text in templates.values():
         ws = normal_words(text)
         k = min(shingle, len(ws))
         grams = {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
-        need, chosen = len(grams) * (1 - containment), set()
-        for w in sorted(set(ws), key=lambda w: (-sum(w in g for g in grams), -len(w), w)):
-            chosen.add(w)
-            if sum(bool(chosen & set(g)) for g in grams) > need and len(w) > 3:
-                out.add(w) if sum(w in g for g in grams) > need else out.update(chosen)
+        met: set[tuple[str, ...]] = set()
+        for w in sorted(set(ws), key=lambda w: (-len(w), w)):
+            if len(met) > len(grams) * (1 - containment):
                 break
-        else:
-            out |= chosen
+            out.add(w)
+            met |= {g for g in grams if w in g}
     return sorted(out)
 
 
