@@ -115,7 +115,7 @@ class Memory:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 2500) -> Iterator[None]:
     """While it lasts, Arrow batches of so many rows, so that a task holds some MB of texts at once instead of some ten."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, None)
@@ -176,7 +176,9 @@ class IdEncoder:
         size = np.maximum(size, 0)
         begins, count = np.cumsum(size) - size, size[index]
         ends = np.cumsum(count)
-        out = table[np.repeat(begins[index] - (ends - count), count) + np.arange(ends[-1])]
+        place = np.repeat(begins[index] - (ends - count), count)
+        place += np.arange(len(place))
+        out = table[place]
         last = ends[at[1:] - 1]
         if not odd.any():
             return out, last
@@ -272,7 +274,7 @@ def write_id_records(
         encode = load_encoder(*spec.value)
         end = encode.kind.type(end_id)
         for big in batches:
-            for b in slices(big, 1, 4 << 20):
+            for b in slices(big, 1, 12 << 20):
                 ids, ends = encode(b.column(1))
                 parts = [ids[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 rows = [frame(i, np.append(x, end)) for i, x in zip(b.column(0).to_pylist(), parts, strict=True)]
