@@ -108,7 +108,7 @@ ORACLES = {
     "systematic_sample": _with("series", "SELECT k, day, t, regime, v FROM series WHERE t % 50 = 1"),
     "accepted_events": _with("judged", "SELECT seq, instrument, order_id, action, accepted FROM judged"),
     "rejected_audit": _with("judged", "SELECT instrument, action, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected FROM judged WHERE action <> 'T' GROUP BY ALL"),
-    "unknown_orders": _with("mbo", "SELECT seq, instrument, order_id, action FROM mbo m WHERE action IN ('M', 'C') AND NOT EXISTS (SELECT 1 FROM mbo a WHERE a.action = 'A' AND a.instrument = m.instrument AND a.order_id = m.order_id)"),
+    "unknown_orders": _with("mbo", "SELECT seq, instrument, order_id, action FROM mbo m WHERE action IN ('M', 'C') AND NOT EXISTS (SELECT 1 FROM mbo a WHERE a.action = 'A' AND a.instrument = m.instrument AND a.order_id = m.order_id AND a.seq < m.seq)"),
     "order_versions": _with("vers", "SELECT * FROM vers"),
     "book_levels": _with("top", "SELECT instrument, g, side, level, price_ticks, size FROM top"),
     "book_depth_change": _with("arr", "SELECT instrument, g, level, bd AS bid_d, ad AS ask_d FROM arr"),
@@ -131,6 +131,7 @@ ORACLES = {
     "correlation_matrix": _with("mbo", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM mbo" for i, a in enumerate(_CORR) for b in _CORR[i:])),
     "standard_scaler": _with("series", "SELECT k, day, t, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS v, round((u - avg(u) OVER ()) / stddev_pop(u) OVER (), 6) AS u FROM series"),
     "cluster_scores": _with("series", ", c AS (SELECT regime, count(*) AS n, avg(v) AS cv, avg(u) AS cu FROM series GROUP BY 1), i AS (SELECT regime, any_value(n) AS n, any_value(cv) AS cv, any_value(cu) AS cu, sum((v - cv) ** 2 + (u - cu) ** 2) AS w, avg(sqrt((v - cv) ** 2 + (u - cu) ** 2)) AS s FROM series JOIN c USING (regime) GROUP BY 1), m AS (SELECT avg(v) AS mv, avg(u) AS mu FROM series) SELECT round((sum(n * ((cv - mv) ** 2 + (cu - mu) ** 2)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM (SELECT x.regime, max((x.s + y.s) / sqrt((x.cv - y.cv) ** 2 + (x.cu - y.cu) ** 2)) AS r FROM i x JOIN i y ON x.regime <> y.regime GROUP BY 1)) AS davies_bouldin FROM i, m"),
+    "silhouette": _with("series", ", p AS (SELECT row_number() OVER () AS i, regime AS y, v, u FROM series), q AS (SELECT a.i, a.y, b.y AS z, sum(sqrt((a.v - b.v) * (a.v - b.v) + (a.u - b.u) * (a.u - b.u))) AS s, count(*) AS n FROM p a, p b GROUP BY 1, 2, 3), r AS (SELECT i, max(CASE WHEN z = y AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN z <> y THEN s / n END) AS b FROM q GROUP BY 1) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette, count(*) AS points FROM r"),
     "crosstab": _with("pairs", "SELECT a, count(*) FILTER (b = 0) AS b0, count(*) FILTER (b = 1) AS b1, count(*) FILTER (b = 2) AS b2 FROM pairs GROUP BY a"),
     "cross_correlation": _with("pairs", "SELECT (p.t - q.t)::INT AS lag, round(corr(p.x, q.y), 6) AS rho FROM pairs p JOIN pairs q ON p.day = q.day AND p.t - q.t BETWEEN -20 AND 20 GROUP BY 1"),
     "transitions": _with("series", "SELECT k, prev, cur, count(*) AS n FROM (SELECT k, regime AS cur, lag(regime) OVER (PARTITION BY k, day ORDER BY t) AS prev FROM series) WHERE prev IS NOT NULL GROUP BY ALL"),

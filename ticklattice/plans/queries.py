@@ -76,9 +76,11 @@ def q_rejected_audit(spark, d):
 
 
 def q_unknown_orders(spark, d):
-    """Modifications and cancellations of orders that no add ever named."""
+    """Modifications and cancellations of orders that no earlier add named."""
     e = mbo_events(spark, d)
-    return e.where("action in ('M', 'C')").join(e.where("action = 'A'").select(*book.KEY).distinct(), book.KEY, "left_anti").select("seq", *book.KEY, "action")
+    adds = e.where("action = 'A'").groupBy(*book.KEY).agg(F.min("seq").alias("first"))
+    own = e.where("action in ('M', 'C')").join(adds, book.KEY, "left")
+    return own.where("first is null or seq < first").select("seq", *book.KEY, "action")
 
 
 def q_order_versions(spark, d):
@@ -190,7 +192,7 @@ def q_cluster_scores(spark, d):
 
 
 def q_silhouette(spark, d):
-    return diagnostics.silhouette(_series(spark, d), ["v", "u"])
+    return rounded(diagnostics.silhouette(_series(spark, d), ["v", "u"]))
 
 
 def q_crosstab(spark, d):
@@ -264,8 +266,15 @@ def q_hayashi_yoshida(spark, d):
     return rounded(causal.hayashi_yoshida(a, b, 3_600_000_000).withColumnRenamed("k", "day"), 3)
 
 
+def _stored(spark, d):
+    """The features, written once and read by every iteration of a fit."""
+    at = f"{_scratch(spark)}/features"
+    features.features(mbo_events(spark, d), P).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def q_regimes(spark, d):
-    f = features.features(mbo_events(spark, d), P).na.drop(subset=MODEL)
+    f = _stored(spark, d).na.drop(subset=MODEL)
     z = diagnostics.standardised(f.select("instrument", "g", *MODEL), MODEL)
     m = hmm.fit_hmm(z, ["instrument"], "g", MODEL)
     return hmm.decode(z, m, ["instrument"], "g", MODEL)
@@ -359,22 +368,13 @@ def q_model_columns(spark, d):
 
 def q_regime_metrics(spark, d):
     """The classifier and its checks: criteria, cluster scores, silhouette."""
-    f = features.features(mbo_events(spark, d), P)
+    f = _stored(spark, d)
     return rounded(workflow.classify(f, ["instrument"], "g").metrics, 4)
 
 
-def q_regime_sweep(spark, d):
-    """Metrics for 3 to 5 regimes."""
-    f = features.features(mbo_events(spark, d), P)
-    out = None
-    for r in workflow.sweep(f, ["instrument"], "g", range(3, 6)).values():
-        out = r.metrics if out is None else out.unionByName(r.metrics)
-    return rounded(out, 4)
-
-
 def q_posterior_granger(spark, d):
     """Posteriors of both instruments' regimes: every pair, both ways, the strongest at lag 1."""
-    f = features.features(mbo_events(spark, d), P)
+    f = _stored(spark, d)
     series = {}
     for n, prefix in (("SPOT", "base_p_"), ("FUT", "future_p_")):
         run = workflow.classify(f.where(F.col("instrument") == n), ["instrument"], "g")
