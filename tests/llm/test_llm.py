@@ -541,6 +541,7 @@ def test_pipeline_stages_take_odd_rows(spark, sf, tmp_path):
         out, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
         assert none.count() == 0 and (name == "encode" or out.columns == none.columns == docs.columns), name
         kept = out.collect()
+        assert name == "encode" or all(r.score == r.leaks == r.node == r.key == r.fp == r.d == 1 for r in kept), name
         if name == "near_dedup":
             assert sum(r.doc_id == -4 for r in kept) == 1 and sum(not (r.text or "") for r in kept) == 1
         elif name == "encode":

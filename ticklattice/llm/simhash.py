@@ -187,16 +187,18 @@ def near_duplicates(
     among all rows that links of `radius` bits or fewer reach, the row itself included.
 
     Wordless (null, empty) texts have fingerprint zero and link like any other. Null ids are kept; they are no candidate
-    for the smallest id, so a component of null ids only has a null component_id. Repeated rows share a component; an
+    for the smallest id, so a component of null ids only has a null component_id. Ids are integers. Repeated rows share a component; an
     empty table gives an empty result; other columns are ignored.
     """
     prints = as_table(simhash(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), shingle=shingle), "prints")
-    distinct = as_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    scratch = Scratch(docs.sparkSession)
+    distinct = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = connected_components(near_links(distinct.select(F.lit(0).alias("r"), "fp"), radius, shard).select("u", "v"))
     joined = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    joined = as_table(joined, "labels")
+    joined = scratch.table(joined, "labels")
     ids = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = as_table(joined.join(ids, "label").select("fp", "component_id"), "classes")
+    scratch.clear()
     return prints.join(classes, "fp").select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -236,7 +238,7 @@ def keep_distinct(
     each other in rounds of growing distance until each pair has met; pairs that also share one of their HEAD very first
     shingles meet in its shard alone. Exact shingle sets decide about every candidate.
     Equal texts are one class from the start. Wordless texts (null, empty) are one group. Columns are those of docs; an
-    empty table gives an empty result.
+    empty table gives an empty result. Ids are integers.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
