@@ -115,7 +115,7 @@ class Memory:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2500) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """While it lasts, Arrow batches of so many rows, so that a task holds some MB of texts at once instead of some ten."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, None)
@@ -126,6 +126,19 @@ def small_batches(spark: SparkSession, rows: int = 2500) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Chunks whose ids are put in order at once.
+GATHERED = 1 << 17
+
+
+def give_back() -> None:
+    """Gives memory that is free back to the system, where the C library and Arrow's allocator can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class IdEncoder:
     """The ids of texts as the tokenizers library gives them, two bytes an id if the vocabulary allows, else four.
 
@@ -166,19 +179,24 @@ class IdEncoder:
         coded = values.dictionary_encode()
         begin = at[:-1]
         ids = self._known(self.chunks, coded.dictionary.to_pylist(), " ") + self._known(self.firsts, values.take(pa.array(begin)).to_pylist(), "")
-        index = coded.indices.to_numpy().astype(np.int64)
+        index = coded.indices.to_numpy().astype(np.int32)
         index[begin] = len(coded.dictionary) + np.arange(len(begin))  # a text's first chunk has no space before it
-        size = np.fromiter((-1 if x is None else len(x) for x in ids), np.int64, len(ids)) // self.kind.itemsize
+        del split, values, coded
+        size = np.fromiter((-1 if x is None else len(x) for x in ids), np.int32, len(ids)) // self.kind.itemsize
         table = np.frombuffer(b"".join([x for x in ids if x]), self.kind)
         odd = np.add.reduceat(size[index] < 0, begin) > 0
         for t in self.added:
             odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         size = np.maximum(size, 0)
         begins, count = np.cumsum(size) - size, size[index]
-        ends = np.cumsum(count)
-        place = np.repeat(begins[index] - (ends - count), count)
-        place += np.arange(len(place))
-        out = table[place]
+        ends = np.cumsum(count, dtype=np.int64)
+        out = np.empty(int(ends[-1]), self.kind)
+        for i in range(0, len(index), GATHERED):
+            own, n = index[i : i + GATHERED], count[i : i + GATHERED]
+            stop = np.cumsum(n)
+            place = np.repeat(begins[own] - (stop - n), n)
+            place += np.arange(len(place))
+            out[int(ends[i]) - int(n[0]) :][: len(place)] = table[place]
         last = ends[at[1:] - 1]
         if not odd.any():
             return out, last
@@ -279,6 +297,8 @@ def write_id_records(
                 parts = [ids[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 rows = [frame(i, np.append(x, end)) for i, x in zip(b.column(0).to_pylist(), parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+                del ids, ends, parts, rows, b
+            give_back()
 
     with small_batches(spark):
         dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
