@@ -88,14 +88,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / F.greatest(either, F.lit(1)))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 4, parts: int | None = None) -> DataFrame:
-    """id, text, packed (its winnowing), and next_text and next_packed of the next document by descending id.
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """id, text and next_text, that of the next document by descending id.
 
     After the last document comes the first; null ids come last; equal ids stand in the order of a hash of their texts,
     then of the texts; a single document is its own next; null texts count as empty. Documents are dealt by ranges of their
     ids and neighbours meet in a window over one range; the last of a range takes the head of the next range, of which
     there is one row a range. An id (or null) that fills several ranges is dealt out by ranges of the hash. Ids are integers.
-    Only texts are shuffled; each is winnowed once, where it meets its neighbour.
     """
     parts = parts or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -120,27 +119,25 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ring = Window.orderBy("part", "sub")  # one row for each range
     after = F.coalesce(F.lead("head").over(ring), F.first("head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select("part", "sub", after.alias("head"))
-    heads = heads.withColumn("head_packed", winnow(F.col("head"), k, window))
-    mine = dealt.repartition("part", "sub").withColumn("packed", winnow(F.col("text"), k, window))
-    lead = F.lead(F.struct("text", "packed")).over(Window.partitionBy("part", "sub").orderBy(*order))
-    return mine.withColumn("nxt", lead).join(heads, ["part", "sub"], "left").select(
-        "id", "text", "packed", F.coalesce("nxt.text", "head").alias("next_text"), F.coalesce("nxt.packed", "head_packed").alias("next_packed")
-    )
+    lead = F.lead("text").over(Window.partitionBy("part", "sub").orderBy(*order))
+    return dealt.withColumn("nxt", lead).join(heads, ["part", "sub"], "left").select("id", "text", F.coalesce("nxt", "head").alias("next_text"))
 
 
 def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 4) -> DataFrame:
     """One row a document: its fingerprint, that of the text whose last half (floor(n_chars / 2) code points) gives way to
     the first as many of the next document, and the likeness of its fingerprint to the edited text's and the next one's.
 
-    Every text is fingerprinted whole. Empty and null
+    Every text is fingerprinted whole, in the task that has it and its neighbour: only texts are shuffled and sorted, at the
+    price of fingerprinting each again as its predecessor's neighbour. Empty and null
     texts have an empty fingerprint and are alike to each other only; repeated rows give repeated results; an empty table
     gives an empty result; other columns are ignored.
     """
-    t = with_next(docs, id_col=id_col, text_col=text_col, k=k, window=window)
+    t = with_next(docs, id_col=id_col, text_col=text_col)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    t = t.withColumns({"n_chars": n.cast("long"), "edited": edited}).withColumn("edited_packed", winnow(F.col("edited"), k, window))
+    t = t.withColumns({"n_chars": n.cast("long"), "edited": edited})
+    t = t.withColumns({"packed": winnow(F.col("text"), k, window), "edited_packed": winnow(F.col("edited"), k, window), "next_packed": winnow(F.col("next_text"), k, window)})
     own, other, nxt = hashes(F.col("packed")), hashes(F.col("edited_packed")), hashes(F.col("next_packed"))
     return t.select(
         F.col("id").alias(id_col),
