@@ -294,11 +294,11 @@ def write_id_records(
         for big in batches:
             for b in slices(big, 1, 12 << 20):
                 ids, ends = encode(b.column(1))
-                parts = [ids[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                rows = [frame(i, np.append(x, end)) for i, x in zip(b.column(0).to_pylist(), parts, strict=True)]
+                parts = zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+                rows = [frame(i, np.append(ids[a:z], end)) for i, (a, z) in zip(b.column(0).to_pylist(), parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
                 del ids, ends, parts, rows, b
-            give_back()
+        give_back()
 
     with small_batches(spark):
         dealt.mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
