@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,20 @@ def test_pca_silhouette_and_permutation_equal_numpy(spark):
 
 def test_information_criteria():
     assert diagnostics.information_criteria(-10.0, 100, 2, 1) == {"aic": 34.0, "bic": pytest.approx(7 * math.log(100) + 20), "parameters": 7}
+
+
+def test_summary_of_a_feature_without_spread_equals_sql(spark):
+    rows = [(k, t, 0.1, math.sin(t), None if t % 2 else 1.0) for k in "ab" for t in range(40)]
+    t = spark.createDataFrame(rows, "k string, t int, flat double, x double, gaps double").repartition(7)
+    got = {r.feature: r for r in workflow.summary(t, ["k"], "t", ["flat", "x", "gaps"]).collect()}
+    con = duckdb.connect()
+    con.sql("create table t(k text, t int, flat double, x double, gaps double)")
+    con.executemany("insert into t values (?, ?, ?, ?, ?)", rows)
+    for c in ("flat", "x", "gaps"):
+        sql = f"select round(corr(v, y), 4), round(stddev_samp(v), 4), round(stddev_samp(v - y), 4) from (select {c} v, lag({c}) over (partition by k order by t) y from t)"
+        want, r = con.sql(sql).fetchall()[0], got[c]
+        for a, b in zip((r.rho1, r.std, r.delta_std), want, strict=True):
+            assert (a is None and b is None) or a == pytest.approx(b, abs=1e-4, nan_ok=True), c
+    assert math.isnan(got["flat"].rho1) and got["gaps"].rho1 is None
+    flat = diagnostics.autocorrelations(t, ["k"], "t", "flat", 3).collect()
+    assert len(flat) == 6 and all(math.isnan(r.rho) for r in flat)

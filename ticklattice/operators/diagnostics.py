@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,13 +43,22 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation as SQL has it: pairs with a null do not count, no pair at all gives null, and a column without
+    spread NaN, where F.corr divides by zero. Least and largest decide about spread, as deviations of a constant may round."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    both = F.covar_pop(x, y)
+    rho = F.coalesce(F.try_divide(F.try_divide(both, F.stddev_pop(x)), F.stddev_pop(y)), F.lit(float("nan")))
+    return F.when(both.isNull(), F.lit(None)).when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), rho).otherwise(F.lit(float("nan")))
+
+
 def autocorrelations(df: DataFrame, keys: Sequence[str], order: str, column: str, lags: int = 20, within: Sequence[str] = ()) -> DataFrame:
     """lag, rho for each key. Lags do not cross the columns `within` (say dates); their rows count together."""
     w = Window.partitionBy(*keys, *within).orderBy(order)
-    wide = df.select(*keys, F.col(column).cast("double").alias("x"), *[F.lag(column, k).over(w).cast("double").alias(f"l{k}") for k in range(1, lags + 1)])
-    both = lambda k: F.when(F.col(f"l{k}").isNotNull(), F.col("x"))
-    a = wide.groupBy(*keys).agg(*[F.corr(both(k), F.col(f"l{k}")).alias(f"l{k}") for k in range(1, lags + 1)])
-    return a.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("rho")) for k in range(1, lags + 1)])).alias("x")).select(*keys, "x.*")
+    past = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag(column, k).over(w).cast("double").alias("y")) for k in range(1, lags + 1)])
+    long = df.select(*keys, F.col(column).cast("double").alias("x"), past.alias("p")).select(*keys, "x", F.inline("p"))
+    return long.groupBy(*keys, "lag").agg(correlation("x", "y").alias("rho"))
 
 
 def series_summary(df: DataFrame, keys: Sequence[str], order: str, column: str, within: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +67,7 @@ def series_summary(df: DataFrame, keys: Sequence[str], order: str, column: str,
     w = Window.partitionBy(*keys, *within).orderBy(order)
     x = df.select(*keys, F.col(column).cast("double").alias("x"), F.lag(column).over(w).cast("double").alias("y"))
     return x.groupBy(*keys).agg(
-        F.corr(F.when(F.col("y").isNotNull(), F.col("x")), F.col("y")).alias("rho1"), F.stddev_samp("x").alias("std"), F.stddev_samp(F.col("x") - F.col("y")).alias("delta_std"),
+        correlation("x", "y").alias("rho1"), F.stddev_samp("x").alias("std"), F.stddev_samp(F.col("x") - F.col("y")).alias("delta_std"),
         F.try_divide(F.stddev_samp("x"), F.avg("x")).alias("coef_var"),
     ).orderBy(F.col("rho1").desc(), *keys)
 
@@ -66,7 +75,7 @@ def series_summary(df: DataFrame, keys: Sequence[str], order: str, column: str,
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, rho of each pair of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs])).alias("x")).select("x.*")
 
 

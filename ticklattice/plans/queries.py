@@ -203,9 +203,8 @@ def q_cross_correlation(spark, d):
     w = Window.partitionBy("k").orderBy("t")
     p = _pairs(spark, d)
     cols = {j: F.lag("y", j).over(w) if j >= 0 else F.lead("y", -j).over(w) for j in range(-20, 21)}
-    wide = p.select("x", *[c.alias(f"y{j + 20}") for j, c in cols.items()])
-    row = wide.agg(*[F.corr(F.when(F.col(f"y{j + 20}").isNotNull(), F.col("x")), F.col(f"y{j + 20}")).alias(f"c{j + 20}") for j in cols])
-    return rounded(row.select(F.explode(F.array(*[F.struct(F.lit(j).alias("lag"), F.col(f"c{j + 20}").alias("rho")) for j in cols])).alias("x")).select("x.*"))
+    long = p.select("x", F.array(*[F.struct(F.lit(j).alias("lag"), c.alias("y")) for j, c in cols.items()]).alias("p")).select("x", F.inline("p"))
+    return rounded(long.groupBy("lag").agg(diagnostics.correlation("x", "y").alias("rho")))
 
 
 def q_transitions(spark, d):
