@@ -189,3 +189,18 @@ def test_summary_of_a_feature_without_spread_equals_sql(spark):
     assert math.isnan(got["flat"].rho1) and got["gaps"].rho1 is None
     flat = diagnostics.autocorrelations(t, ["k"], "t", "flat", 3).collect()
     assert len(flat) == 6 and all(math.isnan(r.rho) for r in flat)
+
+
+def test_pca_leaves_features_without_spread_out(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 2))
+    t = spark.createDataFrame([(float(a), 0.1, float(b)) for a, b in x], "a double, flat double, b double").repartition(7)
+    comps, share = hmm.pca(t, ["a", "flat", "b"])
+    z = (x - x.mean(0)) / x.std(0)
+    s = np.linalg.svd(z, full_matrices=False)[1] ** 2
+    assert np.allclose(share, [*(s / s.sum()), 0.0]) and comps.shape == (3, 2) and np.allclose(comps[1], 0.0)
+    pcs = hmm.project(t, ["a", "flat", "b"], comps).toPandas()
+    assert np.allclose(pcs.var(ddof=0), s / 60)
+    assert all(abs(r.flat) < 1e-12 for r in diagnostics.standardised(t, ["flat"]).collect())
+    none, share = hmm.pca(t, ["flat"])
+    assert none.shape == (1, 0) and share.tolist() == [0.0]

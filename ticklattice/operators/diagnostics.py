@@ -38,8 +38,10 @@ def regime_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns less their mean over their population deviation (0: 1); the figures come to the driver, two a column."""
-    s = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    """Columns less their mean over their population deviation (0: 1, also if only rounding makes one); the figures come to the
+    driver, two a column."""
+    spread = lambda c: F.when(F.min(c) < F.max(c), F.stddev_pop(c))
+    s = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[spread(c).alias(f"s_{c}") for c in columns]).first()
     return df.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})
 
 

@@ -156,7 +156,8 @@ def load_hmm(spark, path: str) -> GaussianHMM:
 
 def pca(df: DataFrame, columns: Sequence[str], ratio: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
     """Components that hold `ratio` of the variance of the standardised columns, and the shares of all, from the
-    correlation matrix: one aggregate of the data."""
+    correlation matrix: one aggregate of the data. A column without spread has no variance to hold; if none has any, there
+    are no components."""
     from ticklattice.operators.diagnostics import correlations
 
     at = {c: i for i, c in enumerate(columns)}
@@ -165,6 +166,8 @@ def pca(df: DataFrame, columns: Sequence[str], ratio: float = 0.99) -> tuple[np.
         m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = 0.0 if r.rho is None or r.rho != r.rho else r.rho
     val, vec = np.linalg.eigh(m)
     val, vec = val[::-1], vec[:, ::-1]
+    if val.sum() <= 0:
+        return vec[:, :0], np.zeros(len(val))
     share = val / val.sum()
     k = int(np.searchsorted(np.cumsum(share), ratio - 1e-12)) + 1
     return vec[:, :k] * np.sign(vec[np.abs(vec).argmax(0), np.arange(len(val))])[:k], share

@@ -280,7 +280,7 @@ def q_regimes(spark, d):
 
 
 def q_pca(spark, d):
-    f = features.features(mbo_events(spark, d), P).select("instrument", "g", *MODEL).na.drop()
+    f = _stored(spark, d).select("instrument", "g", *MODEL).na.drop()
     comps, _ = hmm.pca(f, MODEL)
     return hmm.project(f, MODEL, comps)
 
