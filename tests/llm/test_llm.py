@@ -21,7 +21,7 @@ from ticklattice.llm.html_text import extract_html, main_text
 from ticklattice.llm.id_records import PATTERN, IdEncoder, doubtful, frame, frames, new_output, read_index, read_records, write_id_records
 from ticklattice.llm.licenses import TEMPLATES, anchors, bands_for, normal_words, scan_licenses, seed
 from ticklattice.llm.quality import features, fit_quality, score_quality
-from ticklattice.llm.simhash import BKTree, block_masks, keep_distinct, near_duplicates
+from ticklattice.llm.simhash import BKForest, BKTree, block_masks, keep_distinct, near_duplicates
 from ticklattice.llm.token_counts import load_tokenizer, safe_pieces, token_counts
 from ticklattice.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, segments
 from ticklattice.llm.winnow import edited_likeness
@@ -165,6 +165,41 @@ def test_keep_distinct_links_stars_and_chains(spark):
         assert sorted(r.doc_id for r in keep_distinct(spark.createDataFrame(rows, "doc_id long, text string"), sample=sample).collect()) == want
 
 
+def test_trees_of_many_shards_find_what_brute_force_finds():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (4, 30), np.uint64)
+    prints = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 60, (4, 30)).astype(np.uint64)), base[:, :9], base[:, :9]], axis=1)
+    shard = np.sort(rng.integers(0, 5, prints.shape[1]))
+    forest = BKForest(prints, shard)
+    asks = rng.permutation(prints.shape[1])
+    for radius in (0, 4, 66, 256):
+        got = {}
+        for q, n, d in forest.within(prints[:, asks], np.append(shard[asks[:-1]], 9), np.full(len(asks), radius), at_once=50):
+            got |= {(int(asks[i]), int(j)): int(k) for i, j, k in zip(q, n, d, strict=True)}
+        d = np.bitwise_count(prints[:, :, None] ^ prints[:, None, :]).astype(int).sum(0)
+        near = (d <= radius) & (shard[:, None] == shard[None, :])
+        near[asks[-1]] = False  # its shard is not there
+        assert got == {(i, j): d[i, j] for i, j in np.argwhere(near)}
+    assert len(forest.nodes) == len(shard) - len(np.unique(shard))
+
+
+def test_keep_distinct_searches_dealt_shards(spark):
+    rnd = random.Random(8)
+    rows = []
+    for g in range(4):  # they share a passage, within a group most pairs are similar, between groups none
+        line, own = [f"line{i}" for i in range(12)], [f"g{g}w{i}" for i in range(150)]
+        for k in range(15):
+            words = list(own)
+            for i in rnd.sample(range(150), 1 + k % 2):
+                words[i] = f"x{g}.{k}.{i}"
+            rows.append((g * 100 + k, " ".join(line + words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_stay(rows)
+    assert len(want) < len(rows) / 2
+    for shard in (2, 5, 2048):
+        assert sorted(r.doc_id for r in keep_distinct(df, shard=shard).collect()) == want
+
+
 def test_keep_distinct_finds_every_pair_at_the_threshold(spark):
     """Pairs of all lengths, from just below to well above the similarity, with a passage that many texts share."""
     rnd, rows = random.Random(12), []

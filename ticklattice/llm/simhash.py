@@ -223,8 +223,60 @@ def more_digests(x: np.ndarray, k: int) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
 
 
+class BKForest:
+    """BK-trees of many shards, grown and searched together, a level at a time: `prints` (words x n, uint64) in the order in which
+    a shard's tree takes them, `shard` (n, ascending) names each one's tree, whose root is its first. A node of distance 0 is
+    a leaf of its own, so equal fingerprints make no chain."""
+
+    def __init__(self, prints: np.ndarray, shard: np.ndarray):
+        self.prints, self.shard, self.edges = prints, shard, 64 * len(prints) + 1
+        first = np.concatenate([[True], shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, bool)
+        self.roots = np.flatnonzero(first)
+        self.sizes = np.diff(np.append(self.roots, len(shard)))
+        at = np.repeat(self.roots, self.sizes)
+        todo, keys, nodes = np.flatnonzero(~first), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(todo):
+            d = self._distance(prints, todo, at[todo])
+            key = at[todo] * self.edges + d
+            _, lead, group = np.unique(key, return_index=True, return_inverse=True)
+            placed = d == 0
+            placed[lead] = True
+            keys.append(key[placed])
+            nodes.append(todo[placed])
+            at[todo] = todo[lead][group]
+            todo = todo[~placed]
+        keys, nodes = np.concatenate(keys), np.concatenate(nodes)
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.nodes = keys[by], nodes[by]
+
+    def _distance(self, queries: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum((np.bitwise_count(q[i] ^ p[j]).astype(np.int64) for q, p in zip(queries, self.prints, strict=True)), np.zeros(len(i), np.int64))
+
+    def within(self, queries: np.ndarray, shard: np.ndarray, radius: np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, node, distance) of all nodes within each query's radius in its shard's tree, all of a query in one piece. Only
+        the edges from d - r to d + r are followed; a piece holds queries whose trees have `at_once` nodes or a few more."""
+        known = self.shard[self.roots]
+        tree = np.searchsorted(known, shard)
+        asked = np.flatnonzero(tree < len(known))
+        asked = asked[known[tree[asked]] == shard[asked]]
+        piece = np.cumsum(self.sizes[tree[asked]]) // at_once
+        for q in np.split(asked, np.flatnonzero(np.diff(piece)) + 1):
+            node, found = self.roots[tree[q]], []
+            while len(q):
+                d = self._distance(queries, q, node)
+                hit = d <= radius[q]
+                found.append((q[hit], node[hit], d[hit]))
+                lo = np.searchsorted(self.keys, node * self.edges + np.maximum(d - radius[q], 0))
+                hi = np.searchsorted(self.keys, node * self.edges + np.minimum(d + radius[q], self.edges - 1), side="right")
+                many = hi - lo
+                q = np.repeat(q, many)
+                node = self.nodes[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(q))]
+            if found:
+                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def keep_distinct(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sample: int = 4096
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sample: int = 4096, shard: int = SHARD
 ) -> DataFrame:
     """docs without those that are near copies (Jaccard similarity of their shingle sets at least `similarity`) of one that
     stays: of each group the row of the smallest id stays (null ids last, then the least digest of the text). Groups are the
@@ -232,10 +284,12 @@ def keep_distinct(
 
     Shards are exact (prefix filter): with the shingles of all texts in one order, two sets that similar share one of their
     first n - ceil(similarity n) + 1. Any order is right; shingles met more than once in about `sample` texts come last, so
-    that common passages bring few texts together. Within the shard of a first shingle, texts are candidates whose SimHashes
-    of 256 bits differ in at most wide_radius bits, which loses a similar pair with probability 1e-6. A shard's texts are
-    held against the one that shares most of its own first, then, as far as they are not in one component yet, against
-    each other in rounds of growing distance until each pair has met; pairs that also share one of their HEAD very first
+    that common passages bring few texts together. The shard of a first shingle is a BK-tree of its texts' SimHashes of 256
+    bits; what a search within wide_radius bits finds is a candidate, which loses a similar pair with probability 1e-6. The
+    root is the text that shares most of its own first: all are held against the roots first, then each is searched for in
+    the whole tree, and those that are not in one component yet are candidates, the nearest of each other component first,
+    in rounds of growing numbers until none is left out. A shard of over `shard` texts is dealt into trees of at most about
+    that many, of which each two meet in a cell of their own. Pairs that also share one of their HEAD very first
     shingles meet in its shard alone. Exact shingle sets decide about every candidate.
     Equal texts are one class from the start. Wordless texts (null, empty) are one group. Columns are those of docs; an
     empty table gives an empty result. Ids are integers.
@@ -294,43 +348,63 @@ def keep_distinct(
     keys = first.select("node", F.posexplode("ts").alias("pos", "t")).withColumns({"lo": F.min("node").over(together), "hi": F.max("node").over(together)})
     keys = keys.where("lo <> hi").groupBy("t", "node").agg(F.min("pos").alias("pos"))
     prints = first.groupBy("node").agg(*[F.max(c).alias(c) for c in ("size", *prints_of, *heads_of)])  # equal in all rows of a node
-    keys = scratch.table(keys.join(prints, "node").select("t", "node", "size", "pos", *prints_of, *heads_of), "keys")
+    keys = keys.join(prints, "node").withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    keys = scratch.table(keys.select("t", "node", "size", "pos", "degree", *prints_of, *heads_of), "keys")
     scratch.drop(first)
     least, share = similarity * (1 - 1e-9), similarity / (1 + similarity) * (1 - 1e-9)
 
-    # against the text that shares most
-    hubs = keys.join(keys.groupBy("node").count(), "node").groupBy("t")
-    hubs = hubs.agg(F.max(F.struct("count", "node", "size", "pos", *prints_of)).alias("h"), F.count(F.lit(1)).alias("m"))
+    # the trees' roots, the texts that share most, against all of their shards
+    hubs = keys.groupBy("t").agg(F.max(F.struct("degree", "node", "size", "pos", *prints_of)).alias("h"), F.count(F.lit(1)).alias("m"))
     hubs = scratch.table(hubs.select("t", "h.*", "m").toDF("t", "_", "b", "bs", "bp", *[f"b{c}" for c in prints_of], "m").drop("_"), "hubs")
     apart = " + ".join(f"bit_count({c} ^ b{c})" for c in prints_of)
     fits = f"least(size, bs) >= {least!r} * greatest(size, bs) and least(size - pos, bs - bp) >= {share!r} * (size + bs) and {apart} <= if(least(size, bs) < {FEW_SHINGLES}, {radius_few}, {radius})"
     pairs = keys.join(hubs, "t").where("node <> b").where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
     most = hubs.agg(F.max("m")).first()[0] or 0
 
-    def meet(near: int, far: int):
+    # the other nodes of the shards' trees
+    cell = ["t", "a", "b"]
+
+    def solve(rows: np.ndarray, limit: int) -> np.ndarray:
+        """Pairs of the cells in rows: of each search the `limit` nearest of every other component."""
+        (t, a, b, own, node, size, pos, label), rest = rows[:8], rows[9:]
+        prints, heads = rest[: len(prints_of)].view(np.uint64), rest[len(prints_of) :]
+        new = (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        which = np.concatenate([[0], np.cumsum(new)])
+        inner, asks = np.flatnonzero(own == a), np.flatnonzero((a == b) | (own != a))
+        forest = BKForest(prints[:, inner], which[inner])
+        reach = np.where(similarity * size[asks] < FEW_SHINGLES, radius_few, radius)
+        out = [np.zeros((0, 2), np.int64)]
+        for q, n, d in forest.within(prints[:, asks], which[asks], reach):
+            i, j = asks[q], inner[n]
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            ok = (label[i] != label[j]) & ((a[i] != b[i]) | (i > j)) & (low >= least * high) & (d <= np.where(low < FEW_SHINGLES, radius_few, radius))
+            ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (low + high)
+            i, j, d = i[ok], j[ok], d[ok]
+            ok = np.ones(len(i), bool)
+            for p in range(HEAD):
+                for r in range(HEAD):
+                    ok &= (pos[i] <= p) | (pos[j] <= r) | (heads[p, i] != heads[r, j])
+            i, j, d = i[ok], j[ok], d[ok]
+            by = np.lexsort((d, label[j], i))
+            i, j = i[by], j[by]
+            starts = np.concatenate([[True], (i[1:] != i[:-1]) | (label[j[1:]] != label[j[:-1]])])[: len(i)]
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(starts, np.arange(len(i)), 0))
+            i, j = i[rank < limit], j[rank < limit]
+            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def search(limit: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros((5 + len(prints_of) + HEAD, 0), np.int64)
+            held = None
             for batch in batches:
-                old, held = held.shape[1], np.concatenate([held, np.stack([c.fill_null(0).to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
-                (t, node, size, pos, label), prints, heads = held[:5], held[5 : 5 + len(prints_of)], held[5 + len(prints_of) :]
-                found = [np.zeros((0, 2), np.int64)]
-                for d in range(near, min(far, len(t))):
-                    i = np.arange(max(0, old - d), len(t) - d)
-                    i = i[t[i] == t[i + d]]
-                    if not len(i):
-                        break
-                    j = i + d
-                    ok = (label[i] != label[j]) & (size[i] >= least * size[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i] + size[j]))
-                    i, j = i[ok], j[ok]
-                    bits = np.bitwise_count((prints[:, i] ^ prints[:, j]).view(np.uint64)).astype(np.int64).sum(0)
-                    ok = bits <= np.where(np.minimum(size[i], size[j]) < FEW_SHINGLES, radius_few, radius)
-                    for p in range(HEAD):
-                        for q in range(HEAD):
-                            ok &= (pos[i] <= p) | (pos[j] <= q) | (heads[p, i] != heads[q, j])
-                    found.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
-                got = np.unique(np.concatenate(found), axis=0)
-                yield _table(got, "a", "b")
-                held = held[:, max(0, len(t) - far) :]
+                rows = np.stack([c.fill_null(0).to_numpy().astype(np.int64) for c in batch.columns])
+                held = rows if held is None else np.concatenate([held, rows], axis=1)
+                ends = np.flatnonzero(np.any(held[:3, 1:] != held[:3, :-1], axis=0)) + 1
+                if len(ends):
+                    yield _table(solve(held[:, : ends[-1]], limit), "a", "b")
+                    held = held[:, ends[-1] :]
+            if held is not None and held.shape[1]:
+                yield _table(solve(held, limit), "a", "b")
 
         return run
 
@@ -379,9 +453,17 @@ def keep_distinct(
         if near >= most:
             break
         named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(f"lo <> hi and m > {near}").select("t")
-        mixed = named.join(mixed, "t").select("t", "node", "size", "pos", "label", *prints_of, *heads_of).repartition("t").sortWithinPartitions("t", "size", "node")
-        pairs = mixed.mapInArrow(meet(near, far), "a long, b long")
+        mixed = named.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(f"lo <> hi and m > {near}").select("t", "m")
+        dealt = (
+            named.join(mixed, "t")
+            .withColumn("s", F.ceil(F.col("m") / shard).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+            .withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+            .select(*cell, "own", "node", "size", "pos", "label", "degree", *prints_of, *heads_of)
+        )
+        dealt = dealt.repartition(*cell).sortWithinPartitions(*cell, F.col("degree").desc(), F.col("node").desc())
+        pairs = dealt.mapInArrow(search(far), "a long, b long")
 
     grouped = classes.join(labels, "node", "left").select("key", "rank", F.coalesce("label", "node").alias("label"))
     stars = grouped.groupBy("label").agg(F.min(F.struct("rank", "key")).alias("s"))
